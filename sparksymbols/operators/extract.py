@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from sparksymbols import schemas
 from sparksymbols.functions import scalars as S
 from sparksymbols.functions.text import bind, each, keep, lit, no_items
-from sparksymbols.operators import python_lang, typescript
-from sparksymbols.operators.mask import code_only, without_comments
+from sparksymbols.operators import mask, python_lang, typescript
 from sparksymbols.operators.rules import SYMBOL, RuleRegistry
 
 EXPORTS = f"array<{schemas.EXPORT.simpleString()}>"
@@ -113,8 +112,8 @@ def _plain(kind: str) -> str:
 
 
 def typescript_exports(files: DataFrame) -> DataFrame:
-    """Add ``exports`` with signatures, class and interface details. Needs ``code`` and ``plain``."""
-    parsed = typescript.with_interfaces(typescript.with_classes(typescript.with_functions(files)))
+    """Add ``exports`` with signatures, class and interface details, and ``imports``."""
+    parsed = typescript.with_interfaces(typescript.with_classes(typescript.with_functions(typescript.with_code(files))))
     parsed = parsed.withColumn("grouped", F.expr(typescript.with_overloads("functions"))).withColumn(
         "symbols", F.expr(typescript.exports())
     )
@@ -177,8 +176,8 @@ def _imports(named: str) -> str:
 
 
 def python_exports(files: DataFrame) -> DataFrame:
-    """Add ``exports`` (functions, classes with their methods, module variables). Needs ``code`` and ``plain``."""
-    parsed = python_lang.with_classes(files)
+    """Add ``exports`` (functions, classes with their methods, module variables) and ``imports``."""
+    parsed = python_lang.with_classes(mask.with_code(files, "python"))
     nothing = (_plain(_FUNCTION_SIGNATURE), _plain(_CLASS_INFO), _plain(_INTERFACE_INFO))
 
     def method(m: str) -> str:
@@ -233,9 +232,6 @@ def index_files(files: DataFrame) -> DataFrame:
     parts = []
     for name, parse in (("typescript", typescript_exports), ("python", python_exports)):
         rows = tagged.where(F.col("rules") == name)
-        rows = rows.withColumn("code", F.expr(code_only("content", name))).withColumn(
-            "plain", F.expr(without_comments("content", name))
-        )
         parts.append(parse(rows).select(*columns[:-1], no_errors))
     rest = tagged.where(F.col("rules").isNull()).select(
         *columns[:-3],

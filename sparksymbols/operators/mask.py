@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sparksymbols.functions.text import blank, rebuild
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparksymbols.functions.text import bind, blank, each, lit
 
 _DOUBLE = '"[^"\\\\\\n]*+(?:\\\\.[^"\\\\\\n]*+)*+"'
 _SINGLE = "'[^'\\\\\\n]*+(?:\\\\.[^'\\\\\\n]*+)*+'"
@@ -14,18 +17,34 @@ TOKENS = {
 }
 
 
-def without_comments(content: str, language: str) -> str:
-    """Comments blanked, strings kept."""
-    return rebuild(content, TOKENS[language], lambda m: f"if(left({m}, 1) in ('/', '#'), {blank(m)}, {m})")
+def masked(content: str, language: str) -> str:
+    """``struct<code, plain>``: comments blanked in both; in ``code`` strings keep only their quotes."""
+    pattern = lit(TOKENS[language])
+
+    def texts(gaps: str, found: str) -> str:
+        def joined(replacement) -> str:
+            pieces = each(gaps, lambda g, i: f"concat({g}, coalesce({replacement(f'get({found}, {i})')}, ''))")
+            return f"array_join({pieces}, '')"
+
+        def without_strings(m: str) -> str:
+            inner = blank(f"substring({m}, 2, length({m}) - 2)")
+            return f"if({_is_comment(m)}, {blank(m)}, concat(left({m}, 1), {inner}, right({m}, 1)))"
 
+        code, plain = joined(without_strings), joined(lambda m: f"if({_is_comment(m)}, {blank(m)}, {m})")
+        return f"named_struct('code', {code}, 'plain', {plain})"
 
-def code_only(content: str, language: str) -> str:
-    """Comments blanked; strings keep their quotes and lose their content."""
+    return bind(
+        f"split({content}, {pattern}, -1)",
+        lambda gaps: bind(f"regexp_extract_all({content}, {pattern}, 0)", lambda found: texts(gaps, found)),
+    )
 
-    def masked(m: str) -> str:
-        inner = blank(f"substring({m}, 2, length({m}) - 2)")
-        return f"if(left({m}, 1) in ('/', '#'), {blank(m)}, concat(left({m}, 1), {inner}, right({m}, 1)))"
 
-    return rebuild(content, TOKENS[language], masked)
+def _is_comment(token: str) -> str:
+    return f"left({token}, 1) in ('/', '#')"
 
 
+def with_code(files: DataFrame, language: str, content: str = "content") -> DataFrame:
+    """Add ``code`` and ``plain``, both with the offsets and lines of the content."""
+    return files.withColumn("masked", F.expr(masked(content, language))).selectExpr(
+        *files.columns, "masked.code as code", "masked.plain as plain"
+    )

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sparksymbols.functions.text import UNICODE, bind, brace_block, each, find_all, group, keep, lit
 from sparksymbols.functions.text import newlines, no_items, top_level
+from sparksymbols.operators import mask
 from sparksymbols.operators import rules as R
-from sparksymbols.operators.mask import code_only, without_comments
 from sparksymbols.operators.signatures import Grammar, extend, trimmed, with_signatures
 
 _EXPORT_WORD = len("export")
@@ -55,19 +55,12 @@ _FIELD_PROPERTY = "(?Ud)" + f"{_FIELD_START}(?:readonly\\s+)?({R.NAME})\\s*(\\?)
 _EXPORT_ROW = "struct<rule_no:int,pos:int,name:string,type:string,visibility:string,line:int>"
 
 
-def with_code(files: DataFrame, language: str = "typescript", content: str = "content") -> DataFrame:
-    """Add ``code`` and ``plain``."""
-    return files.withColumn("code", F.expr(code_only(content, language))).withColumn(
-        "plain", F.expr(without_comments(content, language))
-    )
-
-
-def export_heads(code: str = "code") -> str:
-    """Spans that start with the word ``export``."""
-    return find_all(code, R.TS_EXPORT_HEAD)
+def with_code(files: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``code``, ``plain`` and ``heads``, the spans that start with the word ``export``."""
+    return mask.with_code(files, "typescript", content).withColumn("heads", F.expr(find_all("code", R.TS_EXPORT_HEAD)))
 
 
-def exports(code: str = "code") -> str:
+def exports(heads: str = "heads") -> str:
     """``array<struct<rule_no, pos, name, type, visibility, line>>`` in rule order, then text order."""
 
     def symbol(h: str, rule_no: int, kind: str, name: str) -> str:
@@ -91,7 +84,7 @@ def exports(code: str = "code") -> str:
         )
         return f"case {arms} else {no_items(_EXPORT_ROW)} end"
 
-    return f"array_sort(flatten({each(export_heads(code), lambda h, _: cases(h))}))"
+    return f"array_sort(flatten({each(heads, lambda h, _: cases(h))}))"
 
 
 def imports(plain: str = "plain") -> str:
@@ -140,7 +133,7 @@ def named_imports(plain: str = "plain") -> str:
 
 def _spans(pattern: str, body: Callable[[str, str, str, str], str]) -> str:
     """``body(head, text after the header, same text of plain, header)`` for each export the pattern fits."""
-    found = keep(export_heads(), lambda h: f"{h}.tail rlike {lit(pattern)}")
+    found = keep("heads", lambda h: f"{h}.tail rlike {lit(pattern)}")
 
     def one(p: str, h: str) -> str:
         def with_header(header: str) -> str:
