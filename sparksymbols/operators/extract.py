@@ -24,28 +24,22 @@ _CLASS_INFO = schemas.CLASS_INFO.simpleString()
 _INTERFACE_INFO = schemas.INTERFACE_INFO.simpleString()
 
 
-def language_of(path: Column, rules: bool = False) -> Column:
+Languages = tuple[tuple[str, str, str | None], ...]
+
+
+def language_of(path: Column, rules: bool = False, languages: Languages = S.LANGUAGES) -> Column:
     """Language tag of a path (``text`` if unknown), or the rule set that reads it (null if none)."""
     expr = F
-    for suffix, tag, rule_set in S.LANGUAGES:
+    for suffix, tag, rule_set in languages:
         expr = expr.when(S.extension(path) == suffix, rule_set if rules else tag)
     return expr.otherwise(None if rules else "text")
 
 
-def language_table(spark) -> DataFrame:
-    """The extension table (extension, language, rules): one row per entry of a fixed list."""
-    return spark.createDataFrame(S.LANGUAGES, "extension string, language string, rules string")
-
-
-def with_language(files: DataFrame) -> DataFrame:
-    """Add ``language`` and ``rules`` by a join with the extension table, which holds a dozen rows."""
-    table = F.broadcast(language_table(files.sparkSession))
-    return (
-        files.withColumn("extension", S.extension(F.col("filePath")))
-        .join(table, "extension", "left")
-        .withColumn("language", F.coalesce("language", F.lit("text")))
-        .drop("extension")
-    )
+def with_language(files: DataFrame, languages: Languages = S.LANGUAGES) -> DataFrame:
+    """Add ``language`` and ``rules`` by a join with the extension table, a fixed list of a dozen rows."""
+    table = files.sparkSession.createDataFrame(languages, "extension string, language string, rules string")
+    joined = files.withColumn("extension", S.extension(F.col("filePath"))).join(F.broadcast(table), "extension", "left")
+    return joined.withColumn("language", F.coalesce("language", F.lit("text"))).drop("extension")
 
 
 def unsupported(path: Column) -> Column:
