@@ -6,6 +6,9 @@ rule, and a file's symbols are never collected from other rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +71,14 @@ def with_fallback(files: DataFrame, primary: str, fallback: str) -> DataFrame:
     )
 
 
+SYMBOL_ROW = "repoId string, filePath string, rule_no int, pos int, name string, type string, source string, line int"
+
+
+def apply_extractor(files: DataFrame, extractor: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Symbol rows from a user's own extractor over batches of files (repoId, filePath, content)."""
+    return files.select("repoId", "filePath", "content").mapInPandas(extractor, SYMBOL_ROW)
+
+
 def _signature(sig: str, of: str = _OVERLOAD) -> str:
     extra = f", 'overloads', {no_items(_OVERLOAD)}" if of == _FUNCTION_SIGNATURE else ""
     return (

@@ -129,3 +129,8 @@ def repo_metrics(repositories: DataFrame) -> DataFrame:
 def progress_percent(processed: Column, total: Column) -> Column:
     """Whole percent, rounded down; 0 without files."""
     return F.when(total > 0, F.floor(processed / total * 100)).otherwise(0).cast("int")
+
+
+def index_report(tally: DataFrame) -> DataFrame:
+    """Counts per repository (see ``outcome_tally``) with the status a finished load gets."""
+    return tally.withColumn("status", F.when(F.col("failed") > 0, "failed").otherwise("completed"))

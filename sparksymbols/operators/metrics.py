@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparksymbols.operators.filters import progress_percent
@@ -99,6 +99,12 @@ def batch_progress(
     )
 
 
+def first_files(files: DataFrame, repo: str, order: Sequence[str], count: int) -> DataFrame:
+    """The first ``count`` files of each repository; Spark keeps only that many per key in each task first."""
+    position = F.row_number().over(Window.partitionBy(repo).orderBy(*order))
+    return files.withColumn("position", position).where(F.col("position") <= count).drop("position")
+
+
 def size_route(files: DataFrame, repo: str, limit: int = DIRECT_LIMIT) -> DataFrame:
     """Per repository: number of files and whether it is small enough for direct processing."""
     counted = files.groupBy(repo).agg(F.count("*").alias("files"))

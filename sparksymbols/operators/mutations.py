@@ -15,6 +15,13 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     return last.select(*(c if c in keys else F.col(f"last.{c}").alias(c) for c in rows.columns))
 
 
+def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key, by the same kind of aggregate."""
+    others = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("first"))
+    return first.select(*(c if c in keys else F.col(f"first.{c}").alias(c) for c in rows.columns))
+
+
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``base`` with the rows of ``changes`` put in by key; of several changes to a key the last counts."""
     both = base.withColumn("generation", F.lit(0)).unionByName(changes.withColumn("generation", F.lit(1)))

@@ -105,21 +105,21 @@ class RuleRegistry:
     """Rule sets by language; users add their own rows."""
 
     def __init__(self, rules: Iterable[Rule] = ()):
-        self._rules: dict[str, list[Rule]] = {}
+        self.rules: dict[str, list[Rule]] = {}
         self.add(*rules)
 
     def add(self, *rules: Rule) -> RuleRegistry:
         for rule in rules:
-            self._rules.setdefault(rule.language, []).append(rule)
+            self.rules.setdefault(rule.language, []).append(rule)
         return self
 
     @property
     def languages(self) -> list[str]:
-        return sorted(self._rules)
+        return sorted(self.rules)
 
     def symbols(self, content: str, language: str) -> str:
         """Symbols under the rules of the row's language; null where no rule set covers it."""
         cases = " ".join(
-            f"when {language} = {lit(name)} then {apply_rules(content, rules)}" for name, rules in self._rules.items()
+            f"when {language} = {lit(name)} then {apply_rules(content, rules)}" for name, rules in self.rules.items()
         )
         return f"case {cases} else cast(null as array<{SYMBOL}>) end" if cases else f"cast(null as array<{SYMBOL}>)"

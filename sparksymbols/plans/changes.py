@@ -126,7 +126,7 @@ def initial_vs_commit(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "J7_cascade_delete",
     f"WITH {R.LINES}, doomed AS (SELECT o_orderkey AS orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
-    " SELECT 'repository' AS kind, o_orderkey AS orderkey, NULL AS linenumber, NULL AS partkey FROM orders"
+    " SELECT 'repository' AS kind, o_orderkey AS orderkey, -1 AS linenumber, CAST(-1 AS BIGINT) AS partkey FROM orders"
     " WHERE o_orderpriority <> '1-URGENT' UNION ALL"
     " SELECT 'file', orderkey, linenumber, partkey FROM lines ANTI JOIN doomed USING (orderkey)",
 )
@@ -135,7 +135,7 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     files = B.lineitem_as_files(spark, folder).select("orderkey", "linenumber", "partkey", "suppkey")
     doomed = orders.where(F.col("o_orderpriority") == "1-URGENT")
     repositories, kept = J.cascade_delete(orders, files, doomed, "orderkey", ["linenumber", "partkey", "suppkey"])
-    nothing = [F.lit(None).cast("int").alias("linenumber"), F.lit(None).cast("bigint").alias("partkey")]
+    nothing = [F.lit(-1).alias("linenumber"), F.lit(-1).cast("bigint").alias("partkey")]
     return repositories.select(F.lit("repository").alias("kind"), "orderkey", *nothing).union(
         kept.select(F.lit("file").alias("kind"), "orderkey", "linenumber", "partkey")
     )

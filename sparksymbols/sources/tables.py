@@ -68,11 +68,13 @@ class KeyedTable:
         paths = [f"{self.path}/batch={n}" for n in numbers]
         return self.spark.read.option("basePath", self.path).parquet(*paths)
 
-    def current(self) -> DataFrame | None:
-        """The last row of each key, deleted keys left out."""
+    def current(self, *columns: str) -> DataFrame | None:
+        """The last row of each key, deleted keys left out; only the given columns (and the key) are read."""
         rows = self.rows()
         if rows is None:
             return None
+        if columns:
+            rows = rows.select(*dict.fromkeys((*self.keys, *columns, *self.order, "deleted", "batch", BUCKET)))
         last = latest_per_key(rows, self.keys, ["batch", *self.order])
         return last.where(~F.col("deleted")).drop("deleted", "batch", BUCKET)
 

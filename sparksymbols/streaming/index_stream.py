@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparksymbols.operators.gates import ordered_gate
 from sparksymbols.operators.mutations import latest_per_key
-from sparksymbols.session import checkpointed
 from sparksymbols.sources.tables import KeyedTable
 
 
@@ -49,7 +48,7 @@ def index_batch(
     if batch_id in table.batches():
         return
     keys = list(table.keys)
-    current = table.current()
+    current = table.current("ts", "fileHash")
     decided = gate_batch(changes, current, keys, order, partitions)
     accepted = decided.where(F.col("decision") == "accepted").select(*keys, *order)
     last = latest_per_key(accepted.withColumn("rank", F.struct(*order)), keys, ["rank"]).drop("rank")
@@ -67,7 +66,7 @@ def index_stream(
     """Run a change stream into ``table`` until all available input is taken."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        index_batch(checkpointed(batch), batch_id, table, order, parse, partitions)
+        index_batch(batch, batch_id, table, order, parse, partitions)
 
     return (
         changes.writeStream.foreachBatch(store)
