@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparksymbols import bindings as B
 from sparksymbols.functions import scalars as S
 from sparksymbols.functions import text as X
+from sparksymbols.operators.nested import entries
 from sparksymbols.plans import registry as R
 from sparksymbols.plans.registry import query
 
@@ -85,9 +86,9 @@ SENTENCE_END = "([A-Za-z]+)\\.\\n"
 )
 def line_number(spark: SparkSession, folder: str) -> DataFrame:
     documents = B.spread(B.load(spark, folder, "documents").select("doc_id", "text"))
-    found = documents.select("doc_id", F.expr(f"posexplode({X.find_all('text', SENTENCE_END)})").alias("pos", "m"))
-    name = F.regexp_extract("m.text", SENTENCE_END, 1).alias("name")
-    return found.select("doc_id", (F.col("pos") + 1).alias("pos"), name, "m.line")
+    found = entries(documents, F.expr(X.find_all("text", SENTENCE_END)), ["doc_id"])
+    name = F.regexp_extract("text", SENTENCE_END, 1).alias("name")
+    return found.select("doc_id", (F.col("place") + 1).alias("pos"), name, "line")
 
 
 @query("F10_icontains", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('RING'))")

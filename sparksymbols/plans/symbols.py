@@ -32,7 +32,7 @@ def ts_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def rows_of(files: DataFrame, array: str, **columns: str) -> DataFrame:
     """One row per array entry with the given expressions over its fields."""
-    listed = files.select("doc_id", "filePath", F.expr(f"inline({array})"))
+    listed = nested.entries(files, F.expr(array), ["filePath"])
     return listed.selectExpr("filePath", *(f"{expr} as {name}" for name, expr in columns.items()))
 
 
@@ -91,7 +91,7 @@ def ts_imports(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {R.SYMBOLS} SELECT page_id, name, source, line FROM symbols WHERE type = 'import'",
 )
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    return page_index(spark, folder).select("page_id", F.inline("imports")).select("page_id", "name", "source", "line")
+    return nested.flatten(page_index(spark, folder), "imports", ["page_id"], ["name", "source", "line"], outer=False).drop("pos")
 
 
 @query("X3_py_exports", py_sql(EXPORT_COLUMNS, PY_EXPORTS, EXPORT_SELECT))
@@ -250,7 +250,7 @@ def interface_members(spark: SparkSession, folder: str) -> DataFrame:
         transform(interface_methods, m -> named_struct('owner', m.owner, 'owner_pos', m.owner_pos, 'kind', 'method',
             'name', m.name, 'type', m.signature.returnType, 'required', true, 'line', m.line)))"""
     parents = "array_join(filter(interfaces, i -> i.pos = owner_pos)[0].extends, ',')"
-    rows = found.select("filePath", "interfaces", F.expr(f"inline({members})"))
+    rows = nested.entries(found, F.expr(members), ["filePath", "interfaces"])
     columns = ("owner", "kind", "name", "type", "required", "line")
     return rows.select("filePath", F.expr(parents).alias("parents"), *columns)
 
@@ -278,8 +278,8 @@ PARAM_COLUMNS = 'j, name, pos, param, type, required, "defaultValue", "returnTyp
 )
 def rich_signature(spark: SparkSession, folder: str) -> DataFrame:
     functions = typescript.with_functions(ts_code(spark, folder))
-    grouped = functions.select("filePath", F.expr(f"inline({typescript.with_overloads()})"))
-    rows = grouped.select("*", F.posexplode("signature.parameters").alias("param_pos", "p"))
+    grouped = nested.entries(functions, F.expr(typescript.with_overloads()), ["filePath"])
+    rows = grouped.select("*", F.posexplode_outer("signature.parameters").alias("param_pos", "p")).where("param_pos >= 0")
     return rows.select(
         "filePath",
         "name",
@@ -413,7 +413,7 @@ def rule_registry(spark: SparkSession, folder: str) -> DataFrame:
     """The page rules and a rule a user adds."""
     registry = type(PAGES)(rule for rules in PAGES.rules.values() for rule in rules).add(Rule("html", 3, TITLE, "title"))
     files = B.spread(B.pages_as_files(spark, folder)).withColumn("language", F.lit("html"))
-    return extract.dispatch(files, registry).select("page_id", F.inline("symbols")).select("page_id", "name", "type", "line")
+    return nested.entries(extract.dispatch(files, registry), "symbols", ["page_id"]).select("page_id", "name", "type", "line")
 
 
 @query(
@@ -424,8 +424,8 @@ def rule_registry(spark: SparkSession, folder: str) -> DataFrame:
 def rule_union(spark: SparkSession, folder: str) -> DataFrame:
     """Symbols of all rules in rule order, then text order."""
     files = B.spread(B.pages_as_files(spark, folder)).withColumn("language", F.lit("html"))
-    rows = extract.dispatch(files, PAGES).select("page_id", F.posexplode("symbols").alias("pos", "s"))
-    return rows.select("page_id", "s.rule_no", (F.col("pos") + 1).cast("bigint").alias("place"), "s.name")
+    rows = nested.entries(extract.dispatch(files, PAGES), "symbols", ["page_id"])
+    return rows.select("page_id", "rule_no", (F.col("place") + 1).cast("bigint").alias("place"), "name")
 
 
 @query(
@@ -502,7 +502,7 @@ def flatten_members(spark: SparkSession, folder: str) -> DataFrame:
     arrays = {kind: f"classInfo.{column}" for kind, column in
               (("method", "methods"), ("property", "properties"), ("constructor", "constructors"))}
     rows = nested.flatten_members(classes, ["filePath", "owner"], arrays, ["name", "visibility", "lineNumber"])
-    return rows.drop("pos")
+    return rows.drop("position")
 
 
 @query(
@@ -627,10 +627,9 @@ def import_resolution(spark: SparkSession, folder: str) -> DataFrame:
     """Imports of every generated file, resolved to the export they name in the file they name."""
     files = ts_code(spark, folder)
     keys = ["repoId", "filePath"]
-    exports = files.select(*keys, F.expr(f"inline({typescript.exports()})")).select(
-        *keys, "name", F.col("line").alias("lineNumber")
-    )
-    imports = files.select(*keys, F.expr(f"inline({typescript.named_imports()})")).select(
+    exports = nested.entries(files, F.expr(typescript.exports()), keys).select(
+        *keys, "name", F.col("line").alias("lineNumber"))
+    imports = nested.entries(files, F.expr(typescript.named_imports()), keys).select(
         *keys, "name", "source", F.col("line").alias("lineNumber")
     )
     resolved = J.resolve_imports(imports, exports)
