@@ -18,8 +18,6 @@ from sparksymbols.functions.text import bind, each, keep, lit, no_items
 from sparksymbols.operators import mask, python_lang, typescript
 from sparksymbols.operators.rules import SYMBOL, RuleRegistry
 
-EXPORTS = f"array<{schemas.EXPORT.simpleString()}>"
-IMPORTS = f"array<{schemas.IMPORT.simpleString()}>"
 _FUNCTION_SIGNATURE = schemas.FUNCTION_SIGNATURE.simpleString()
 _OVERLOAD = schemas.OVERLOAD.simpleString()
 _MEMBER = schemas.MEMBER.simpleString()
@@ -116,9 +114,10 @@ def _plain(kind: str) -> str:
     return f"cast(null as {kind})"
 
 
-def typescript_exports(files: DataFrame) -> DataFrame:
+def typescript_exports(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``exports`` with signatures, class and interface details, and ``imports``."""
-    parsed = typescript.with_interfaces(typescript.with_classes(typescript.with_functions(typescript.with_code(files))))
+    code = typescript.with_code(files, content)
+    parsed = typescript.with_interfaces(typescript.with_classes(typescript.with_functions(code)))
     parsed = parsed.withColumn("grouped", F.expr(typescript.with_overloads("functions"))).withColumn(
         "symbols", F.expr(typescript.exports())
     )
@@ -180,9 +179,9 @@ def _imports(named: str) -> str:
     )
 
 
-def python_exports(files: DataFrame) -> DataFrame:
+def python_exports(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``exports`` (functions, classes with their methods, module variables) and ``imports``."""
-    parsed = python_lang.with_classes(mask.with_code(files, "python"))
+    parsed = python_lang.with_classes(mask.with_code(files, "python", content))
     nothing = (_plain(_FUNCTION_SIGNATURE), _plain(_CLASS_INFO), _plain(_INTERFACE_INFO))
 
     def method(m: str) -> str:
@@ -222,26 +221,31 @@ def index_files(files: DataFrame) -> DataFrame:
     """Index rows ``(repoId, filePath, fileHash, language, exports, imports, parseErrors)`` of files
     ``(repoId, filePath, content, ...)``; other input columns are kept, ``content`` is not.
 
-    The input is read once per rule set and each copy keeps only its own language's rows.
+    One scan serves all languages: each rule set sees the content of its own files and an empty text for others.
     """
     kept = [c for c in files.columns if c not in ("content", "language")]
-    tagged = files.select(
+    rows = files.select(
         *kept,
         "content",
         S.content_hash(F.col("content")).alias("fileHash"),
         language_of(F.col("filePath")).alias("language"),
         language_of(F.col("filePath"), rules=True).alias("rules"),
     )
-    columns = [*kept, "fileHash", "language", "exports", "imports", "parseErrors"]
-    no_errors = F.array().cast("array<string>").alias("parseErrors")
-    parts = []
+    columns = [*kept, "fileHash", "language", "rules", "content"]
+    found: dict[str, list[str]] = {"exports": [], "imports": []}
     for name, parse in (("typescript", typescript_exports), ("python", python_exports)):
-        rows = tagged.where(F.col("rules") == name)
-        parts.append(parse(rows).select(*columns[:-1], no_errors))
-    rest = tagged.where(F.col("rules").isNull()).select(
-        *columns[:-3],
-        F.array().cast(EXPORTS).alias("exports"),
-        F.array().cast(IMPORTS).alias("imports"),
-        F.array(unsupported(F.col("filePath"))).alias("parseErrors"),
-    )
-    return parts[0].unionByName(parts[1]).unionByName(rest)
+        own = rows.withColumn("own_content", F.when(F.col("rules") == name, F.col("content")).otherwise(""))
+        parsed = parse(own, "own_content")
+        made = {kind: f"{name}_{kind}" for kind in found}
+        rows = parsed.select(*columns, *(F.col(kind).alias(column) for kind, column in made.items()))
+        columns += made.values()
+        for kind, column in made.items():
+            found[kind].append(column)
+    no_rules = F.col("rules").isNull()
+    return rows.select(
+        *kept,
+        "fileHash",
+        "language",
+        *(F.concat(*parts).alias(kind) for kind, parts in found.items()),
+        F.when(no_rules, F.array(unsupported(F.col("filePath")))).otherwise(F.array().cast("array<string>")).alias("parseErrors"),
+    )

@@ -29,9 +29,15 @@ def frozen_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], pa
 
 
 def spanning_keys(frozen: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys with rows in more than one segment; fewer than there are partitions."""
-    borders = frozen.groupBy(*keys).agg(F.min(SEGMENT).alias("first"), F.max(SEGMENT).alias("last"))
-    return borders.where(F.col("first") < F.col("last")).select(*keys)
+    """Keys with rows in more than one segment; fewer than there are partitions.
+
+    Such a key is the first or the last of each of its segments, so two keys per segment are all to look at.
+    """
+    key = F.struct(*keys)
+    ends = frozen.groupBy(SEGMENT).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    borders = ends.select(SEGMENT, F.explode(F.array("low", "high")).alias("key"))
+    spans = borders.groupBy("key").agg(F.min(SEGMENT).alias("first"), F.max(SEGMENT).alias("last"))
+    return spans.where(F.col("first") < F.col("last")).select("key.*")
 
 
 def running_sums(

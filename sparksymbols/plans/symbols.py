@@ -16,6 +16,7 @@ from sparksymbols.operators.rules import Rule
 from sparksymbols.plans import registry as R
 from sparksymbols.plans.lookups import KEYS, PAGES, WEB_LANGUAGES, page_index
 from sparksymbols.plans.registry import facts, fill, query
+from sparksymbols.session import checkpointed
 
 
 def ts_code(spark: SparkSession, folder: str) -> DataFrame:
@@ -625,11 +626,14 @@ def index_report(spark: SparkSession, folder: str) -> DataFrame:
 )
 def import_resolution(spark: SparkSession, folder: str) -> DataFrame:
     """Imports of every generated file, resolved to the export they name in the file they name."""
-    files = ts_code(spark, folder)
     keys = ["repoId", "filePath"]
-    exports = nested.entries(files, F.expr(typescript.exports()), keys).select(
+    code = ts_code(spark, folder)
+    found = {"exported": F.expr(typescript.exports()), "imported": F.expr(typescript.named_imports())}
+    # The join looks at its input twice; the symbols are written once so that no file is read again for it.
+    files = checkpointed(code.select(*keys, *(column.alias(name) for name, column in found.items())))
+    exports = nested.entries(files, "exported", keys).select(
         *keys, "name", F.col("line").alias("lineNumber"))
-    imports = nested.entries(files, F.expr(typescript.named_imports()), keys).select(
+    imports = nested.entries(files, "imported", keys).select(
         *keys, "name", "source", F.col("line").alias("lineNumber")
     )
     resolved = J.resolve_imports(imports, exports)
@@ -651,7 +655,7 @@ def import_resolution(spark: SparkSession, folder: str) -> DataFrame:
 )
 def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
     """Links whose word starts the title of a page: the first such page and how many there are."""
-    links = nested.flatten(page_index(spark, folder), "imports", ["page_id"], ["name"], outer=False)
+    links = checkpointed(nested.flatten(page_index(spark, folder), "imports", ["page_id"], ["name"], outer=False))
     titles = B.pages_as_files(spark, folder).select(
         "page_id", F.regexp_extract("content", "<title>([^ <]*)", 1).alias("name")
     )
