@@ -55,7 +55,7 @@ def newlines(text: str) -> str:
 
 def blank(text: str) -> str:
     """``text`` with every character but line breaks turned into a blank (offsets and lines stay)."""
-    return f"regexp_replace({text}, r'[^\\n]', ' ')"
+    return f"array_join({each(f"split({text}, '\\n', -1)", lambda line, _: f"repeat(' ', length({line}))")}, '\\n')"
 
 
 def no_items(of: str) -> str:

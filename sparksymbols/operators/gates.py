@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparksymbols.operators.segments import SEGMENT, frozen_segments, spanning_keys
+from sparksymbols.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 State = tuple | None
 

@@ -11,9 +11,12 @@ _DOUBLE = '"[^"\\\\\\n]*+(?:\\\\.[^"\\\\\\n]*+)*+"'
 _SINGLE = "'[^'\\\\\\n]*+(?:\\\\.[^'\\\\\\n]*+)*+'"
 _TEMPLATE = "`[^`\\\\]*+(?:\\\\(?s:.)[^`\\\\]*+)*+`"
 
+# The look-ahead lets a search pass over all other characters with one test.
 TOKENS = {
-    "typescript": "|".join(("//[^\\n]*+", "/\\*(?s:.*?)\\*/", _DOUBLE, _SINGLE, _TEMPLATE)),
-    "python": "|".join(("#[^\\n]*+", '"""(?s:.*?)"""', "'''(?s:.*?)'''", _DOUBLE, _SINGLE)),
+    "typescript": "(?=[/\"'`])(?:" + "|".join(("//[^\\n]*+", "/\\*(?s:.*?)\\*/", _DOUBLE, _SINGLE, _TEMPLATE)) + ")",
+    "python": "(?=[#\"'])(?:"
+    + "|".join(("#[^\\n]*+", '"""(?s:.*?)"""', "'''(?s:.*?)'''", _DOUBLE, _SINGLE))
+    + ")",
 }
 
 
@@ -21,21 +24,23 @@ def masked(content: str, language: str) -> str:
     """``struct<code, plain>``: comments blanked in both; in ``code`` strings keep only their quotes."""
     pattern = lit(TOKENS[language])
 
-    def texts(gaps: str, found: str) -> str:
-        def joined(replacement) -> str:
-            pieces = each(gaps, lambda g, i: f"concat({g}, coalesce({replacement(f'get({found}, {i})')}, ''))")
-            return f"array_join({pieces}, '')"
+    def blanked(m: str) -> str:
+        inner = blank(f"substring({m}, 2, length({m}) - 2)")
+        return f"if({_is_comment(m)}, {blank(m)}, concat(left({m}, 1), {inner}, right({m}, 1)))"
 
-        def without_strings(m: str) -> str:
-            inner = blank(f"substring({m}, 2, length({m}) - 2)")
-            return f"if({_is_comment(m)}, {blank(m)}, concat(left({m}, 1), {inner}, right({m}, 1)))"
+    def texts(gaps: str, found: str, blanks: str) -> str:
+        def joined(tokens: str) -> str:
+            return f"array_join({each(gaps, lambda g, i: f"concat({g}, coalesce(get({tokens}, {i}), ''))")}, '')"
 
-        code, plain = joined(without_strings), joined(lambda m: f"if({_is_comment(m)}, {blank(m)}, {m})")
-        return f"named_struct('code', {code}, 'plain', {plain})"
+        kept = each(found, lambda m, i: f"if({_is_comment(m)}, {blanks}[{i}], {m})")
+        return f"named_struct('code', {joined(blanks)}, 'plain', {bind(kept, joined)})"
 
     return bind(
         f"split({content}, {pattern}, -1)",
-        lambda gaps: bind(f"regexp_extract_all({content}, {pattern}, 0)", lambda found: texts(gaps, found)),
+        lambda gaps: bind(
+            f"regexp_extract_all({content}, {pattern}, 0)",
+            lambda found: bind(each(found, lambda m, _: blanked(m)), lambda blanks: texts(gaps, found, blanks)),
+        ),
     )
 
 

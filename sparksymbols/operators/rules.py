@@ -31,7 +31,7 @@ NAME = "[\\w$]+"
 
 # The forms of an export statement, as the text after the word "export".
 TS_EXPORT_HEAD = UNICODE + (
-    "(?<![\\w.$])export(?=\\s+(?:default|declare|async|abstract|function|class|interface|const|let|var|type|"
+    "export(?<![\\w.$]export)(?=\\s+(?:default|declare|async|abstract|function|class|interface|const|let|var|type|"
     "\\{|[\\w$]+\\s*=))"
 )
 TS_FUNCTION = f"^\\s+(?:default\\s+)?(?:declare\\s+)?(?:async\\s+)?function\\b\\s*\\*?\\s*({NAME})"
@@ -53,8 +53,8 @@ TS_EXPORTS = (
     (8, "variable", TS_ASSIGN),
 )
 
-TS_IMPORT = UNICODE + f"\\bimport\\s+(?:\\{{[^}}]*\\}}|{NAME})\\s+from\\s+[\"']([^\"']+)[\"']"
-TS_NAMED_IMPORT = UNICODE + "\\bimport\\s+(?:type\\s+)?([\\w$*{},\\s]+?)\\s*from\\s*[\"']([^\"']+)[\"']"
+TS_IMPORT = UNICODE + f"import(?<!\\wimport)\\s+(?:\\{{[^}}]*\\}}|{NAME})\\s+from\\s+[\"']([^\"']+)[\"']"
+TS_NAMED_IMPORT = UNICODE + "import(?<!\\wimport)\\s+(?:type\\s+)?([\\w$*{},\\s]+?)\\s*from\\s*[\"']([^\"']+)[\"']"
 
 PY_EXPORTS = (
     Rule("python", 1, MULTILINE + "^(?:async[ \\t]+)?def\\s+(\\w+)\\s*\\(", "function"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -53,3 +55,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that later passes read identical rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_with_tasks(module_name: str) -> None:
+    """Send a module's functions to the workers inside the task, so that the package need not be installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

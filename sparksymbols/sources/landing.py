@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from sparksymbols import schemas
 from sparksymbols.functions import scalars as S
 from sparksymbols.operators.filters import indexable_files
+from sparksymbols.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:

@@ -28,26 +28,24 @@ class KeyedTable:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def batches(self) -> list[int]:
-        """Numbers of the committed batches."""
+    def batches(self, with_rows: bool = False) -> list[int]:
+        """Numbers of the committed batches; on request only of those that hold rows."""
         fs, root = self._files()
         if not fs.exists(root):
             return []
         found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("batch=") and fs.exists(done):
-                found.append(int(name.removeprefix("batch=")))
+        for folder in (status.getPath() for status in fs.listStatus(root)):
+            if folder.getName().startswith("batch="):
+                names = {status.getPath().getName() for status in fs.listStatus(folder)}
+                if "_SUCCESS" in names and not (with_rows and names == {"_SUCCESS"}):
+                    found.append(int(folder.getName().removeprefix("batch=")))
         return sorted(found)
 
     def bucket_of(self, repo):
         return F.pmod(F.xxhash64(repo), F.lit(self.buckets)).cast("int")
 
     def write(self, rows: DataFrame, batch: int) -> bool:
-        """Write one batch; rows without a ``deleted`` column are live. An empty batch writes nothing."""
-        if rows.isEmpty():
-            return True
+        """Write one batch; rows without a ``deleted`` column are live. An empty batch is stored as done."""
         if "deleted" not in rows.columns:
             rows = rows.withColumn("deleted", F.lit(False))
         spread = rows.withColumn(BUCKET, self.bucket_of(F.col(self.keys[0])))
@@ -61,8 +59,8 @@ class KeyedTable:
         return batch
 
     def rows(self) -> DataFrame | None:
-        """All committed rows with ``batch`` and the bucket; None for a table without batches."""
-        numbers = self.batches()
+        """All committed rows with ``batch`` and the bucket; None for a table without any."""
+        numbers = self.batches(with_rows=True)
         if not numbers:
             return None
         paths = [f"{self.path}/batch={n}" for n in numbers]

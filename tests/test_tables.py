@@ -35,7 +35,10 @@ def test_a_load_done_twice_gives_the_same_table(spark, table):
 
 def test_empty_batch_is_a_success(spark, table):
     assert table.write(changes(spark, []), 0) is True
-    assert table.batches() == []
+    assert table.batches() == [0]
+    assert table.rows() is None
+    table.append(changes(spark, [(1, "r", "a", "x", 1)]))
+    assert state(table) == {("r", "a"): "x"}
 
 
 def test_delete_and_compact(spark, table, tmp_path):
