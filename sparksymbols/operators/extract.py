@@ -30,10 +30,9 @@ Languages = tuple[tuple[str, str, str | None], ...]
 
 def language_of(path: Column, rules: bool = False, languages: Languages = S.LANGUAGES) -> Column:
     """Language tag of a path (``text`` if unknown), or the rule set that reads it (null if none)."""
-    expr = F
-    for suffix, tag, rule_set in languages:
-        expr = expr.when(S.extension(path) == suffix, rule_set if rules else tag)
-    return expr.otherwise(None if rules else "text")
+    entries = [F.lit(x) for suffix, tag, rule_set in languages for x in (suffix, rule_set if rules else tag)]
+    found = F.try_element_at(F.create_map(*entries), S.extension(path))
+    return found if rules else F.coalesce(found, F.lit("text"))
 
 
 def with_language(files: DataFrame, languages: Languages = S.LANGUAGES) -> DataFrame:

@@ -8,7 +8,7 @@ memory, and the state that enters a segment comes from a table of segment summar
    nothing came before.
 2. States are chained along the segments. Most segments are decided by their bounds (nothing in them can be
    accepted, or their first row must be). The others are folded again with the state that enters them, all
-   keys and guesses at once, until every entry is known.
+   keys and a few guesses at once, until every entry is known.
 3. One pass labels all rows.
 """
 
@@ -30,6 +30,10 @@ ship_with_tasks(__name__)
 
 State = tuple | None
 
+# Uncertain segments of one key that are guessed ahead in a round. Where guesses never come true (leases much
+# longer than a segment's steps between requests), this bounds the work to this many passes over the key's rows.
+LOOKAHEAD = 16
+
 
 class Fold(NamedTuple):
     """A recurrence over one key's rows.
@@ -127,13 +131,15 @@ def entry_states(frozen: DataFrame, keys: Sequence[str], fold: Fold) -> dict[tup
         wanted: dict[tuple, list[State]] = {}
         still_open = []
         for key in open_chains:
-            state, certain = None, True
+            state, guessed = None, 0
             for segment, limits in chains[key]:
-                if certain:
+                if not guessed:
                     entries[segment] = state
                 state, sure = _next_state(segment, limits, state, known, fold, wanted)
-                certain = certain and sure
-            if not certain:
+                guessed += not sure
+                if guessed == LOOKAHEAD:
+                    break
+            if guessed:
                 still_open.append(key)
         if wanted:
             known.update(_run_exits(frozen, keys, fold, wanted))

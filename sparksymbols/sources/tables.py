@@ -48,8 +48,10 @@ class KeyedTable:
         """Write one batch; rows without a ``deleted`` column are live. An empty batch is stored as done."""
         if "deleted" not in rows.columns:
             rows = rows.withColumn("deleted", F.lit(False))
-        spread = rows.withColumn(BUCKET, self.bucket_of(F.col(self.keys[0])))
-        spread.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/batch={batch}")
+        # Rebalancing gives files of even size: Spark joins small buckets and cuts the bucket of a large repository.
+        bucketed = rows.withColumn(BUCKET, self.bucket_of(F.col(self.keys[0]))).hint("rebalance", BUCKET)
+        ordered = bucketed.sortWithinPartitions(BUCKET, *self.keys)
+        ordered.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/batch={batch}")
         return True
 
     def append(self, rows: DataFrame) -> int:
