@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparksymbols.functions import scalars as S
+from sparksymbols.operators.joins import split_join
 
 
 def indexable_files(
@@ -37,6 +38,11 @@ def list_files(index: DataFrame, repo: str) -> DataFrame:
     return index.where(F.col("repoId") == repo)
 
 
+def list_files_of(index: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Files of all given repositories; one of them may own most of the index."""
+    return split_join(index, repositories.select("repoId").distinct(), ["repoId"], "left_semi", ["filePath"])
+
+
 def get_file(index: DataFrame, repo: str, path: str) -> DataFrame:
     return list_files(index, repo).where(F.col("filePath") == path).limit(1)
 

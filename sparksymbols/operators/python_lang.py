@@ -16,12 +16,12 @@ _CLASS_BLOCK = "(?Ud)^([ \\t]*)class[^\\n]*(?:\\n(?:\\1[ \\t]+[^\\n]*+|[ \\t]*+(
 GRAMMAR = Grammar(
     delimiters="[()\\[\\]{}]",
     openers="([{",
-    param="(?Uds)^\\s*(\\*{0,2})(\\w+)\\s*(?::([^=]++))?(?:=(.*))?$",
+    param="(?Uds)^\\s*+(\\*{0,2})(\\w+)\\s*+(?::([^=]++))?(?:=(.*))?$",
     optional_groups=(1,),
     name_group=2,
     type_group=3,
     default_group=4,
-    returns="(?Uds)^\\)\\s*->\\s*([^:]++):",
+    returns="(?Uds)^\\)\\s*+->\\s*+([^:]++):",
     body="(?Uds)^\\)[^:]*:",
 )
 _IMPORT = MULTILINE + "^[ \\t]*import[ \\t]+([^\\n;]+)"

@@ -33,24 +33,24 @@ _TYPE_ATOM = (
 GRAMMAR = Grammar(
     delimiters="[()\\[\\]{}<>]",
     openers="([{<",
-    param="(?Uds)^\\s*(?:(?:public|private|protected|readonly|override)\\s+)*+(\\.{3})?\\s*"
-    "([\\w$]+|\\{[^}]*\\}|\\[[^\\]]*\\])\\s*(\\?)?\\s*(?::((?:=>|[^=])++))?(?:=(.*))?$",
+    param="(?Uds)^\\s*+(?:(?:public|private|protected|readonly|override)\\s++)*+(\\.{3})?\\s*+"
+    "([\\w$]+|\\{[^}]*\\}|\\[[^\\]]*\\])\\s*+(\\?)?\\s*+(?::((?:=>|[^=])++))?(?:=(.*))?$",
     optional_groups=(1, 3),
     name_group=2,
     type_group=4,
     default_group=5,
-    returns=UNICODE + f"^\\)\\s*:\\s*({_TYPE_ATOM}++)",
-    body=UNICODE + f"^\\)\\s*(?::\\s*{_TYPE_ATOM}++)?\\s*\\{{",
+    returns=UNICODE + f"^\\)\\s*+:\\s*+({_TYPE_ATOM}++)",
+    body=UNICODE + f"^\\)\\s*+(?::\\s*+{_TYPE_ATOM}++)?\\s*+\\{{",
 )
 _MEMBER_START = "(?:^|(?<=[;}\\n]))\\s*+"
-_METHOD = "(?Ud)" + f"{_MEMBER_START}{_MODIFIERS}(\\*\\s*)?(#?{R.NAME})\\s*\\??\\s*(?:{R.GENERIC})?\\s*\\((?=\\s*\\))"
-_PROPERTY = "(?Ud)" + f"{_MEMBER_START}{_MODIFIERS}(#?{R.NAME})\\s*[?!]?\\s*:\\s*([^=;\\n]++)"
-_PROPERTY_FORM = f"{_MEMBER_START}{_MODIFIERS}({R.NAME})\\s*:\\s*"
-_SIMPLE_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+)(?:\\s*=\\s*[^;]+)?;"
-_ARRAY_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+\\[\\s*\\])"
+_METHOD = "(?Ud)" + f"{_MEMBER_START}{_MODIFIERS}(\\*\\s*+)?(#?{R.NAME})\\s*+\\??\\s*+(?:{R.GENERIC})?\\s*+\\((?=\\s*+\\))"
+_PROPERTY = "(?Ud)" + f"{_MEMBER_START}{_MODIFIERS}(#?{R.NAME})\\s*+[?!]?\\s*+:\\s*+([^=;\\n]++)"
+_PROPERTY_FORM = f"{_MEMBER_START}{_MODIFIERS}({R.NAME})\\s*+:\\s*+"
+_SIMPLE_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+)(?:\\s*+=\\s*+[^;]+)?;"
+_ARRAY_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+\\[\\s*+\\])"
 _FIELD_START = "(?:^|(?<=[;,}\\n]))\\s*+"
-_FIELD_METHOD = "(?Ud)" + f"{_FIELD_START}()()({R.NAME})\\s*\\??\\s*(?:{R.GENERIC})?\\s*\\((?=\\s*\\))"
-_FIELD_PROPERTY = "(?Ud)" + f"{_FIELD_START}(?:readonly\\s+)?({R.NAME})\\s*(\\?)?\\s*:\\s*([^=;,\\n]++)"
+_FIELD_METHOD = "(?Ud)" + f"{_FIELD_START}()()({R.NAME})\\s*+\\??\\s*+(?:{R.GENERIC})?\\s*+\\((?=\\s*+\\))"
+_FIELD_PROPERTY = "(?Ud)" + f"{_FIELD_START}(?:readonly\\s++)?({R.NAME})\\s*+(\\?)?\\s*+:\\s*+([^=;,\\n]++)"
 
 _EXPORT_ROW = "struct<rule_no:int,pos:int,name:string,type:string,visibility:string,line:int>"
 

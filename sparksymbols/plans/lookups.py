@@ -172,13 +172,14 @@ def get_repository(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "P6_list_files",
-    f"WITH {R.CHANGES} SELECT repoId, filePath, event_id, fileHash FROM ({LATEST}) WHERE repoId = '7'",
+    f"WITH {R.CHANGES} SELECT repoId, filePath, event_id, fileHash FROM ({LATEST}) WHERE repoId IN"
+    " (SELECT CAST(user_id + 10 AS VARCHAR) FROM events)",
 )
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Listing of one repository through the stored table; only its bucket is read."""
-    table, changes = events_table(spark, folder, "list")
-    table.append(changes)
-    return table.lookup("7").select(*KEYS, "event_id", "fileHash")
+    """Listings of all repositories a shifted list names; some of them do not exist."""
+    index = latest_per_key(B.events_as_changes(spark, folder).select("event_id", *KEYS, "fileHash", "ts"), KEYS, ["ts", "event_id"])
+    asked = B.load(spark, folder, "events").select((F.col("user_id") + 10).cast("string").alias("repoId"))
+    return L.list_files_of(index, asked).select(*KEYS, "event_id", "fileHash")
 
 
 @query(

@@ -118,6 +118,26 @@ def test_import_over_several_lines(parse):
     assert names(rows, "name", "alias", "line") == [("A", None, 2), ("B", "C", 2)]
 
 
+def test_a_name_that_is_a_keyword_of_the_import(parse):
+    rows = parse("import { from, of } from 'rxjs';\nimport type { Type } from \"./t\";", typescript.named_imports())
+    assert names(rows, "name", "source") == [("from", "rxjs"), ("of", "rxjs"), ("Type", "./t")]
+
+
+def test_long_comments_cost_linear_time(parse):
+    """Blanked comments leave long runs of blanks in every place a rule may look at."""
+    long = "/*" + "x" * 200_000 + "*/"
+    code = (
+        f"import {long} {{ a }} {long} from './x';\nexport {long} function f(a {long} : string {long}) {long} : void {{}}\n"
+        f"export class C {long} {{ private a {long} : string; m {long} (b {long}) {long} {{ }} }}\nimport {long} nothing;"
+    )
+    assert names(parse(code, typescript.named_imports()), "name") == [("a",)]
+    assert names(parse(code, typescript.exports()), "name") == [("f",), ("C",)]
+    (f,) = parse(code, "functions", typescript.with_functions)
+    assert names(f["signature"]["parameters"], "name", "type") == [("a", "string")]
+    rows = parse(code, typescript.class_members(), typescript.with_classes)
+    assert names(rows, "name", "kind") == [("m", "method"), ("a", "property")]
+
+
 def test_class_members(parse):
     rows = parse(CLASS, typescript.class_members(), typescript.with_classes)
     assert names(rows, "name", "kind", "visibility", "line") == [
