@@ -115,8 +115,7 @@ def _plain(kind: str) -> str:
 
 def typescript_exports(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``exports`` with signatures, class and interface details, and ``imports``."""
-    code = typescript.with_code(files, content)
-    parsed = typescript.with_interfaces(typescript.with_classes(typescript.with_functions(code)))
+    parsed = typescript.with_declarations(typescript.with_code(files, content))
     parsed = parsed.withColumn("grouped", F.expr(typescript.with_overloads("functions"))).withColumn(
         "symbols", F.expr(typescript.exports())
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparksymbols.functions.text import UNICODE, bind, brace_block, each, find_all, group, keep, lit
@@ -149,18 +149,21 @@ def _spans(pattern: str, body: Callable[[str, str, str, str], str]) -> str:
     return bind("plain", lambda p: each(found, lambda h, _: one(p, h)))
 
 
-def with_functions(files: DataFrame) -> DataFrame:
-    """Add ``functions``: ``array<struct<name, line, pos, signature>>``, one entry per declaration, overloads included."""
+_CALLABLE_FIELDS = ("owner", "owner_pos", "owner_kind", "name", "visibility", "pos", "line")
+
+
+def _function_spans() -> str:
+    """Exported functions, overloads included, as callables of the file."""
 
     def body(h: str, after: str, same: str, header: str) -> str:
         return (
-            f"named_struct('name', regexp_extract({header}, {lit(_FUNCTION_HEAD)}, 3), 'line', {h}.line,"
-            f" 'pos', {h}.start, 'is_async', {group(header, _FUNCTION_HEAD, 1)} is not null,"
+            f"named_struct('owner', '', 'owner_pos', -1, 'owner_kind', 'file',"
+            f" 'name', regexp_extract({header}, {lit(_FUNCTION_HEAD)}, 3), 'visibility', 'public', 'pos', {h}.start,"
+            f" 'line', {h}.line, 'is_async', {group(header, _FUNCTION_HEAD, 1)} is not null,"
             f" 'is_generator', {group(header, _FUNCTION_HEAD, 2)} is not null, 'after', {after}, 'same', {same})"
         )
 
-    spans = files.withColumn("functions", F.expr(_spans(_FUNCTION_HEAD, body)))
-    return with_signatures(spans, "functions", ("name", "line", "pos"), GRAMMAR)
+    return _spans(_FUNCTION_HEAD, body)
 
 
 def with_overloads(functions: str = "functions") -> str:
@@ -209,25 +212,30 @@ def _heritage(clause: str) -> dict[str, str]:
     }
 
 
-_BLOCK_FIELDS = ("name", "clause", "line", "pos", "block_line", "same")
+_BLOCK_FIELDS = ("kind", "name", "clause", "line", "pos", "block_line", "same")
 
 
-def _with_blocks(files: DataFrame, column: str, pattern: str) -> DataFrame:
-    """Add the declarations that open a block, with its text (``block``, ``same``) and its outer level (``outer``)."""
+def _block_spans(kind: str, pattern: str) -> str:
+    """Declarations that open a block, with the text after the brace."""
 
     def body(h: str, after: str, same: str, header: str) -> str:
         return (
-            f"named_struct('name', regexp_extract({header}, {lit(pattern)}, 1),"
+            f"named_struct('kind', '{kind}', 'name', regexp_extract({header}, {lit(pattern)}, 1),"
             f" 'clause', regexp_extract({header}, {lit(pattern)}, 2), 'line', {h}.line, 'pos', {h}.start,"
             f" 'block_line', {h}.line + {newlines(header)}, 'same', {same}, 'after', {after})"
         )
 
+    return _spans(pattern, body)
+
+
+def _with_blocks(files: DataFrame, spans: list[str]) -> DataFrame:
+    """Add ``blocks``: declarations with the text of their block (``block``, ``same``) and its outer level (``outer``)."""
     return (
-        files.withColumn(column, F.expr(_spans(pattern, body)))
-        .withColumn(column, extend(column, _BLOCK_FIELDS, lambda c: {"block": brace_block(f"{c}.after")}))
+        files.withColumn("blocks", F.expr(f"concat({', '.join(spans)})"))
+        .withColumn("blocks", extend("blocks", _BLOCK_FIELDS, lambda c: {"block": brace_block(f"{c}.after")}))
         .withColumn(
-            column,
-            extend(column, (*_BLOCK_FIELDS, "block"), lambda c: {"outer": top_level(f"{c}.block", "[(){}]", "({")}),
+            "blocks",
+            extend("blocks", (*_BLOCK_FIELDS, "block"), lambda c: {"outer": top_level(f"{c}.block", "[(){}]", "({")}),
         )
     )
 
@@ -242,11 +250,8 @@ def _visibility(modifiers: str) -> str:
     return f"if({modifiers} rlike {lit(_ACCESS)}, 'private', 'public')"
 
 
-_METHOD_FIELDS = ("owner", "owner_pos", "name", "visibility", "pos", "line")
-
-
-def _with_methods(files: DataFrame, column: str, blocks: str, pattern: str) -> DataFrame:
-    """Add the methods (and constructors) of all blocks as one array with signatures."""
+def _method_spans(kind: str, pattern: str) -> str:
+    """Methods (and constructors) of all blocks of a kind."""
     words = ", ".join(f"'{w}'" for w in R.CONTROL_WORDS)
 
     def one(c: str, m: str) -> str:
@@ -254,7 +259,7 @@ def _with_methods(files: DataFrame, column: str, blocks: str, pattern: str) -> D
         head = f"concat({m}.text, ')')"
         modifiers = f"regexp_extract({head}, {lit(pattern)}, 1)"
         return (
-            f"named_struct('owner', {c}.name, 'owner_pos', {c}.pos,"
+            f"named_struct('owner', {c}.name, 'owner_pos', {c}.pos, 'owner_kind', {c}.kind,"
             f" 'name', regexp_extract({head}, {lit(pattern)}, 3), 'visibility', {_visibility(modifiers)},"
             f" 'pos', {m}.start, 'line', {_line(c, m)}, 'is_async', {modifiers} rlike r'\\basync\\b',"
             f" 'is_generator', {group(head, pattern, 2)} is not null,"
@@ -262,64 +267,93 @@ def _with_methods(files: DataFrame, column: str, blocks: str, pattern: str) -> D
             f" 'same', substring({c}.same, {at}, length({m}.tail)))"
         )
 
-    found = each(blocks, lambda c, _: each(find_all(f"{c}.outer", pattern), lambda m, _: one(c, m)))
-    spans = files.withColumn(column, F.expr(keep(f"flatten({found})", lambda m: f"{m}.name not in ({words})")))
-    return with_signatures(spans, column, _METHOD_FIELDS, GRAMMAR)
+    found = each(_of_kind(kind), lambda c, _: each(find_all(f"{c}.outer", pattern), lambda m, _: one(c, m)))
+    return keep(f"flatten({found})", lambda m: f"{m}.name not in ({words})")
+
+
+def _of_kind(kind: str) -> str:
+    return keep("blocks", lambda c: f"{c}.kind = '{kind}'")
 
 
-def _fields(blocks: str, pattern: str, required: str, modifiers: str, name_group: int, type_group: int) -> str:
-    """Properties of all blocks: ``array<struct<owner, owner_pos, name, visibility, pos, line, type, required>>``."""
+def _callables(owner_kind: str) -> str:
+    return keep("callables", lambda c: f"{c}.owner_kind = '{owner_kind}'")
+
+
+def _fields(kind: str, pattern: str, visibility_group: int, name_group: int, optional_group: int, type_group: int) -> str:
+    """Properties of all blocks of a kind; a group number 0 stands for none.
+
+    ``array<struct<owner, owner_pos, name, visibility, pos, line, type, required>>``
+    """
     words = ", ".join(f"'{w}'" for w in R.RESERVED_WORDS)
 
     def one(c: str, m: str) -> str:
-        text = f"{m}.text"
+        def part(number: int) -> str:
+            return f"regexp_extract({m}.text, {lit(pattern)}, {number})"
+
+        visibility = _visibility(part(visibility_group)) if visibility_group else "'public'"
+        required = f"{part(optional_group)} = ''" if optional_group else "true"
         return (
-            f"named_struct('owner', {c}.name, 'owner_pos', {c}.pos,"
-            f" 'name', regexp_extract({text}, {lit(pattern)}, {name_group}),"
-            f" 'visibility', {_visibility(modifiers.format(text=text))}, 'pos', {m}.start, 'line', {_line(c, m)},"
-            f" 'type', {trimmed(f'regexp_extract({text}, {lit(pattern)}, {type_group})')},"
-            f" 'required', {required.format(text=text)})"
+            f"named_struct('owner', {c}.name, 'owner_pos', {c}.pos, 'name', {part(name_group)},"
+            f" 'visibility', {visibility}, 'pos', {m}.start, 'line', {_line(c, m)},"
+            f" 'type', {trimmed(part(type_group))}, 'required', {required})"
         )
 
-    found = each(blocks, lambda c, _: each(find_all(f"{c}.outer", pattern), lambda m, _: one(c, m)))
+    found = each(_of_kind(kind), lambda c, _: each(find_all(f"{c}.outer", pattern), lambda m, _: one(c, m)))
     return keep(f"flatten({found})", lambda f: f"{f}.name not in ({words})")
 
 
-def _class_fields(pattern: str) -> str:
-    return _fields("classes", pattern, "true", f"regexp_extract({{text}}, {_braced(lit(pattern))}, 1)", 2, 3)
+def with_declarations(
+    files: DataFrame, functions: bool = True, classes: bool = True, interfaces: bool = True
+) -> DataFrame:
+    """Add the wanted arrays.
+
+    ``functions`` (name, line, pos, signature; overloads included); ``classes`` (name, line, pos, extends, implements)
+    with ``methods`` (constructors too), ``properties`` (any type) and ``simple_properties`` (plain types, then arrays);
+    ``interfaces`` (name, line, pos, extends) with ``interface_methods`` and ``interface_properties``.
+
+    All blocks go through one set of steps, and all callables through one.
+    """
+    kinds = {"class": (classes, _CLASS_HEAD, _METHOD), "interface": (interfaces, _INTERFACE_HEAD, _FIELD_METHOD)}
+    wanted = {kind: (head, method) for kind, (asked, head, method) in kinds.items() if asked}
+    parsed = files
+    spans = [_function_spans()] if functions else []
+    if wanted:
+        parsed = _with_blocks(parsed, [_block_spans(kind, head) for kind, (head, _) in wanted.items()])
+        spans += [_method_spans(kind, method) for kind, (_, method) in wanted.items()]
+    parsed = parsed.withColumn("callables", F.expr(f"concat({', '.join(spans)})"))
+    parsed = with_signatures(parsed, "callables", _CALLABLE_FIELDS, GRAMMAR)
+
+    made: dict[str, Column] = {}
+    if functions:
+        made["functions"] = F.expr(_callables("file"))
+    if classes:
+        simple = f"concat({_fields('class', _SIMPLE_PROPERTY, 1, 2, 0, 3)}, {_fields('class', _ARRAY_PROPERTY, 1, 2, 0, 3)})"
+        made["classes"] = extend(_of_kind("class"), ("name", "line", "pos"), lambda c: _heritage(f"{c}.clause"))
+        made["methods"] = F.expr(_callables("class"))
+        made["properties"] = F.expr(_fields("class", _PROPERTY, 1, 2, 0, 3))
+        made["simple_properties"] = F.expr(simple)
+    if interfaces:
+        made["interfaces"] = extend(_of_kind("interface"), ("name", "line", "pos"), lambda c: _parents(f"{c}.clause"))
+        made["interface_methods"] = F.expr(_callables("interface"))
+        made["interface_properties"] = F.expr(_fields("interface", _FIELD_PROPERTY, 0, 1, 2, 3))
+    return parsed.select(*files.columns, *(column.alias(name) for name, column in made.items()))
 
 
-def _braced(text: str) -> str:
-    return text.replace("{", "{{").replace("}", "}}")
+def with_functions(files: DataFrame) -> DataFrame:
+    return with_declarations(files, classes=False, interfaces=False)
 
 
 def with_classes(files: DataFrame) -> DataFrame:
-    """Add ``classes`` (name, line, pos, extends, implements), ``methods`` (with signatures, the constructors too),
-    ``properties`` (any type) and ``simple_properties`` (rule order: plain types, then arrays)."""
-    blocks = _with_methods(_with_blocks(files, "classes", _CLASS_HEAD), "methods", "classes", _METHOD)
-    simple = f"concat({_class_fields(_SIMPLE_PROPERTY)}, {_class_fields(_ARRAY_PROPERTY)})"
-    return (
-        blocks.withColumn("properties", F.expr(_class_fields(_PROPERTY)))
-        .withColumn("simple_properties", F.expr(simple))
-        .withColumn("classes", extend("classes", ("name", "line", "pos"), lambda c: _heritage(f"{c}.clause")))
-    )
+    return with_declarations(files, functions=False, interfaces=False)
 
 
 def with_interfaces(files: DataFrame) -> DataFrame:
-    """Add ``interfaces`` (name, line, pos, extends), ``interface_methods`` and ``interface_properties``."""
-    blocks = _with_methods(
-        _with_blocks(files, "interfaces", _INTERFACE_HEAD), "interface_methods", "interfaces", _FIELD_METHOD
-    )
-    optional = f"nullif(regexp_extract({{text}}, {_braced(lit(_FIELD_PROPERTY))}, 2), '') is null"
-    parents = lit("(?Uds)^\\s*extends\\s+(.*)$")
+    return with_declarations(files, functions=False, classes=False)
 
-    def rest(c: str) -> dict[str, str]:
-        bare = f"regexp_replace({c}.clause, {lit(R.GENERIC)}, '')"
-        return {"extends": _bare_names(f"regexp_extract({bare}, {parents}, 1)")}
 
-    return blocks.withColumn(
-        "interface_properties", F.expr(_fields("interfaces", _FIELD_PROPERTY, optional, "''", 1, 3))
-    ).withColumn("interfaces", extend("interfaces", ("name", "line", "pos"), rest))
+def _parents(clause: str) -> dict[str, str]:
+    bare = f"regexp_replace({clause}, {lit(R.GENERIC)}, '')"
+    return {"extends": _bare_names(f"regexp_extract({bare}, {lit('(?Uds)^\\s*extends\\s+(.*)$')}, 1)")}
 
 
 def class_members(methods: str = "methods", simple: str = "simple_properties") -> str:
