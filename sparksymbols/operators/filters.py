@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparksymbols.functions import scalars as S
-from sparksymbols.operators.joins import split_join
+from sparksymbols.operators.skew import first_rows, split_join
 
 
 def indexable_files(
@@ -69,8 +69,7 @@ def search_exports(index: DataFrame, query: str, repo: str | None = None, limit:
     """
     files = index if repo is None else list_files(index, repo)
     if limit is not None:
-        position = F.row_number().over(Window.partitionBy("repoId").orderBy("filePath"))
-        files = files.withColumn("position", position).where(F.col("position") <= limit).drop("position")
+        files = first_rows(files, ["repoId"], ["filePath"], limit)
     matching = F.filter("exports", lambda e: S.icontains(e["name"], F.lit(query)))
     return files.withColumn("exports", matching).where(F.size("exports") > 0)
 

@@ -8,44 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparksymbols.functions import scalars as S
-
-ROWS_PER_SLICE = 1_000_000
-NULL_SLICES = 64
-
-
-def split_join(
-    many: DataFrame,
-    one: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    spread_by: Sequence[str] = (),
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    """Join ``many`` with ``one`` (at most one row per key) without putting a frequent key into one task.
-
-    Keys with more than ``rows_per_slice`` rows are cut into slices by a hash of ``spread_by``, and their row of
-    ``one`` is repeated per slice. There are fewer such keys than rows / ``rows_per_slice``, which bounds the
-    broadcast. The slice depends on the row only, so a recomputed task gives the same slice.
-    """
-    hot = (
-        many.groupBy(*keys)
-        .count()
-        .where(F.col("count") > rows_per_slice)
-        .select(*keys, F.ceil(F.col("count") / rows_per_slice).alias("slices"))
-    )
-    row_hash = F.xxhash64(*(spread_by or many.columns))
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    slices = F.when(no_key, F.lit(NULL_SLICES)).otherwise(F.coalesce("slices", F.lit(1)))
-    left = many.join(F.broadcast(hot), list(keys), "left").select(
-        *many.columns, F.pmod(row_hash, slices).cast("bigint").alias("slice")
-    )
-    right = one.join(F.broadcast(hot), list(keys), "left").select(
-        *one.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("slices", F.lit(1)) - 1)).alias("slice")
-    )
-    return left.join(right, [*keys, "slice"], how).drop("slice")
-
+from sparksymbols.operators.skew import split_join
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], hash_column: str = "fileHash") -> DataFrame:
     """Changes between two snapshots with one row per key: ``change_type`` A, D or M; a rename is D and A."""
@@ -116,9 +79,6 @@ def cascade_delete(
     return repositories.join(gone, key, "left_anti"), split_join(files, gone, [key], "left_anti", spread_by)
 
 
-MODULE_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx")
-
-
 def module_exports(exports: DataFrame) -> DataFrame:
     """Export rows ``(repoId, filePath, name, lineNumber)`` as one row per (repoId, module, name).
 

@@ -36,8 +36,9 @@ def page_index(spark: SparkSession, folder: str) -> DataFrame:
     f" WHERE {R.EXTENSION} = '.html' AND {R.allowed('en', 'fr')} ORDER BY repoId, filePath",
 )
 def tree_scan(spark: SparkSession, folder: str) -> DataFrame:
-    scanned = landing.tree_scan(B.pages_as_files(spark, folder), extensions=(".html",), folders=("en", "fr"))
-    return scanned.select("page_id", *KEYS, S.content_hash(F.col("content")).alias("fileHash"))
+    files = B.pages_as_files(spark, folder).withColumn("fileHash", S.content_hash(F.col("content")))
+    scanned = landing.tree_scan(files, extensions=(".html",), folders=("en", "fr"))
+    return scanned.select("page_id", *KEYS, "fileHash")
 
 
 @query("S2_tolerant_decode", "SELECT doc_id, sha256(text) AS fileHash, length(text) AS chars FROM documents")

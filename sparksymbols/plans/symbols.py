@@ -13,6 +13,7 @@ from sparksymbols.operators import joins as J
 from sparksymbols.operators import metrics as A
 from sparksymbols.operators import mutations as M
 from sparksymbols.operators.rules import Rule
+from sparksymbols.operators.skew import first_rows
 from sparksymbols.plans import registry as R
 from sparksymbols.plans.lookups import KEYS, PAGES, WEB_LANGUAGES, page_index
 from sparksymbols.plans.registry import facts, fill, query
@@ -452,8 +453,7 @@ def path_sort(spark: SparkSession, folder: str) -> DataFrame:
 )
 def limit_n(spark: SparkSession, folder: str) -> DataFrame:
     """The first three links of the first five files of every host."""
-    index = page_index(spark, folder).where(F.size("imports") > 0)
-    first = A.first_files(index, "repoId", ["filePath"], 5)
+    first = first_rows(page_index(spark, folder), ["repoId"], ["filePath"], 5).where(F.size("imports") > 0)
     return first.select("page_id", *KEYS, F.array_join(F.slice("imports.name", 1, 3), ",").alias("names"))
 
 

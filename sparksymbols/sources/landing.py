@@ -60,8 +60,8 @@ def scan_trees(roots: DataFrame, **filters) -> DataFrame:
 
 
 def tree_scan(files: DataFrame, **filters) -> DataFrame:
-    """Indexable files of a landed table in path order."""
-    return indexable_files(files, **filters).orderBy("repoId", "filePath")
+    """The list of indexable files of a landed table in path order. Content takes no part in the sort."""
+    return indexable_files(files, **filters).drop("content").orderBy("repoId", "filePath")
 
 
 def read_changes(spark: SparkSession, path: str, file_format: str = "parquet", schema: T.StructType = schemas.CHANGE_EVENT) -> DataFrame:

@@ -131,3 +131,23 @@ def test_running_sums_and_row_numbers(spark):
         n, total = seen.get(r.repoId, (0, 0))
         seen[r.repoId] = (n + 1, total + r.t)
         assert (r.n, r.total) == seen[r.repoId]
+
+
+def test_lease_stream_equals_a_loop(spark, tmp_path):
+    from sparksymbols.sources.tables import KeyedTable
+    from sparksymbols.streaming import lease_stream as L
+
+    rng = random.Random(12)
+    kinds = ["acquire", "acquire", "extend", "release"]
+    rows = [(f"k{rng.randrange(5)}", i, i, rng.choice(kinds), rng.choice([2, 9, 40])) for i in range(300)]
+    df = spark.createDataFrame(rows, "lock_key string, arrival int, t int, kind string, ttl_seconds int")
+    df = df.withColumn("requested_at", F.expr("timestamp_seconds(t)")).drop("t")
+    for part in range(3):
+        mine = df.where(f"arrival >= {part * 100} and arrival < {part * 100 + 100}")
+        mine.coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    leases = KeyedTable(spark, str(tmp_path / "leases"), ["lock_key"], ["requested_at", "arrival"], buckets=2)
+    decisions = KeyedTable(spark, str(tmp_path / "decisions"), ["lock_key"], ["arrival"], buckets=2)
+    L.lease_stream(stream, leases, decisions, str(tmp_path / "offsets"), partitions=4).awaitTermination()
+    assert len(leases.batches()) == 3
+    assert {r.arrival: r.decision for r in decisions.rows().collect()} == lease_loop(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparksymbols.operators import joins as J
 from sparksymbols.operators import metrics as A
 from sparksymbols.operators import mutations as M
+from sparksymbols.operators.skew import first_rows, split_join
 
 
 def rows_of(df):
@@ -18,7 +19,7 @@ def test_split_join_equals_a_plain_join(spark, how):
     many = [(i, None if rng.random() < 0.1 else "hot" if rng.random() < 0.5 else f"k{rng.randrange(40)}") for i in range(2000)]
     left = spark.createDataFrame(many, "id int, k string")
     right = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(20)), (None, 5)], "k string, v int")
-    split = J.split_join(left, right, ["k"], how, ["id"], rows_per_slice=100)
+    split = split_join(left, right, ["k"], how, ["id"], rows_per_slice=100)
     plain = left.join(right, "k", how)
     assert rows_of(split.select(*plain.columns)) == rows_of(plain)
 
@@ -26,12 +27,21 @@ def test_split_join_equals_a_plain_join(spark, how):
 def test_frequent_keys_are_cut_into_slices(spark):
     left = spark.range(10_000).select("id", F.lit("hot").alias("k"))
     right = spark.createDataFrame([("hot", 1)], "k string, v int")
-    joined = J.split_join(left, right, ["k"], "left", ["id"], rows_per_slice=500)
+    joined = split_join(left, right, ["k"], "left", ["id"], rows_per_slice=500)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64(id" in plan
     assert "rand(" not in plan
 
 
+@pytest.mark.parametrize("rows_per_slice", [50, 100_000])
+def test_first_rows(spark, rows_per_slice):
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(40)}", i * 7919 % 2003) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(8)
+    expected = sorted((k, v) for k in {k for k, _ in rows} for v in sorted(v for x, v in rows if x == k)[:5])
+    assert sorted(tuple(r) for r in first_rows(df, ["k"], ["v"], 5, rows_per_slice).collect()) == expected
+
+
 def test_snapshot_diff(spark):
     before = spark.createDataFrame([("a", "1"), ("b", "1"), ("old", "7")], "path string, fileHash string")
     after = spark.createDataFrame([("a", "1"), ("b", "2"), ("new", "7")], "path string, fileHash string")

@@ -157,3 +157,15 @@ def test_tree_scan(spark, tmp_path):
     found = {r.filePath: r.content for r in landing.scan_trees(roots).collect()}
     assert found == {"src/a.ts": "export const a = 1;\r\n", "src/deep/__init__.py": "", "src/bad.JS": "oké", "root.py": "x = 1"}
     assert [r.filePath for r in landing.tree_scan(landing.scan_trees(roots)).collect()] == sorted(found)
+
+
+def test_changes_from_json(spark, tmp_path):
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "a.json").write_text(
+        '{"repo_url": "r", "file_path": "src/a.ts", "commit_sha": "abcdef1", "file_timestamp": "2024-01-02T03:04:05Z",'
+        ' "file_content": "export const a = 1;", "language": "typescript"}\n'
+    )
+    batch = landing.read_changes(spark, str(tmp_path / "feed"), "json").first()
+    assert (batch.file_path, batch.file_timestamp.isoformat()) == ("src/a.ts", "2024-01-02T03:04:05")
+    stream = landing.stream_changes(spark, str(tmp_path / "feed"), "json")
+    assert stream.isStreaming and stream.columns == batch.__fields__
