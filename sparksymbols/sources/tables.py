@@ -1,7 +1,8 @@
 """Stored tables: batches of rows are added, and the current state is the last row of each key.
 
 A batch costs what it holds, not what the table holds. Each batch is a folder that counts once Spark has
-committed it, so writing it again after a failure replaces it.
+committed it, so writing it again after a failure replaces it. Now and then the current state is written as a
+base, so that a read costs the state and the batches since.
 """
 
 from __future__ import annotations
@@ -28,30 +29,37 @@ class KeyedTable:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def batches(self, with_rows: bool = False) -> list[int]:
-        """Numbers of the committed batches; on request only of those that hold rows."""
+    def _committed(self, kind: str, with_rows: bool = False) -> list[int]:
+        """Numbers of the committed folders ``kind=n``; on request only of those that hold rows."""
         fs, root = self._files()
         if not fs.exists(root):
             return []
         found = []
         for folder in (status.getPath() for status in fs.listStatus(root)):
-            if folder.getName().startswith("batch="):
+            if folder.getName().startswith(f"{kind}="):
                 names = {status.getPath().getName() for status in fs.listStatus(folder)}
                 if "_SUCCESS" in names and not (with_rows and names == {"_SUCCESS"}):
-                    found.append(int(folder.getName().removeprefix("batch=")))
+                    found.append(int(folder.getName().removeprefix(f"{kind}=")))
         return sorted(found)
 
+    def batches(self) -> list[int]:
+        """Numbers of the committed batches."""
+        return self._committed("batch")
+
     def bucket_of(self, repo):
         return F.pmod(F.xxhash64(repo), F.lit(self.buckets)).cast("int")
 
+    def _store(self, rows: DataFrame, folder: str) -> None:
+        # Rebalancing gives files of even size: Spark joins small buckets and cuts the bucket of a large repository.
+        bucketed = rows.withColumn(BUCKET, self.bucket_of(F.col(self.keys[0]))).hint("rebalance", BUCKET)
+        ordered = bucketed.sortWithinPartitions(BUCKET, *self.keys)
+        ordered.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+
     def write(self, rows: DataFrame, batch: int) -> bool:
         """Write one batch; rows without a ``deleted`` column are live. An empty batch is stored as done."""
         if "deleted" not in rows.columns:
             rows = rows.withColumn("deleted", F.lit(False))
-        # Rebalancing gives files of even size: Spark joins small buckets and cuts the bucket of a large repository.
-        bucketed = rows.withColumn(BUCKET, self.bucket_of(F.col(self.keys[0]))).hint("rebalance", BUCKET)
-        ordered = bucketed.sortWithinPartitions(BUCKET, *self.keys)
-        ordered.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/batch={batch}")
+        self._store(rows, f"batch={batch}")
         return True
 
     def append(self, rows: DataFrame) -> int:
@@ -61,12 +69,19 @@ class KeyedTable:
         return batch
 
     def rows(self) -> DataFrame | None:
-        """All committed rows with ``batch`` and the bucket; None for a table without any."""
-        numbers = self.batches(with_rows=True)
-        if not numbers:
+        """The last base and all batches after it, with ``batch`` and the bucket; None for a table without any."""
+        base = max(self._committed("base"), default=-1)
+        parts = [(f"base={base}", base)] if base in self._committed("base", with_rows=True) else []
+        parts += [(f"batch={n}", n) for n in self._committed("batch", with_rows=True) if n > base]
+        if not parts:
             return None
-        paths = [f"{self.path}/batch={n}" for n in numbers]
-        return self.spark.read.option("basePath", self.path).parquet(*paths)
+        batches = [name for name, _ in parts if name.startswith("batch=")]
+        read = self.spark.read.option("basePath", self.path)
+        rows = read.parquet(*(f"{self.path}/{name}" for name in batches)) if batches else None
+        if len(batches) < len(parts):
+            state = self.spark.read.parquet(f"{self.path}/base={base}").withColumn("batch", F.lit(base))
+            rows = state if rows is None else state.unionByName(rows)
+        return rows
 
     def current(self, *columns: str) -> DataFrame | None:
         """The last row of each key, deleted keys left out; only the given columns (and the key) are read."""
@@ -96,10 +111,8 @@ class KeyedTable:
                 marks = marks.withColumn(field.name, F.lit(None).cast(field.dataType))
         return self.append(marks)
 
-    def compact(self, path: str) -> KeyedTable:
-        """A new table at ``path`` whose first batch is the current state."""
-        target = KeyedTable(self.spark, path, self.keys, self.order, self.buckets)
-        state = self.current()
+    def compact(self) -> None:
+        """Write the current state as a base, so that reads start there instead of at the first batch."""
+        batches, state = self.batches(), self.current()
         if state is not None:
-            target.write(state, 0)
-        return target
+            self._store(state.withColumn("deleted", F.lit(False)), f"base={batches[-1]}")

@@ -62,11 +62,14 @@ def index_stream(
     checkpoint: str,
     parse: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     partitions: int | None = None,
+    compact_every: int = 100,
 ) -> StreamingQuery:
     """Run a change stream into ``table`` until all available input is taken."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         index_batch(batch, batch_id, table, order, parse, partitions)
+        if (batch_id + 1) % compact_every == 0:
+            table.compact()
 
     return (
         changes.writeStream.foreachBatch(store)

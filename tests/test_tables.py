@@ -41,14 +41,16 @@ def test_empty_batch_is_a_success(spark, table):
     assert state(table) == {("r", "a"): "x"}
 
 
-def test_delete_and_compact(spark, table, tmp_path):
+def test_delete_and_compact(spark, table):
     table.append(changes(spark, [(1, "r", "a", "x", 1), (2, "r", "b", "y", 1), (3, "s", "a", "z", 1)]))
     table.delete(spark.createDataFrame([("r", "a"), ("r", "none")], "repoId string, filePath string"))
     assert state(table) == {("r", "b"): "y", ("s", "a"): "z"}
-    table.append(changes(spark, [(4, "r", "a", "again", 2)]))
-    compacted = table.compact(str(tmp_path / "second"))
-    assert state(compacted) == state(table) == {("r", "a"): "again", ("r", "b"): "y", ("s", "a"): "z"}
-    assert compacted.rows().count() == 3
+    table.compact()
+    assert table.rows().count() == 2
+    table.append(changes(spark, [(4, "r", "a", "again", 2), (5, "s", "a", "new", 2)]))
+    assert state(table) == {("r", "a"): "again", ("r", "b"): "y", ("s", "a"): "new"}
+    assert table.batches() == [0, 1, 2]
+    assert [r.filePath for r in table.lookup("r").orderBy("filePath").collect()] == ["a", "b"]
 
 
 def test_a_batch_that_was_not_committed_does_not_count(spark, table):
@@ -97,10 +99,11 @@ def test_stream_equals_a_loop_and_survives_a_replay(spark, feed, table, tmp_path
     rows, path = feed
     schema = spark.read.parquet(path).schema
     stream = landing.stream_changes(spark, path, schema=schema, files_per_batch=1)
-    T.index_stream(stream, table, ["event_id"], str(tmp_path / "offsets")).awaitTermination()
+    T.index_stream(stream, table, ["event_id"], str(tmp_path / "offsets"), compact_every=2).awaitTermination()
     expected = gate_loop(rows)
     assert len(table.batches()) > 1
     assert {(r.repoId, r.filePath): r.event_id for r in table.current().collect()} == expected
+    assert table.rows().agg(F.min("batch")).first()[0] > 0
     # The same batches offered again, as after a restart before the offsets were stored.
     before = table.rows().count()
     for n, part in enumerate(range(0, 200, 40)):
@@ -140,6 +143,24 @@ def test_live_progress(spark, feed, tmp_path):
         assert (r.total, r.failed, r.skipped) == (len(mine), mine.count("c0"), mine.count("c1"))
 
 
+def test_checkpoint_folder_is_the_one_the_session_names(spark):
+    from sparksymbols.session import scratch_path, shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert scratch_path(spark, "x").startswith(shared_dir(spark))
+
+
+def test_a_users_own_extractor(spark):
+    def words(batches):
+        for batch in batches:
+            rows = [(r.repoId, r.filePath, 1, 0, w, "word", None, 1) for r in batch.itertuples() for w in r.content.split()]
+            columns = ["repoId", "filePath", "rule_no", "pos", "name", "type", "source", "line"]
+            yield type(batch)(rows, columns=columns)
+
+    files = spark.createDataFrame([("r", "a.txt", "one two")], "repoId string, filePath string, content string")
+    assert [r.name for r in extract.apply_extractor(files, words).collect()] == ["one", "two"]
+
+
 def test_tree_scan(spark, tmp_path):
     files = {
         "src/a.ts": b"export const a = 1;\r\n",
