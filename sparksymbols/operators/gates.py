@@ -173,50 +173,50 @@ def run_fold(
     return labelled.drop(SEGMENT)
 
 
-# Change gate: the state is (time in microseconds, hash) of the last accepted row.
+# Change gate: the state is (time in microseconds, hash) of the last accepted row. A row without a readable time
+# is never stale, and after it no row is.
+_EVER = -(2**63)
 
 
 def _gate_step(state: State, row: tuple) -> tuple[str, State]:
     at, content = row
     if state is None:
         return "accepted", (int(at), content)
-    if at < state[0]:
+    if at != _EVER and at < state[0]:
         return "stale", state
     if content == state[1]:
         return "unchanged", state
     return "accepted", (int(at), content)
 
 
-_EVER = -(2**63)
-
-
 def _gate_probes(bounds: dict) -> list[State]:
     return [None, (_EVER, bounds["first_hash"])]
 
 
 def _gate_shortcut(state: tuple, bounds: dict, exits: Callable[[State], State]) -> tuple[State] | None:
     at, content = state
-    if at > bounds["latest"] or bounds["least_hash"] == bounds["greatest_hash"] == content:
+    if bounds["least_hash"] == bounds["greatest_hash"] == content:
+        return (state,)
+    if at > bounds["latest"] and bounds["earliest"] != _EVER:
         return (state,)
     if at > bounds["earliest"]:
         return None
     if content != bounds["first_hash"]:
         return (exits(None),)
     end = exits((_EVER, content))
-    return (state if end[0] == _EVER else end,)
+    return (state if end == (_EVER, content) else end,)
 
 
-def change_gate(hash_column: str, order: Sequence[str]) -> Fold:
-    by = f"struct({', '.join(order)})"
+def change_gate(order: Sequence[str]) -> Fold:
     return Fold(
-        inputs=("gate_time", hash_column),
+        inputs=("gate_time", "gate_hash"),
         step=_gate_step,
         bounds={
             "earliest": "min(gate_time)",
             "latest": "max(gate_time)",
-            "first_hash": f"min_by({hash_column}, {by})",
-            "least_hash": f"min({hash_column})",
-            "greatest_hash": f"max({hash_column})",
+            "first_hash": f"min_by(gate_hash, struct({', '.join(order)}))",
+            "least_hash": "min(gate_hash)",
+            "greatest_hash": "max(gate_hash)",
         },
         probes=_gate_probes,
         shortcut=_gate_shortcut,
@@ -242,10 +242,11 @@ def ordered_gate(
     partitions: int | None = None,
 ) -> DataFrame:
     """Add ``decision`` to each change, taken in arrival order per key: ``stale`` if older than the last accepted
-    change, ``unchanged`` if it has the same hash, else ``accepted``."""
-    rows = changes.withColumn("gate_time", micros(changes, ts))
-    gated = run_fold(rows, keys, order, change_gate(hash_column, order), "decision", partitions)
-    return gated.drop("gate_time")
+    change, ``unchanged`` if it has the same hash, else ``accepted``. ``order`` must rank the rows of a key fully."""
+    rows = changes.withColumn("gate_time", F.coalesce(micros(changes, ts), F.lit(_EVER))).withColumn(
+        "gate_hash", F.coalesce(hash_column, F.lit(""))
+    )
+    return run_fold(rows, keys, order, change_gate(order), "decision", partitions).drop("gate_time", "gate_hash")
 
 
 # Lease: the state is (expiry in microseconds,), or None when nothing is held.
@@ -297,8 +298,8 @@ def lease_grants(
     ``acquire`` is granted if no lease is held or the last one ended before; ``extend`` and ``release`` act on
     a held lease and are ignored otherwise.
     """
-    rows = requests.withColumn("lease_time", micros(requests, ts)).withColumn(
-        "lease_ttl", F.col("ttl_seconds").cast("bigint") * 1_000_000
+    rows = requests.withColumn("lease_time", F.coalesce(micros(requests, ts), F.lit(_EVER))).withColumn(
+        "lease_ttl", F.coalesce(F.col("ttl_seconds").cast("bigint") * 1_000_000, F.lit(0))
     )
     return run_fold(rows, keys, order, LEASE, "decision", partitions).drop("lease_time", "lease_ttl")
 

@@ -47,6 +47,23 @@ def test_gate_equals_a_loop(spark, hashes, order):
     assert {r.arrival: r.decision for r in gated} == gate_loop(rows)[0]
 
 
+def test_changes_without_a_time_are_never_stale(spark):
+    rng = random.Random(4)
+    rows = [(k, i, None if rng.random() < 0.05 else t, h) for k, i, t, h in histories(4)]
+    state, expected = {}, {}
+    for key, arrival, at, content in rows:
+        last = state.get(key)
+        if last and at is not None and last[0] is not None and at < last[0]:
+            expected[arrival] = "stale"
+        elif last and content == last[1]:
+            expected[arrival] = "unchanged"
+        else:
+            expected[arrival] = "accepted"
+            state[key] = (at, content)
+    gated = G.ordered_gate(changes(spark, rows), ["repoId"], ["arrival"], partitions=16).collect()
+    assert {r.arrival: r.decision for r in gated} == expected
+
+
 def test_a_key_with_most_rows_is_split(spark):
     frozen = segments.frozen_segments(changes(spark, histories(8)), ["repoId"], ["arrival"], 16)
     sizes = frozen.groupBy(segments.SEGMENT).count().collect()
