@@ -16,14 +16,22 @@ from pyspark.sql import functions as F
 from sparksymbols.session import checkpointed
 
 SEGMENT = "segment"
+ROWS_PER_SEGMENT = 2_000_000
+FEWEST_ROWS = 20_000
+
+
+def segment_count(rows: int, cores: int) -> int:
+    """Segments of at most ``ROWS_PER_SEGMENT`` rows; small inputs still use the cores, but not for a few rows."""
+    return max(1, -(-rows // ROWS_PER_SEGMENT), min(cores, -(-rows // FEWEST_ROWS)))
 
 
 def frozen_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Rows sorted by (keys, order) within range partitions, with the partition number in ``segment``.
 
-    The checkpoint makes the borders final: a recomputed range partitioning may place them elsewhere.
+    The number of segments follows the number of rows. The checkpoint makes the borders final: a recomputed range
+    partitioning may place them elsewhere.
     """
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions or segment_count(df.count(), df.sparkSession.sparkContext.defaultParallelism)
     ranged = df.repartitionByRange(count, *keys, *order).sortWithinPartitions(*keys, *order)
     return checkpointed(ranged.withColumn(SEGMENT, F.spark_partition_id()))
 

@@ -72,6 +72,11 @@ def test_a_key_with_most_rows_is_split(spark):
     assert [r.repoId for r in segments.spanning_keys(frozen, ["repoId"]).collect()].count("hot") == 1
 
 
+@pytest.mark.parametrize(("rows", "cores", "count"), [(0, 8, 1), (10_000, 8, 1), (100_000, 8, 5), (10**6, 8, 8), (10**12, 4000, 500_000)])
+def test_segment_count_follows_the_rows(rows, cores, count):
+    assert segments.segment_count(rows, cores) == count
+
+
 def test_segments_that_bounds_decide_are_not_folded_again(spark, monkeypatch):
     calls = []
     plain = G._run_exits
