@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparksymbols.llm import decontamination, exact_dedup, licenses, mixing
+from sparksymbols.llm import decontamination, exact_dedup, licenses, minhash, mixing, quality, repeats, token_counts, toxicity, warc
 from sparksymbols.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, folder, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -24,10 +28,34 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(spark, table(spark, folder, "documents"))
+
+
+def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_dedup, op3_license_scan, op4_decontamination, op7_mixing)}
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.corpus_history(table(spark, folder, "documents"))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OPERATORS = (
+    op1_warc, op2_exact_dedup, op3_license_scan, op4_decontamination, op5_suffix_repeats, op6_minhash, op7_mixing,
+    op8_token_counts, op9_quality, op10_toxicity,
+)
+QUERIES: dict[str, Query] = {operator.__name__: operator for operator in OPERATORS}
 
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op3_license_scan": licenses.SQL, "op7_mixing": mixing.SQL}
