@@ -34,7 +34,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a",
 EXCEPTIONS = ("trash can", "trash bin", "recycle trash", "clown fish", "pathetic fallacy", "stupid question is no", "pond scum")
 
 _GLYPHS = str.maketrans(HOMOGLYPHS)
-_INSIDE = re.compile(r"(?:(?<=[^\W\d_])|(?<![^\s]))[013457@$!|](?=[^\W\d_]|[013457@$!|][^\W\d_])")
+_INSIDE = re.compile(r"(?:(?<=[^\W\d_])|(?<![\w@$!|]))[013457@$!|]{1,3}(?=[^\W\d_])")
 _GAPS = re.compile(r"[\W_]+")
 
 
@@ -43,7 +43,7 @@ def fold(text: str | None) -> str:
     text = unicodedata.normalize("NFKC", text or "").lower()
     if not text.isascii():
         text = text.translate(_GLYPHS)
-    text = _INSIDE.sub(lambda m: DIGITS[m[0]], text)
+    text = _INSIDE.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
     return f" {_GAPS.sub(' ', text).strip()} "
 
 
