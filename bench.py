@@ -56,6 +56,7 @@ def main() -> None:
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            "spark.sparksymbols.input.tasks": cpus,  # the tables are single files, which one task would read
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from sparksymbols.functions import scalars as S
 
 
+INPUT_TASKS = "spark.sparksymbols.input.tasks"
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the input has too few splits to use them; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    """Rows dealt out to as many tasks as the session asks for in ``spark.sparksymbols.input.tasks``; else as they are.
+
+    For sessions that read a single small file with many cores; large inputs have splits enough.
+    """
+    tasks = df.sparkSession.conf.get(INPUT_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def pages_as_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,6 +184,48 @@ class Store{n}(Base):
 '''
 
 
+# Forms that the first template does not have.
+TYPESCRIPT_FORMS = """\
+/* {text}
+*/
+export enum Color{n} {{ Red, Green }}
+export declare const enum Size{n} {{ S }}
+export namespace Space{n} {{ const inside = 1; }}
+export * from "./doc{m}";
+export * as all{n} from './doc{m}';
+export const {{ left{n}, right: east{n}, ...rest{n} }} = load();
+export const one{n} = 1, two{n} = [1, 2], three{n} = (a, b) => a;
+export default {{ name: {n} }};
+@Component({{ selector: "x" }})
+export class Form{n} extends Base<A<B<C<D<E<F>>>>>> {{
+  @Input() label: string;
+  @Output()
+  changed = new Emitter<string>();
+  count = 0;
+  static readonly MAX = 5;
+  handler = (e) => {{ return e; }};
+  constructor(@Inject(TOKEN) private token: Token, @Optional() log?: Log) {{ super(); }}
+  fetch(id: number): One;
+  fetch(id: any): One {{ return id; }}
+  @HostListener("x", ["$event"])
+  onEvent(e):          {{ a: string }} {{ }}
+{methods}}}
+"""
+
+PYTHON_MODULES = '''\
+"""{text}
+"""
+from .doc{m} import load{m}
+from src.{lang}.doc{m} import Store{m} as Other
+from ..{lang}.doc{m} import LIMIT{m}
+from . import gone{n}
+from outside import thing{n}
+LIMIT{n} = 10
+def load{n}(path): pass
+class Store{n}: pass
+{methods}'''
+
+
 def _code_files(spark: SparkSession, folder: str, template: str, suffix: str, method: str, closers: str) -> DataFrame:
     n, m = "cast(doc_id as string)", "cast(doc_id + 1 as string)"
     text = f"regexp_replace(text, r'{closers}', ' ')"
@@ -205,6 +253,14 @@ def typescript_files(spark: SparkSession, folder: str) -> DataFrame:
     return _code_files(spark, folder, TYPESCRIPT_TEMPLATE, ".ts", method, r"\*/")
 
 
+def typescript_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return _code_files(spark, folder, TYPESCRIPT_FORMS, ".ts", "''", r"\*/")
+
+
+def python_modules(spark: SparkSession, folder: str) -> DataFrame:
+    return _code_files(spark, folder, PYTHON_MODULES, ".py", "''", r'"""|\\\\')
+
+
 def python_files(spark: SparkSession, folder: str) -> DataFrame:
     method = "'    def m', i, '(self) -> int: return ', i, '\\n'"
     return _code_files(spark, folder, PYTHON_TEMPLATE, ".py", method, r'"""|\\\\')

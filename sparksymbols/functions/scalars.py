@@ -28,8 +28,14 @@ MIN_SHA_LENGTH = 7
 
 
 def tolerant_decode(raw: Column) -> Column:
-    """Bytes as UTF-8 with undecodable bytes dropped. A genuine U+FFFD in the input is dropped too."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
+    """Bytes as UTF-8 with undecodable bytes dropped. A genuine U+FFFD in the input stays."""
+    text, mark, escape = raw.cast("string"), F.lit("\ufffd"), F.lit("\u0001")
+    plain = F.replace(F.make_valid_utf8(text), mark, F.lit(""))
+    # Undecodable bytes turn into the same character, so a genuine one is written in two others meanwhile.
+    hidden = F.replace(F.replace(text, escape, F.lit("\u0001a")), mark, F.lit("\u0001b"))
+    shown = F.replace(F.make_valid_utf8(hidden), mark, F.lit(""))
+    shown = F.replace(F.replace(shown, F.lit("\u0001b"), mark), F.lit("\u0001a"), escape)
+    return F.when(F.contains(text, mark), shown).otherwise(plain)
 
 
 def content_hash(content: Column) -> Column:
@@ -108,5 +114,13 @@ def resolve_path(folder: Column, relative: Column) -> Column:
     return F.array_join(kept, "/")
 
 
+def python_module(folder: Column, source: Column) -> Column:
+    """Path of the module that ``source`` names in a file of ``folder``: one dot is its folder, each further dot one up."""
+    dots = F.length(F.regexp_extract(source, "^(\\.*)", 1))
+    up = F.when(dots > 1, F.repeat(F.lit("../"), dots - 1)).otherwise("")
+    rest = F.replace(F.substring(source, dots + 1, F.length(source)), F.lit("."), F.lit("/"))
+    return F.when(dots > 0, resolve_path(folder, F.concat(up, rest))).otherwise(rest)
+
+
 def parent_folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")

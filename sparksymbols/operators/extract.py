@@ -92,8 +92,16 @@ def _member(m: str, type_: str, signature: str) -> str:
 
 
 def _members(items: str, owner: str, test: str = "true") -> str:
+    """Methods of an owner; of several declarations of one name those without a body are overloads of the others."""
     mine = keep(items, lambda m: f"{m}.owner_pos = {owner}.pos and ({test.format(m=m)})")
-    return each(mine, lambda m, _: _member(m, "function", _signature(f"{m}.signature")))
+
+    def declared(all_: str) -> str:
+        return bind(
+            f"array_distinct(transform({keep(all_, lambda m: f'{m}.signature.hasBody')}, m -> m.name))",
+            lambda bodies: keep(all_, lambda m: f"{m}.signature.hasBody or not array_contains({bodies}, {m}.name)"),
+        )
+
+    return each(bind(mine, declared), lambda m, _: _member(m, "function", _signature(f"{m}.signature")))
 
 
 def _fields(items: str, owner: str, test: str = "true") -> str:
@@ -215,6 +223,22 @@ def python_exports(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+def unclosed(code: str = "code") -> str:
+    """Which kinds of brackets of a text without comments and strings do not add up; null if all do."""
+    counts = [f"length(replace({code}, '{x}', ''))" for x in "{}()[]"]
+    kinds = [f"if({a} <> {b}, '{name}', null)" for a, b, name in zip(counts[::2], counts[1::2], ("block", "parenthesis", "bracket"), strict=True)]
+    return f"nullif(concat_ws(', ', {', '.join(kinds)}), '')"
+
+
+def problems(path: Column, rules: str, content: str, open_kinds: str) -> list[Column]:
+    """Parse errors of a file, null where there is none."""
+    return [
+        F.when(F.col(rules).isNull(), unsupported(path)),
+        F.when(F.col(rules).isNotNull() & F.col(content).isNull(), F.concat(F.lit("Unreadable file: "), path)),
+        F.when(F.col(open_kinds).isNotNull(), F.concat(F.lit("Unclosed "), F.col(open_kinds), F.lit(" in file: "), path)),
+    ]
+
+
 def index_files(files: DataFrame) -> DataFrame:
     """Index rows ``(repoId, filePath, fileHash, language, exports, imports, parseErrors)`` of files
     ``(repoId, filePath, content, ...)``; other input columns are kept, ``content`` is not.
@@ -231,19 +255,25 @@ def index_files(files: DataFrame) -> DataFrame:
     )
     columns = [*kept, "fileHash", "language", "rules", "content"]
     found: dict[str, list[str]] = {"exports": [], "imports": []}
+    open_kinds = []
     for name, parse in (("typescript", typescript_exports), ("python", python_exports)):
         own = rows.withColumn("own_content", F.when(F.col("rules") == name, F.col("content")).otherwise(""))
         parsed = parse(own, "own_content")
         made = {kind: f"{name}_{kind}" for kind in found}
-        rows = parsed.select(*columns, *(F.col(kind).alias(column) for kind, column in made.items()))
-        columns += made.values()
+        open_kinds.append(f"{name}_unclosed")
+        rows = parsed.select(
+            *columns,
+            *(F.col(kind).alias(column) for kind, column in made.items()),
+            F.expr(unclosed()).alias(open_kinds[-1]),
+        )
+        columns += [*made.values(), open_kinds[-1]]
         for kind, column in made.items():
             found[kind].append(column)
-    no_rules = F.col("rules").isNull()
+    rows = rows.withColumn("unclosed", F.coalesce(*open_kinds))
     return rows.select(
         *kept,
         "fileHash",
         "language",
         *(F.concat(*parts).alias(kind) for kind, parts in found.items()),
-        F.when(no_rules, F.array(unsupported(F.col("filePath")))).otherwise(F.array().cast("array<string>")).alias("parseErrors"),
+        F.filter(F.array(*problems(F.col("filePath"), "rules", "content", "unclosed")), lambda e: e.isNotNull()).alias("parseErrors"),
     )

@@ -62,10 +62,10 @@ def file_summary(index: DataFrame) -> DataFrame:
     )
 
 
-def search_exports(index: DataFrame, query: str, repo: str | None = None, limit: int | None = 100) -> DataFrame:
+def search_exports(index: DataFrame, query: str, repo: str | None = None, limit: int | None = None) -> DataFrame:
     """Files with an export whose name contains ``query`` (any case), with only those exports.
 
-    ``limit`` is the number of files looked at per repository, in path order.
+    All files are looked at; with ``limit`` only the first ones of each repository, in path order.
     """
     files = index if repo is None else list_files(index, repo)
     if limit is not None:
@@ -137,5 +137,5 @@ def progress_percent(processed: Column, total: Column) -> Column:
 
 
 def index_report(tally: DataFrame) -> DataFrame:
-    """Counts per repository (see ``outcome_tally``) with the status a finished load gets."""
-    return tally.withColumn("status", F.when(F.col("failed") > 0, "failed").otherwise("completed"))
+    """What a finished load reports per repository (see ``outcome_tally``): counts of files, and nothing else."""
+    return tally.select("repoId", "total_files", "processed", "failed", "skipped")

@@ -95,21 +95,16 @@ def module_exports(exports: DataFrame) -> DataFrame:
 def resolve_imports(imports: DataFrame, exports: DataFrame) -> DataFrame:
     """Import rows ``(repoId, filePath, name, source, lineNumber)`` with the file and line of the export they name.
 
-    A relative source is resolved against the importer's folder; unresolved imports keep null targets.
+    A relative source is resolved against the importer's folder; in Python files modules are written with dots, and
+    absolute ones start at the root of the repository. Unresolved imports keep null targets.
     """
-    relative = F.col("source").startswith(".")
-    located = imports.withColumn(
-        "module",
-        F.when(
-            relative,
-            F.regexp_replace(
-                S.resolve_path(S.parent_folder(F.col("filePath")), F.col("source")), "\\.(?:ts|tsx|js|jsx)$", ""
-            ),
-        ),
-    )
-    joined = split_join(
-        located, module_exports(exports), ["repoId", "module", "name"], "left", ("filePath", "lineNumber")
-    )
+    folder, source = S.parent_folder(F.col("filePath")), F.col("source")
+    script = F.regexp_replace(S.resolve_path(folder, source), "\\.(?:ts|tsx|js|jsx)$", "")
+    module = F.when(F.col("filePath").endswith(".py"), S.python_module(folder, source)).when(source.startswith("."), script)
+    modules = module_exports(exports).withColumnRenamed("module", "_module").withColumnRenamed("name", "_name")
+    located = imports.withColumn("_module", module).withColumn("_name", F.col("name"))
+    # A plain join: Spark splits a module that very many files import at run time.
+    joined = located.join(modules, ["repoId", "_module", "_name"], "left")
     return joined.select(
         *imports.columns, F.col("target.filePath").alias("targetPath"), F.col("target.lineNumber").alias("targetLine")
     )

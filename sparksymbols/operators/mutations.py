@@ -54,13 +54,12 @@ def delete_report(base: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> Da
     return asked.join(present, list(keys), "left").select(*keys, F.coalesce("present", F.lit(False)).alias("found"))
 
 
-def status_transition(repositories: DataFrame) -> DataFrame:
-    """Status of repositories in ``processing`` after their files are done: ``failed`` with a message if any file
-    failed, ``completed`` if all were processed, else still ``processing``."""
+def status_transition(repositories: DataFrame, error: Column | None = None) -> DataFrame:
+    """Status of repositories in ``processing`` after their load ran: ``completed`` once every file was looked at, be it
+    processed or failed; ``failed`` with a message where ``error`` says that the load itself broke."""
     running = F.col("status") == "processing"
-    failed = running & (F.col("failedFiles") > 0)
-    done = running & (F.col("failedFiles") == 0) & (F.col("processedFiles") >= F.col("totalFiles"))
-    message = F.concat(F.col("failedFiles").cast("string"), F.lit(" files failed"))
-    return repositories.withColumn("errorMessage", F.when(failed, message)).withColumn(
-        "status", F.when(failed, "failed").when(done, "completed").otherwise(F.col("status"))
+    message = F.when(running, error) if error is not None else F.lit(None).cast("string")
+    done = running & (F.col("processedFiles") + F.col("failedFiles") >= F.col("totalFiles"))
+    return repositories.withColumn("errorMessage", message).withColumn(
+        "status", F.when(F.col("errorMessage").isNotNull(), "failed").when(done, "completed").otherwise(F.col("status"))
     )

@@ -22,26 +22,36 @@ class Rule(NamedTuple):
 
 SYMBOL = "struct<rule_no:int,pos:int,name:string,type:string,visibility:string,source:string,line:int>"
 
-# Nested generics up to four deep; "=>" inside them is not a closing bracket.
+# Nested generics, far deeper than code has them; "=>" inside them is not a closing bracket.
+GENERIC_DEPTH = 24
 _GENERIC = "<(?:=>|[^<>])*+>"
-for _ in range(3):
+for _ in range(GENERIC_DEPTH - 1):
     _GENERIC = f"<(?:=>|[^<>]|{_GENERIC})*+>"
 GENERIC = _GENERIC
 NAME = "[\\w$]+"
 
 # The forms of an export statement, as the text after the word "export".
 TS_EXPORT_HEAD = UNICODE + (
-    "export(?<![\\w.$]export)(?=\\s+(?:default|declare|async|abstract|function|class|interface|const|let|var|type|"
-    "\\{|[\\w$]+\\s*=))"
+    "export(?<![\\w.$]export)(?=\\s*[{*]|\\s+(?:default|declare|async|abstract|function|class|interface|const|let|var|type|"
+    "enum|namespace|module|[\\w$]+\\s*=))"
 )
 TS_FUNCTION = f"^\\s+(?:default\\s+)?(?:declare\\s+)?(?:async\\s+)?function\\b\\s*\\*?\\s*({NAME})"
-TS_CLASS = f"^\\s+(?:default\\s+)?(?:declare\\s+)?(?:abstract\\s+)?class\\s+({NAME})"
+TS_CLASS = f"^\\s+(?:default\\s+)?(?:declare\\s+)?(?:abstract\\s+)?class\\s+(?!extends\\b)({NAME})"
 TS_INTERFACE = f"^\\s+(?:default\\s+)?(?:declare\\s+)?interface\\s+({NAME})"
 TS_VARIABLE = f"^\\s+(?:declare\\s+)?(?:const|let|var)\\s+(?!enum\\b)({NAME})"
 TS_TYPE = f"^\\s+(?:declare\\s+)?type\\s+({NAME})"
-TS_LIST = "^\\s+(?:type\\s+)?\\{([^}]*)\\}"
-TS_DEFAULT = f"^\\s+default\\s+(?!(?:function|class|abstract|async|interface)\\b)({NAME})"
+TS_LIST = "^\\s*(?:type\\s+)?\\{([^}]*)\\}"
+TS_DEFAULT = f"^\\s+default\\s+(?!(?:function|class|abstract|async|interface|new|await)\\b)(?!\\d)({NAME})"
 TS_ASSIGN = f"^\\s+(?!(?:default|const|let|var|type|async|declare)\\b)({NAME})\\s*=\\s*\\w+"
+# Forms beyond the fixed ones. What has no name of its own is called "default" or "*".
+TS_PATTERN = "^\\s+(?:declare\\s+)?(?:const|let|var)\\s*(?=[{\\[])()"
+TS_ENUM = f"^\\s+(?:declare\\s+)?(?:const\\s+)?enum\\s+({NAME})"
+TS_NAMESPACE = f"^\\s+(?:declare\\s+)?(?:namespace|module)\\s+({NAME}(?:\\.{NAME})*)"
+TS_STAR_AS = f"^\\s*\\*\\s*as\\s+({NAME})"
+TS_STAR = "^\\s*(\\*)(?!\\s*as\\b)"
+TS_DEFAULT_FUNCTION = "^\\s+(default)\\s+(?:async\\s+)?function\\s*\\*?\\s*(?=\\()"
+TS_DEFAULT_CLASS = "^\\s+(default)\\s+(?:abstract\\s+)?class\\s*(?=\\{|extends\\b)"
+TS_DEFAULT_VALUE = "^\\s+(default)(?:\\s*[\\[{(\"'`!~+-]|\\s+\\d|\\s+(?:new|await)\\b|\\s+async\\s*(?!\\s*function\\b)[\\w$(])"
 TS_EXPORTS = (
     (1, "function", TS_FUNCTION),
     (2, "class", TS_CLASS),
@@ -51,14 +61,26 @@ TS_EXPORTS = (
     (6, "variable", TS_LIST),
     (7, "variable", TS_DEFAULT),
     (8, "variable", TS_ASSIGN),
+    (9, "variable", TS_PATTERN),
+    (10, "variable", TS_ENUM),
+    (11, "variable", TS_NAMESPACE),
+    (12, "variable", TS_STAR_AS),
+    (13, "variable", TS_STAR),
+    (14, "function", TS_DEFAULT_FUNCTION),
+    (15, "class", TS_DEFAULT_CLASS),
+    (16, "variable", TS_DEFAULT_VALUE),
 )
+# A declaration with all its lines: those that start with a blank or a closing bracket go on.
+TS_DECLARATORS = "^\\s+(?:declare\\s+)?(?:const|let|var)\\b((?:[^\\n]|\\n(?=[ \\t)\\]},]))*+)"
 
+# The forms of an import statement.
 TS_IMPORT = UNICODE + f"import(?<!\\wimport)\\s+(?:\\{{[^}}]*\\}}|{NAME})\\s+from\\s+[\"']([^\"']+)[\"']"
 # Words up to a "from" that a quote follows; each word is taken whole, so a search never goes back over blanks.
 TS_NAMED_IMPORT = UNICODE + (
     "import(?<!\\wimport)\\s++(?:type\\s++)?((?:(?!from\\s*+[\"'])[\\w$*{},]++\\s*+)++)from\\s*+[\"']([^\"']++)[\"']"
 )
 
+# Definitions and imports of Python modules.
 PY_EXPORTS = (
     Rule("python", 1, MULTILINE + "^(?:async[ \\t]+)?def\\s+(\\w+)\\s*\\(", "function"),
     Rule("python", 2, MULTILINE + "^class\\s+(\\w+)", "class"),
@@ -74,7 +96,7 @@ PY_IMPORTS = (
     Rule("python", 2, MULTILINE + "^[ \\t]*from\\s+([\\w.]+)\\s+import", "import", 0, 1),
 )
 
-# Words that look like a call or a method but are statements.
+# Words that look like a call or a method but are statements.
 CONTROL_WORDS = ("if", "for", "while", "switch", "catch", "return", "function", "with", "await", "super", "new", "throw")
 RESERVED_WORDS = ("extends", "implements")
 

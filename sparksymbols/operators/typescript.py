@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparksymbols.functions.text import UNICODE, bind, brace_block, each, find_all, group, keep, lit
-from sparksymbols.functions.text import newlines, no_items, top_level
+from sparksymbols.functions.text import newlines, no_items, split_at, top_level
 from sparksymbols.operators import mask
 from sparksymbols.operators import rules as R
 from sparksymbols.operators.signatures import Grammar, extend, trimmed, with_signatures
@@ -26,25 +26,30 @@ _FUNCTION_HEAD = UNICODE + (
 )
 _CLASS_HEAD = UNICODE + f"{R.TS_CLASS}\\s*(?:{R.GENERIC})?((?:{R.GENERIC}|[^{{<])*+)\\{{"
 _INTERFACE_HEAD = UNICODE + f"{R.TS_INTERFACE}\\s*(?:{R.GENERIC})?((?:{R.GENERIC}|[^{{<])*+)\\{{"
-# A type: generics, parentheses, arrows, object literals where a type may start, plain characters.
-_TYPE_ATOM = (
-    f"(?:{R.GENERIC}|\\([^()]*+\\)|=>|(?<=(?:[:|&(]|=>)\\s{{0,4}})\\{{[^{{}}]*+\\}}|[^{{}};=<>()\\n])"
-)
+_PARENTHESES = "\\((?:[^()]|\\((?:[^()]|\\([^()]*+\\))*+\\))*+\\)"
+_BRACES = "\\{(?:[^{}]|\\{(?:[^{}]|\\{[^{}]*+\\})*+\\})*+\\}"
+# A type: object literals where one may start, generics, parentheses, arrows, plain characters.
+_TYPE = f"(?:{_BRACES})?+(?:{R.GENERIC}|{_PARENTHESES}|(?:=>|[|&])\\s*+{_BRACES}|=>|[^{{}};=<>()\\n])*+"
+# Decorators before a member or a parameter; in the outer level of a block their arguments are blanked.
+_DECORATORS = f"(?:@[\\w$.]++\\s*+(?:{_PARENTHESES}\\s*+)?+)*+"
 GRAMMAR = Grammar(
     delimiters="[()\\[\\]{}<>]",
     openers="([{<",
-    param="(?Uds)^\\s*+(?:(?:public|private|protected|readonly|override)\\s++)*+(\\.{3})?\\s*+"
+    param=f"(?Uds)^\\s*+{_DECORATORS}" + "(?:(?:public|private|protected|readonly|override)\\s++)*+(\\.{3})?\\s*+"
     "([\\w$]+|\\{[^}]*\\}|\\[[^\\]]*\\])\\s*+(\\?)?\\s*+(?::((?:=>|[^=])++))?(?:=(.*))?$",
     optional_groups=(1, 3),
     name_group=2,
     type_group=4,
     default_group=5,
-    returns=UNICODE + f"^\\)\\s*+:\\s*+({_TYPE_ATOM}++)",
-    body=UNICODE + f"^\\)\\s*+(?::\\s*+{_TYPE_ATOM}++)?\\s*+\\{{",
+    returns=UNICODE + f"^\\)\\s*+:\\s*+({_TYPE})",
+    body=UNICODE + f"^\\)\\s*+(?::\\s*+{_TYPE})?\\s*+\\{{",
 )
-_MEMBER_START = "(?:^|(?<=[;}\\n]))\\s*+"
+_MEMBER_START = f"(?:^|(?<=[;}}\\n]))\\s*+{_DECORATORS}"
 _METHOD = "(?Ud)" + f"{_MEMBER_START}{_MODIFIERS}(\\*\\s*+)?(#?{R.NAME})\\s*+\\??\\s*+(?:{R.GENERIC})?\\s*+\\((?=\\s*+\\))"
-_PROPERTY = "(?Ud)" + f"{_MEMBER_START}{_MODIFIERS}(#?{R.NAME})\\s*+[?!]?\\s*+:\\s*+([^=;\\n]++)"
+# A field has a type, a value, or ends after its name.
+_PROPERTY = "(?Ud)" + (
+    f"{_MEMBER_START}{_MODIFIERS}(#?{R.NAME})[ \\t]*+[?!]?[ \\t]*+(?::\\s*+((?:=>|[^=;\\n])++)|(?=\\s*+=(?![=>]))|(?=;|\\n|$))"
+)
 _PROPERTY_FORM = f"{_MEMBER_START}{_MODIFIERS}({R.NAME})\\s*+:\\s*+"
 _SIMPLE_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+)(?:\\s*+=\\s*+[^;]+)?;"
 _ARRAY_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+\\[\\s*+\\])"
@@ -71,6 +76,12 @@ def exports(heads: str = "heads") -> str:
 
     def names(h: str, rule_no: int, kind: str, pattern: str) -> str:
         found = f"regexp_extract({h}.tail, {lit(UNICODE + pattern)}, 1)"
+        if pattern in (R.TS_VARIABLE, R.TS_PATTERN):
+            several = each(_declared(f"{h}.tail"), lambda name, _: symbol(h, rule_no, kind, name))
+            if pattern == R.TS_PATTERN:
+                return several
+            plain = f"{h}.tail rlike {lit(UNICODE + _ONE_NAME)}"
+            return f"if({plain}, array({symbol(h, rule_no, kind, found)}), {several})"
         if pattern != R.TS_LIST:
             return f"array({symbol(h, rule_no, kind, found)})"
         entries = keep(f"split({found}, ',')", lambda e: f"{trimmed(e)} <> ''")
@@ -87,6 +98,33 @@ def exports(heads: str = "heads") -> str:
     return f"array_sort(flatten({each(heads, lambda h, _: cases(h))}))"
 
 
+# A declaration without a comma up to the end of its first line declares one name.
+_ONE_NAME = f"^\\s+(?:declare\\s+)?(?:const|let|var)\\s+{R.NAME}[^,\\n(\\[{{<]*+(?:;|=\\s*+[^,\\n(\\[{{<]*+$|\\n|$)"
+
+
+def _declared(tail: str) -> str:
+    """Names that a ``const``, ``let`` or ``var`` declares: several declarators, and the names inside patterns."""
+    word = UNICODE + f"^\\s*+({R.NAME})"
+    pattern = UNICODE + f"^\\s*+({_BRACES}|\\[(?:[^\\[\\]]|\\[[^\\[\\]]*+\\])*+\\])"
+    # The name that an entry of a pattern binds: after a colon, without dots and defaults.
+    bound = UNICODE + f"^(?:[^:=]*:)?[\\s.{{\\[]*({R.NAME})"
+
+    def of_piece(piece: str) -> str:
+        inner = f"regexp_extract({piece}, {lit(pattern)}, 1)"
+        entries = keep(f"split(substring({inner}, 2, length({inner}) - 2), ',')", lambda e: f"{e} rlike {lit(bound)}")
+        inside = each(entries, lambda e, _: f"regexp_extract({e}, {lit(bound)}, 1)")
+        return f"if({piece} rlike {lit(pattern)}, {inside}, filter(array(regexp_extract({piece}, {lit(word)}, 1)), n -> n <> ''))"
+
+    def of_text(text: str) -> str:
+        blanked = f"replace({text}, '=>', '  ')"
+        return bind(
+            f"split({top_level(blanked, '[()\\[\\]{}<>]', '([{<')}, ';')[0]",
+            lambda shape: f"flatten({each(split_at(shape, text, ','), lambda piece, _: of_piece(piece))})",
+        )
+
+    return bind(f"regexp_extract({tail}, {lit(UNICODE + R.TS_DECLARATORS)}, 1)", of_text)
+
+
 def imports(plain: str = "plain") -> str:
     """``array<struct<name, source, line>>``; the name is the word ``import``."""
     return each(
@@ -241,8 +279,8 @@ def _with_blocks(files: DataFrame, spans: list[str]) -> DataFrame:
 
 
 def _line(c: str, m: str) -> str:
-    """Line of a member, not counting the blank lines its match starts with."""
-    lead = f"regexp_extract({m}.text, r'^\\s*', 0)"
+    """Line of a member, not counting the blank lines and decorators its match starts with."""
+    lead = f"regexp_extract({m}.text, {lit(f'^\\s*+{_DECORATORS}')}, 0)"
     return f"{c}.block_line + {m}.line - 1 + {newlines(lead)}"
 
 
@@ -295,7 +333,7 @@ def _fields(kind: str, pattern: str, visibility_group: int, name_group: int, opt
         return (
             f"named_struct('owner', {c}.name, 'owner_pos', {c}.pos, 'name', {part(name_group)},"
             f" 'visibility', {visibility}, 'pos', {m}.start, 'line', {_line(c, m)},"
-            f" 'type', {trimmed(part(type_group))}, 'required', {required})"
+            f" 'type', coalesce(nullif({trimmed(part(type_group))}, ''), 'any'), 'required', {required})"
         )
 
     found = each(_of_kind(kind), lambda c, _: each(find_all(f"{c}.outer", pattern), lambda m, _: one(c, m)))

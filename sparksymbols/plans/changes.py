@@ -224,13 +224,14 @@ def delete_key(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "M4_status_transition",
-    f"WITH {R.REPOSITORIES} SELECT repoId, CASE WHEN status = 'processing' AND failedFiles > 0 THEN 'failed'"
-    " WHEN status = 'processing' AND processedFiles >= totalFiles THEN 'completed' ELSE status END AS status,"
-    " CASE WHEN status = 'processing' AND failedFiles > 0 THEN failedFiles || ' files failed' END AS errorMessage"
-    " FROM repositories",
+    f"WITH {R.REPOSITORIES} SELECT repoId, CASE WHEN status <> 'processing' THEN status WHEN totalFiles = 0 THEN 'failed'"
+    " WHEN processedFiles + failedFiles >= totalFiles THEN 'completed' ELSE status END AS status,"
+    " CASE WHEN status = 'processing' AND totalFiles = 0 THEN 'no files' END AS errorMessage FROM repositories",
 )
 def status_transition(spark: SparkSession, folder: str) -> DataFrame:
-    return M.status_transition(B.orders_as_repositories(spark, folder)).select("repoId", "status", "errorMessage")
+    """Files that failed do not keep a load from completing; a load that found nothing broke."""
+    broke = F.when(F.col("totalFiles") == 0, "no files")
+    return M.status_transition(B.orders_as_repositories(spark, folder), broke).select("repoId", "status", "errorMessage")
 
 
 @query(
@@ -294,6 +295,49 @@ def change_stream_index(spark: SparkSession, folder: str) -> DataFrame:
     return table.current().select("event_id", *KEYS, "fileHash")
 
 
+# Events from the middle on are streamed; cheap ones are deletions.
+MIDDLE, KIND = "(SELECT max(event_id) // 2 FROM events)", "CASE WHEN value < 15 THEN 'D' ELSE 'M' END"
+
+
+@query(
+    "T1_load_then_stream",
+    f"""WITH RECURSIVE marked AS (SELECT event_id, CAST(user_id AS VARCHAR) AS repoId, event_type AS filePath, ts,
+         CASE WHEN event_id > {MIDDLE} AND {KIND} = 'D' THEN 'deleted' ELSE sha256(props) END AS fileHash,
+         event_id > {MIDDLE} AS streamed FROM events),
+       loaded AS (SELECT * FROM marked WHERE NOT streamed
+         QUALIFY row_number() OVER (PARTITION BY repoId, filePath ORDER BY event_id DESC) = 1),
+       placed AS (SELECT *, row_number() OVER (PARTITION BY repoId, filePath ORDER BY event_id) AS place
+         FROM (SELECT * FROM loaded UNION ALL SELECT * FROM marked WHERE streamed)),
+       walk AS (SELECT event_id, repoId, filePath, place, ts AS last_ts, fileHash AS last_hash, true AS taken FROM placed WHERE place = 1
+         UNION ALL SELECT p.event_id, p.repoId, p.filePath, p.place,
+           CASE WHEN p.ts >= w.last_ts AND p.fileHash <> w.last_hash THEN p.ts ELSE w.last_ts END,
+           CASE WHEN p.ts >= w.last_ts AND p.fileHash <> w.last_hash THEN p.fileHash ELSE w.last_hash END,
+           p.ts >= w.last_ts AND p.fileHash <> w.last_hash
+         FROM walk w JOIN placed p ON p.repoId = w.repoId AND p.filePath = w.filePath AND p.place = w.place + 1)
+       SELECT event_id, repoId, filePath, last_hash AS fileHash FROM (SELECT * FROM walk WHERE taken
+         QUALIFY row_number() OVER (PARTITION BY repoId, filePath ORDER BY place DESC) = 1) WHERE last_hash <> 'deleted'""",
+)
+def load_then_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A first load, then a stream in several batches with deletions and late changes, then the stream once more from
+    its beginning with a new checkpoint folder, which changes nothing."""
+    events = B.load(spark, folder, "events")
+    middle, last = events.agg(F.expr("max(event_id) div 2"), F.max("event_id")).first()
+    rows = B.changes_from_events(events).join(events.select("event_id", "value"), "event_id")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    table = KeyedTable(spark, scratch_path(spark, "loaded"), KEYS, ["event_id"], buckets=4)
+    table.append(rows.where(F.col("event_id") <= middle).select(*NARROW))
+    feed = scratch_path(spark, "feed")
+    streamed = rows.where(F.col("event_id") > middle).select(*NARROW, F.when(F.col("value") < 15, "D").otherwise("M").alias("kind"))
+    step = (last - middle) // 3 + 1
+    for start in range(middle, last, step):
+        part = streamed.where((F.col("event_id") > start) & (F.col("event_id") <= start + step))
+        part.coalesce(1).write.mode("append").parquet(feed)
+    changes = landing.stream_changes(spark, feed, schema=streamed.schema, files_per_batch=1)
+    for _ in range(2):
+        T.index_stream(changes, table, ["event_id"], scratch_path(spark, "offsets"), compact_every=2).awaitTermination()
+    return table.current().select("event_id", *KEYS, "fileHash")
+
+
 LEASE_HOURS = 6
 
 

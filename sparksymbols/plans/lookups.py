@@ -56,20 +56,42 @@ def tolerant_decode(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("doc_id", S.content_hash(F.col("content")).alias("fileHash"), chars)
 
 
+@query(
+    "S2_genuine_replacement",
+    "SELECT doc_id, sha256(text || chr(65533) || chr(1) || 'b') AS fileHash, length(text) + 3 AS chars FROM documents",
+)
+def genuine_replacement(spark: SparkSession, folder: str) -> DataFrame:
+    """The replacement character is kept where the text itself has it, beside bytes that cannot be decoded."""
+    genuine = F.concat(F.col("text"), F.lit("\ufffd\u0001b"))
+    raw = F.concat(F.unhex(F.lit("FFE282")), F.encode(genuine, "UTF-8"), F.unhex(F.lit("C3")))
+    files = landing.decoded(B.load(spark, folder, "documents").select("doc_id", raw.alias("raw")))
+    chars = F.length("content").cast("bigint").alias("chars")
+    return files.select("doc_id", S.content_hash(F.col("content")).alias("fileHash"), chars)
+
+
 @query(
     "S3_change_source",
     f"WITH {R.CHANGES} SELECT event_id, repoId AS repo_url, filePath AS file_path, content AS file_content,"
     " ts AS file_timestamp FROM changes",
 )
 def change_source(spark: SparkSession, folder: str) -> DataFrame:
+    """A feed written as JSON lines and read with the schema of change events."""
     changes = B.events_as_changes(spark, folder)
-    return changes.select(
-        "event_id",
+    feed = changes.select(
         F.col("repoId").alias("repo_url"),
         F.col("filePath").alias("file_path"),
-        F.col("content").alias("file_content"),
+        F.col("event_id").cast("string").alias("commit_sha"),
         F.col("ts").alias("file_timestamp"),
+        F.col("content").alias("file_content"),
+        F.lit(None).cast("string").alias("language"),
     )
+    path = scratch_path(spark, "feed")
+    form = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    feed.write.option("timestampNTZFormat", form).option("timestampFormat", form + "XXX").json(path)
+    return landing.read_changes(spark, path, "json").select(
+        F.col("commit_sha").cast("bigint").alias("event_id"), "repo_url", "file_path", "file_content",
+        F.col("file_timestamp").cast("timestamp_ntz").alias("file_timestamp"),
+    )
 
 
 def events_table(spark: SparkSession, folder: str, name: str) -> tuple[KeyedTable, DataFrame]:
@@ -212,14 +234,13 @@ def file_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "P9_search_exports",
-    f"WITH {R.SYMBOLS}, looked AS (SELECT page_id FROM files QUALIFY row_number() OVER (PARTITION BY repoId"
-    " ORDER BY filePath) <= 100) SELECT page_id, repoId, filePath, string_agg(name, ',' ORDER BY i) AS names"
-    " FROM symbols JOIN looked USING (page_id) WHERE type = 'import' AND contains(lower(name), 'th') GROUP BY ALL",
+    f"WITH {R.SYMBOLS} SELECT page_id, repoId, filePath, string_agg(name, ',' ORDER BY i) AS names"
+    " FROM symbols WHERE type = 'import' AND contains(lower(name), 'th') GROUP BY ALL",
 )
 def search_exports(spark: SparkSession, folder: str) -> DataFrame:
-    """Link names that contain a text, in the first files of every host."""
+    """Link names that contain a text, in all files of every host."""
     index = page_index(spark, folder).select("page_id", *KEYS, F.col("imports").alias("exports"))
-    found = L.search_exports(index, "TH", limit=100)
+    found = L.search_exports(index, "TH")
     return found.select("page_id", *KEYS, F.array_join("exports.name", ",").alias("names"))
 
 

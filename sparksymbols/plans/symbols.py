@@ -80,6 +80,64 @@ def ts_exports(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+FORM_EXPORTS = [
+    (2, 0, 10, "variable", "Color<n>"),
+    (3, 0, 10, "variable", "Size<n>"),
+    (4, 0, 11, "variable", "Space<n>"),
+    (5, 0, 13, "variable", "*"),
+    (6, 0, 12, "variable", "all<n>"),
+    (7, 0, 9, "variable", "left<n>"),
+    (7, 0, 9, "variable", "east<n>"),
+    (7, 0, 9, "variable", "rest<n>"),
+    (8, 0, 4, "variable", "one<n>"),
+    (8, 0, 4, "variable", "two<n>"),
+    (8, 0, 4, "variable", "three<n>"),
+    (9, 0, 16, "variable", "default"),
+    (11, 0, 2, "class", "Form<n>"),
+]
+
+
+@query("X1_export_forms", ts_sql(EXPORT_COLUMNS, FORM_EXPORTS, EXPORT_SELECT))
+def export_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Exports without a plain name, several names in one statement, names inside patterns."""
+    code = typescript.with_code(B.spread(B.typescript_forms(spark, folder)))
+    return rows_of(code, typescript.exports(), rule_no="rule_no", type="type", name="name", line="line")
+
+
+FORM_MEMBERS = [
+    ("properties", "label", 12, "", ""),
+    ("properties", "changed", 14, "", ""),
+    ("properties", "count", 15, "", ""),
+    ("properties", "MAX", 16, "", ""),
+    ("properties", "handler", 17, "", ""),
+    ("constructors", "constructor", 18, "token,log", "any"),
+    ("methods", "fetch", 20, "id", "One"),
+    ("methods", "onEvent", 22, "e", "{ a: string }"),
+]
+
+
+@query(
+    "X12_member_forms",
+    ts_sql(
+        'kind, name, j, params, "returnType"',
+        FORM_MEMBERS,
+        "filePath, 'Form' || n AS owner, 'Base' AS extends, kind, name, CAST(base + j AS INT) AS line, params, \"returnType\"",
+    ),
+)
+def member_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Members with decorators, without types, with initial values, and overloads, out of the index rows."""
+    index = extract.index_files(B.spread(B.typescript_forms(spark, folder)))
+    kinds = ", ".join(
+        f"transform(e.classInfo.{kind}, m -> named_struct('owner', e.name, 'extends', e.classInfo.extends, 'kind', '{kind}',"
+        " 'name', m.name, 'line', m.lineNumber, 'params', coalesce(array_join(m.functionSignature.parameters.name, ','), ''),"
+        " 'returnType', coalesce(m.functionSignature.returnType, '')))"
+        for kind in ("properties", "constructors", "methods")
+    )
+    members = f"flatten(transform(filter(exports, e -> e.classInfo is not null), e -> concat({kinds})))"
+    rows = nested.entries(index, F.expr(members), ["filePath"])
+    return rows.select("filePath", "owner", "extends", "kind", "name", "line", "params", "returnType")
+
+
 @query(
     "X2_ts_imports",
     ts_sql("j, source", [(3, "./doc<m>")], f"filePath, 'import' AS name, {fill('source')} AS source, CAST(base + j AS INT) AS line"),
@@ -207,6 +265,24 @@ def parse_dispatch(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "X7_damaged_files",
+    f"WITH {R.TS_DOCS} SELECT filePath, CAST(n % 5 AS INT) AS damage, CASE n % 5 WHEN 1 THEN 'Unreadable file: ' || filePath"
+    " WHEN 2 THEN 'Unclosed block in file: ' || filePath WHEN 3 THEN 'Unclosed parenthesis in file: ' || filePath"
+    " WHEN 4 THEN 'Unclosed block, bracket in file: ' || filePath ELSE '' END AS errors,"
+    " CASE WHEN n % 5 = 1 THEN 0 ELSE 1 END AS exports FROM docs",
+)
+def damaged_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that cannot be read or end too early keep a row, with an error and what could be found."""
+    files = B.documents_as_files(spark, folder).withColumn("damage", (F.col("doc_id") % 5).cast("int"))
+    path = F.concat(F.lit("src/"), F.col("language"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".ts"))
+    comment = F.concat(F.lit("/* "), F.regexp_replace("content", r"\*/", " "), F.lit(" */ export const a = 1;\n"))
+    ends = F.element_at(F.array(*(F.lit(x) for x in ("", "", "function f() { [1] ", "call(", "{ [ "))), F.col("damage") + 1)
+    content = F.when(F.col("damage") != 1, F.concat(comment, ends))
+    index = extract.index_files(files.select("repoId", path.alias("filePath"), content.alias("content"), "damage"))
+    return index.select("filePath", "damage", F.array_join("parseErrors", ",").alias("errors"), F.size("exports").alias("exports"))
+
+
 @query(
     "X8_fallback_choice",
     f"WITH {R.CODE} SELECT replace(filePath, '{{suffix}}', '.ts') AS filePath, 'primary' AS source_rule, 12 AS symbols FROM docs"
@@ -609,8 +685,8 @@ def outcome_tally(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "P14_index_report",
-    f"WITH {R.FILES}, o AS (SELECT repoId, {OUTCOME_SQL} AS outcome FROM files), t AS (SELECT repoId, count(*) AS total_files,"
-    f" {TALLY} FROM o GROUP BY repoId) SELECT *, CASE WHEN failed > 0 THEN 'failed' ELSE 'completed' END AS status FROM t",
+    f"WITH {R.FILES}, o AS (SELECT repoId, {OUTCOME_SQL} AS outcome FROM files) SELECT repoId, count(*) AS total_files,"
+    f" {TALLY} FROM o GROUP BY repoId",
 )
 def index_report(spark: SparkSession, folder: str) -> DataFrame:
     return L.index_report(A.outcome_tally(page_outcomes(spark, folder), ["repoId"]))
@@ -646,6 +722,32 @@ def import_resolution(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PY_TARGETS = [("load<m>", 2, 8), ("Store<m>", 3, 9), ("LIMIT<m>", 4, 7), ("gone<n>", 5, 0), ("thing<n>", 6, 0)]
+
+
+@query(
+    "J8_python_modules",
+    f"WITH {R.PY_DOCS}, imports AS (SELECT *, {fill('name')} AS imported FROM docs, {facts('name, j, offs', PY_TARGETS)}),"
+    " wanted AS (SELECT i.*, d.filePath AS target_file, d.base AS target_base FROM imports i LEFT JOIN docs d"
+    " ON d.n = i.m AND d.lang = i.lang AND d.repoId = i.repoId AND i.offs > 0)"
+    " SELECT filePath, imported AS name, CAST(base + j AS INT) AS \"lineNumber\", coalesce(target_file, '') AS \"targetPath\","
+    " CAST(coalesce(target_base + offs, 0) AS INT) AS \"targetLine\" FROM wanted",
+)
+def python_modules(spark: SparkSession, folder: str) -> DataFrame:
+    """Relative and absolute imports of Python files, resolved through their modules."""
+    keys = ["repoId", "filePath"]
+    code = mask.with_code(B.spread(B.python_modules(spark, folder)), "python")
+    found = {"exported": python_lang.exports(), "imported": python_lang.named_imports()}
+    files = checkpointed(code.select(*keys, *(F.expr(column).alias(name) for name, column in found.items())))
+    exports, imports = nested.entries(files, "exported", keys), nested.entries(files, "imported", keys)
+    resolved = J.resolve_imports(
+        imports.select(*keys, "name", "source", F.col("line").alias("lineNumber")),
+        exports.select(*keys, "name", F.col("line").alias("lineNumber")),
+    )
+    target = (F.coalesce("targetPath", F.lit("")).alias("targetPath"), F.coalesce("targetLine", F.lit(0)).alias("targetLine"))
+    return resolved.select("filePath", "name", "lineNumber", *target)
+
+
 @query(
     "J8_name_resolution",
     f"WITH {R.SYMBOLS}, titles AS (SELECT page_id, lower(regexp_extract(content, '<title>([^ <]*)', 1)) AS folded FROM files),"

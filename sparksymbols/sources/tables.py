@@ -1,20 +1,25 @@
 """Stored tables: batches of rows are added, and the current state is the last row of each key.
 
-A batch costs what it holds, not what the table holds. Each batch is a folder that counts once Spark has
-committed it, so writing it again after a failure replaces it. Now and then the current state is written as a
-base, so that a read costs the state and the batches since.
+Each batch is a folder that counts once Spark has committed it, so writing it again after a failure replaces it. A batch
+may carry a mark that says where it came from, such as a stream and the number the stream gave it; the table numbers its
+batches by itself. Now and then the current state is written as a base, so that a read costs the state and the batches
+since, and what the base before that made superfluous is deleted. Asked for some keys only, a read costs their buckets.
+
+A deleted key keeps a row with the time of its deletion, so that an older change cannot bring it back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksymbols.operators.mutations import latest_per_key
 
 BUCKET = "repo_bucket"
+#: Stands for the hash of a deleted key, so that the same content may come again.
+DELETED_HASH = "deleted"
 
 
 class KeyedTable:
@@ -29,22 +34,30 @@ class KeyedTable:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def _committed(self, kind: str, with_rows: bool = False) -> list[int]:
-        """Numbers of the committed folders ``kind=n``; on request only of those that hold rows."""
+    def _committed(self, kind: str) -> list[tuple[int, str, str, bool]]:
+        """Committed folders as (number, mark, path, whether they hold rows), in order."""
         fs, root = self._files()
-        if not fs.exists(root):
-            return []
         found = []
-        for folder in (status.getPath() for status in fs.listStatus(root)):
-            if folder.getName().startswith(f"{kind}="):
-                names = {status.getPath().getName() for status in fs.listStatus(folder)}
-                if "_SUCCESS" in names and not (with_rows and names == {"_SUCCESS"}):
-                    found.append(int(folder.getName().removeprefix(f"{kind}=")))
+        for folder in [status.getPath() for status in fs.listStatus(root)] if fs.exists(root) else []:
+            if not folder.getName().startswith(f"{kind}="):
+                continue
+            number = int(folder.getName().removeprefix(f"{kind}="))
+            for inner in (status.getPath() for status in fs.listStatus(folder)):
+                if not inner.getName().startswith("mark="):
+                    continue
+                names = {status.getPath().getName() for status in fs.listStatus(inner)}
+                if "_SUCCESS" in names:
+                    path = f"{self.path}/{folder.getName()}/{inner.getName()}"
+                    found.append((number, inner.getName().removeprefix("mark="), path, names != {"_SUCCESS"}))
         return sorted(found)
 
     def batches(self) -> list[int]:
-        """Numbers of the committed batches."""
-        return self._committed("batch")
+        """Numbers of the committed batches that are still there."""
+        return [number for number, *_ in self._committed("batch")]
+
+    def marks(self) -> set[str]:
+        """Marks of the committed batches; the last one of each stream is always there."""
+        return {mark for _, mark, *_ in self._committed("batch")}
 
     def bucket_of(self, repo):
         return F.pmod(F.xxhash64(repo), F.lit(self.buckets)).cast("int")
@@ -55,43 +68,68 @@ class KeyedTable:
         ordered = bucketed.sortWithinPartitions(BUCKET, *self.keys)
         ordered.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
 
-    def write(self, rows: DataFrame, batch: int) -> bool:
+    def write(self, rows: DataFrame, batch: int, mark: str = "none") -> bool:
         """Write one batch; rows without a ``deleted`` column are live. An empty batch is stored as done."""
         if "deleted" not in rows.columns:
             rows = rows.withColumn("deleted", F.lit(False))
-        self._store(rows, f"batch={batch}")
+        self._store(rows, f"batch={batch}/mark={mark}")
         return True
 
-    def append(self, rows: DataFrame) -> int:
+    def append(self, rows: DataFrame, mark: str = "none") -> int:
         """Write the next batch and give its number."""
-        batch = max(self.batches(), default=-1) + 1
-        self.write(rows, batch)
+        last = [n for kind in ("batch", "base") for n, *_ in self._committed(kind)]
+        batch = max(last, default=-1) + 1
+        self.write(rows, batch, mark)
         return batch
 
+    def _parts(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """The rows of the last base and those of all batches after it; None where there are none."""
+        bases = self._committed("base")
+        base = bases[-1] if bases else None
+        paths = [path for n, _, path, rows in self._committed("batch") if rows and (base is None or n > base[0])]
+        read = self.spark.read.option("basePath", self.path).option("mergeSchema", "true")
+        delta = read.parquet(*paths).drop("mark") if paths else None
+        state = None
+        if base is not None and base[3]:
+            state = self.spark.read.parquet(base[2]).withColumn("batch", F.lit(base[0]))
+        return state, delta
+
     def rows(self) -> DataFrame | None:
         """The last base and all batches after it, with ``batch`` and the bucket; None for a table without any."""
-        base = max(self._committed("base"), default=-1)
-        parts = [(f"base={base}", base)] if base in self._committed("base", with_rows=True) else []
-        parts += [(f"batch={n}", n) for n in self._committed("batch", with_rows=True) if n > base]
-        if not parts:
-            return None
-        batches = [name for name, _ in parts if name.startswith("batch=")]
-        read = self.spark.read.option("basePath", self.path)
-        rows = read.parquet(*(f"{self.path}/{name}" for name in batches)) if batches else None
-        if len(batches) < len(parts):
-            state = self.spark.read.parquet(f"{self.path}/base={base}").withColumn("batch", F.lit(base))
-            rows = state if rows is None else state.unionByName(rows)
-        return rows
-
-    def current(self, *columns: str) -> DataFrame | None:
-        """The last row of each key, deleted keys left out; only the given columns (and the key) are read."""
-        rows = self.rows()
-        if rows is None:
+        state, delta = self._parts()
+        if state is None or delta is None:
+            return delta if state is None else state
+        return state.unionByName(delta, allowMissingColumns=True)
+
+    def current(self, *columns: str, keys: DataFrame | None = None, with_deleted: bool = False) -> DataFrame | None:
+        """The last row of each key; only the given columns (and the key) are read.
+
+        With ``keys`` only their buckets are read, and only their rows go further. Rows of the base, one per key
+        already, are not grouped again; those with a later row are left out.
+        """
+        state, delta = self._parts()
+        if state is None and delta is None:
             return None
-        if columns:
-            rows = rows.select(*dict.fromkeys((*self.keys, *columns, *self.order, "deleted", "batch", BUCKET)))
-        last = latest_per_key(rows, self.keys, ["batch", *self.order])
-        return last.where(~F.col("deleted")).drop("deleted", "batch", BUCKET)
+        wanted = list(dict.fromkeys((*self.keys, *columns, *self.order, "deleted", "batch", BUCKET))) if columns else ["*"]
+        asked = numbers = None
+        if keys is not None:
+            asked = keys.select(*self.keys).distinct()
+            numbers = [r[0] for r in asked.select(self.bucket_of(F.col(self.keys[0]))).distinct().collect()]
+
+        def part(rows: DataFrame | None) -> DataFrame | None:
+            if rows is None or asked is None:
+                return rows if rows is None else rows.select(*wanted)
+            mine = rows.where(F.col(BUCKET).isin(numbers)).select(*wanted)
+            return mine.join(asked, list(self.keys), "left_semi")
+
+        state, delta = part(state), part(delta)
+        if delta is not None:
+            last = latest_per_key(delta, self.keys, ["batch", *self.order])
+            changed = delta.select(*self.keys).distinct()
+            state = last if state is None else state.join(changed, list(self.keys), "left_anti").unionByName(last, allowMissingColumns=True)
+        if with_deleted:
+            return state.drop("batch", BUCKET)
+        return state.where(~F.col("deleted")).drop("deleted", "batch", BUCKET)
 
     def lookup(self, repo: str) -> DataFrame | None:
         """Current rows of one repository; only its bucket is read."""
@@ -102,17 +140,46 @@ class KeyedTable:
         last = latest_per_key(mine, self.keys, ["batch", *self.order])
         return last.where(~F.col("deleted")).drop("deleted", "batch", BUCKET)
 
-    def delete(self, keys: DataFrame) -> int:
-        """Add a batch that removes the given keys."""
-        rows = self.rows()
-        marks = keys.select(*self.keys).distinct().withColumn("deleted", F.lit(True))
-        for field in rows.schema.fields:
-            if field.name not in (*marks.columns, "batch", BUCKET):
-                marks = marks.withColumn(field.name, F.lit(None).cast(field.dataType))
-        return self.append(marks)
-
-    def compact(self) -> None:
-        """Write the current state as a base, so that reads start there instead of at the first batch."""
-        batches, state = self.batches(), self.current()
-        if state is not None:
-            self._store(state.withColumn("deleted", F.lit(False)), f"base={batches[-1]}")
+    def delete(self, keys: DataFrame, at: Column | None = None) -> int | None:
+        """Add a batch that removes the given keys as far as they are there.
+
+        The deletion has the time ``at``, by default that of the row it removes; changes before it stay without effect.
+        """
+        state = self.current(keys=keys)
+        if state is None:
+            return None
+        kept = {*self.keys, *self.order, "ts"}
+        gone = state.select(*(F.col(f.name) if f.name in kept else F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema))
+        if "fileHash" in state.columns:
+            gone = gone.withColumn("fileHash", F.lit(DELETED_HASH))
+        if at is not None and "ts" in state.columns:
+            gone = gone.withColumn("ts", at.cast(state.schema["ts"].dataType))
+        return self.append(gone.withColumn("deleted", F.lit(True)))
+
+    def compact(self, forget_before: Column | None = None) -> None:
+        """Write the current state as a base, so that reads start there instead of at the first batch.
+
+        Deleted keys are kept with their time; those deleted before ``forget_before`` are forgotten. Folders that the
+        base before this one already made superfluous are deleted, so a read that began with that base still ends.
+        """
+        state = self.current(with_deleted=True)
+        if state is None:
+            return
+        if forget_before is not None:
+            state = state.where(~F.col("deleted") | (F.col("ts") >= forget_before))
+        previous = self._committed("base")
+        number = self.batches()[-1]
+        if not previous or previous[-1][0] < number:
+            self._store(state, f"base={number}/mark=none")
+            self._drop_before(previous[-1][0] if previous else None)
+
+    def _drop_before(self, base: int | None) -> None:
+        if base is None:
+            return
+        fs, _ = self._files()
+        batches = self._committed("batch")
+        last_of_stream = {mark.rpartition(".")[0]: number for number, mark, *_ in batches}
+        doomed = [f"batch={n}" for n, mark, *_ in batches if n <= base and last_of_stream[mark.rpartition(".")[0]] != n]
+        doomed += [f"base={n}" for n, *_ in self._committed("base") if n < base]
+        for name in doomed:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)

@@ -6,6 +6,7 @@ segment split as in batch jobs, so a key with most of the rows does not end up i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparksymbols.operators.gates import ordered_gate
 from sparksymbols.operators.mutations import latest_per_key
-from sparksymbols.sources.tables import KeyedTable
+from sparksymbols.sources.tables import DELETED_HASH, KeyedTable
 
 
 def gate_batch(
@@ -33,6 +34,12 @@ def gate_batch(
     return decided.where(F.col("generation") == 1).drop("generation")
 
 
+def stream_of(batch: DataFrame, checkpoint: str) -> str:
+    """Name of the stream a micro-batch belongs to: the id that Spark keeps in its checkpoint folder."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return query or hashlib.sha1(checkpoint.encode()).hexdigest()
+
+
 def index_batch(
     changes: DataFrame,
     batch_id: int,
@@ -40,19 +47,28 @@ def index_batch(
     order: Sequence[str],
     parse: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     partitions: int | None = None,
+    stream: str = "changes",
 ) -> None:
-    """Gate one batch and store the last accepted change of each key; a batch that is stored already is left alone.
+    """Gate one batch and store the last accepted change of each key; a batch of a stream that is stored already is
+    left alone, whatever else the table has got meanwhile.
 
-    Only keys, times and hashes go through the gate. Content is joined back for the rows that are stored.
+    Changes with a ``kind`` of ``D`` delete their key. Only keys, times and hashes go through the gate, against
+    the stored rows of the batch's keys alone. Content is joined back for the rows that are stored.
     """
-    if batch_id in table.batches():
+    mark = f"{stream}.{batch_id}"
+    if mark in table.marks():
         return
     keys = list(table.keys)
-    current = table.current("ts", "fileHash")
+    gone = F.col("kind").eqNullSafe("D") if "kind" in changes.columns else F.lit(False)
+    changes = changes.withColumn("deleted", gone).withColumn("fileHash", F.when(gone, DELETED_HASH).otherwise(F.col("fileHash")))
+    current = table.current("ts", "fileHash", keys=changes, with_deleted=True)
     decided = gate_batch(changes, current, keys, order, partitions)
     accepted = decided.where(F.col("decision") == "accepted").select(*keys, *order)
     last = latest_per_key(accepted.withColumn("rank", F.struct(*order)), keys, ["rank"]).drop("rank")
-    table.write(parse(changes.join(last, [*keys, *order], "left_semi")), batch_id)
+    taken = changes.join(last, [*keys, *order], "left_semi")
+    live = parse(taken.where(~F.col("deleted")).drop("deleted", "kind")).withColumn("deleted", F.lit(False))
+    marks = taken.where(F.col("deleted")).select(*dict.fromkeys((*keys, *order, "ts", "fileHash", "deleted")))
+    table.append(live.unionByName(marks, allowMissingColumns=True), mark)
 
 
 def index_stream(
@@ -67,7 +83,7 @@ def index_stream(
     """Run a change stream into ``table`` until all available input is taken."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        index_batch(batch, batch_id, table, order, parse, partitions)
+        index_batch(batch, batch_id, table, order, parse, partitions, stream_of(batch, checkpoint))
         if (batch_id + 1) % compact_every == 0:
             table.compact()
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sparksymbols.operators.gates import lease_grants
 from sparksymbols.session import checkpointed
 from sparksymbols.sources.tables import KeyedTable
+from sparksymbols.streaming.index_stream import stream_of
 
 KEY = "lock_key"
 _FIELDS = (KEY, "arrival", "requested_at", "kind", "ttl_seconds")
@@ -55,11 +56,13 @@ def lease_stream(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in leases.batches():
+        mark = f"{stream_of(batch, checkpoint)}.{batch_id}"
+        if mark in leases.marks():
             return
-        decided = checkpointed(lease_batch(batch, leases.current("expires_at"), partitions))
-        decisions.write(decided, batch_id)
-        leases.write(leases_after(decided), batch_id)
+        decided = checkpointed(lease_batch(batch, leases.current("expires_at", keys=batch), partitions))
+        if mark not in decisions.marks():
+            decisions.append(decided, mark)
+        leases.append(leases_after(decided), mark)
 
     return (
         requests.writeStream.foreachBatch(store)

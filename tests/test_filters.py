@@ -81,14 +81,16 @@ def test_malformed_documents_are_skipped_and_counted(spark):
 
 
 def test_status_transition(spark):
-    rows = [("processing", 5, 5, 0), ("processing", 5, 4, 1), ("processing", 5, 4, 0), ("pending", 5, 0, 2)]
-    df = spark.createDataFrame(rows, "status string, totalFiles long, processedFiles long, failedFiles long")
-    assert [(r.status, r.errorMessage) for r in status_transition(df).collect()] == [
+    rows = [("processing", 5, 5, 0, None), ("processing", 5, 4, 1, None), ("processing", 5, 3, 1, None), ("pending", 5, 0, 2, "x"), ("processing", 5, 5, 0, "lost")]
+    df = spark.createDataFrame(rows, "status string, totalFiles long, processedFiles long, failedFiles long, error string")
+    assert [(r.status, r.errorMessage) for r in status_transition(df, F.col("error")).collect()] == [
+        ("completed", None),
         ("completed", None),
-        ("failed", "1 files failed"),
         ("processing", None),
         ("pending", None),
+        ("failed", "lost"),
     ]
+    assert [r.status for r in status_transition(df).collect()][-1] == "completed"
 
 
 def test_stored_schemas_are_bounded():

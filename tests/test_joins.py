@@ -104,6 +104,27 @@ def test_import_paths(spark):
     }
 
 
+def test_python_import_paths(spark):
+    exports = spark.createDataFrame(
+        [("r", "pkg/util.py", "one", 3), ("r", "pkg/lib/core.py", "two", 5), ("r", "pkg/__init__.py", "three", 7), ("r", "pkg/sub/util.py", "one", 9)],
+        "repoId string, filePath string, name string, lineNumber int",
+    )
+    cases = [
+        ("pkg/a.py", "one", ".util", "pkg/util.py"),
+        ("pkg/sub/a.py", "two", "..lib.core", "pkg/lib/core.py"),
+        ("pkg/a.py", "three", ".", "pkg/__init__.py"),
+        ("main.py", "one", "pkg.util", "pkg/util.py"),
+        ("main.py", "three", "pkg", "pkg/__init__.py"),
+        ("pkg/sub/a.py", "one", ".util", "pkg/sub/util.py"),
+        ("pkg/a.py", "one", "..util", None),
+        ("pkg/a.ts", "one", "pkg.util", None),
+    ]
+    rows = [("r", path, name, source, i) for i, (path, name, source, _) in enumerate(cases)]
+    imports = spark.createDataFrame(rows, "repoId string, filePath string, name string, source string, lineNumber int")
+    found = {r.lineNumber: r.targetPath for r in J.resolve_imports(imports, exports).collect()}
+    assert [found[i] for i in range(len(cases))] == [target for *_, target in cases]
+
+
 def test_mutations(spark):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, v int, s string")
     changes = spark.createDataFrame([("b", 0, "z"), ("c", 2, "w"), ("c", 1, "u")], "k string, v int, s string")

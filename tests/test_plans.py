@@ -37,12 +37,10 @@ def test_no_cross_join_and_no_python(plans, name):
 
 @pytest.mark.parametrize("name", ["X1_ts_exports", "X11_rich_signature", "N6_assemble_file_index", "P8_file_summary", "G1_rule_registry"])
 def test_extraction_needs_no_shuffle(plans, name):
-    """The only exchange deals a small input out to idle cores."""
-    exchanges = re.findall(r"Exchange \w+", plans(name))
-    assert exchanges in ([], ["Exchange RoundRobinPartitioning"])
+    assert "Exchange" not in plans(name)
 
 
-@pytest.mark.parametrize("name", ["P9_search_exports", "W2_limit_n"])
+@pytest.mark.parametrize("name", ["W2_limit_n"])
 def test_limits_apply_in_each_task_first(plans, name):
     assert re.search(r"WindowGroupLimit .*Partial", plans(name))
 

@@ -30,7 +30,7 @@ def test_hashes(one, text):
     assert one(S.git_blob_id(F.col("t")), t=text) == hashlib.sha1(blob).hexdigest()
 
 
-@pytest.mark.parametrize("raw", [b"ok", b"\xffabc", b"a\xc3", b"\xe2\x82", "é文".encode() + b"\x80x", b""])
+@pytest.mark.parametrize("raw", ["a\ufffdb\u0001b\u0001a".encode() + b"\xff", b"ok", b"\xffabc", b"a\xc3", b"\xe2\x82", "é文".encode() + b"\x80x", b""])
 def test_tolerant_decode(spark, raw):
     df = spark.createDataFrame([(bytearray(raw),)], "b binary")
     assert df.select(S.tolerant_decode(F.col("b"))).first()[0] == raw.decode("utf-8", errors="ignore")

@@ -46,7 +46,7 @@ def test_delete_and_compact(spark, table):
     table.delete(spark.createDataFrame([("r", "a"), ("r", "none")], "repoId string, filePath string"))
     assert state(table) == {("r", "b"): "y", ("s", "a"): "z"}
     table.compact()
-    assert table.rows().count() == 2
+    assert table.rows().count() == 3 and state(table) == {("r", "b"): "y", ("s", "a"): "z"}
     table.append(changes(spark, [(4, "r", "a", "again", 2), (5, "s", "a", "new", 2)]))
     assert state(table) == {("r", "a"): "again", ("r", "b"): "y", ("s", "a"): "new"}
     assert table.batches() == [0, 1, 2]
@@ -56,7 +56,7 @@ def test_delete_and_compact(spark, table):
 def test_a_batch_that_was_not_committed_does_not_count(spark, table):
     table.append(changes(spark, [(1, "r", "a", "x", 1)]))
     spark.createDataFrame([(1,)], "junk int").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(
-        f"{table.path}/batch=1"
+        f"{table.path}/batch=1/mark=lost.0"
     )
     assert table.batches() == [0]
     assert state(table) == {("r", "a"): "x"}
@@ -105,11 +105,56 @@ def test_stream_equals_a_loop_and_survives_a_replay(spark, feed, table, tmp_path
     assert {(r.repoId, r.filePath): r.event_id for r in table.current().collect()} == expected
     assert table.rows().agg(F.min("batch")).first()[0] > 0
     # The same batches offered again, as after a restart before the offsets were stored.
-    before = table.rows().count()
+    (stream,) = {mark.rpartition(".")[0] for mark in table.marks()}
+    before, marks = table.rows().count(), table.marks()
     for n, part in enumerate(range(0, 200, 40)):
-        if n in table.batches():
-            T.index_batch(changes(spark, rows[part : part + 40]), n, table, ["event_id"])
-    assert table.rows().count() == before
+        if f"{stream}.{n}" in marks:
+            T.index_batch(changes(spark, rows[part : part + 40]), n, table, ["event_id"], stream=stream)
+    assert table.rows().count() == before and table.marks() == marks
+
+
+def test_deleted_keys_stay_deleted(spark, table):
+    """A change older than the deletion does not bring a row back, not even after compaction; a later one does."""
+    def change(n, path, content, t, kind="M"):
+        rows = changes(spark, [(n, "r", path, content, t)]).withColumn("kind", F.lit(kind))
+        T.index_batch(rows, n, table, ["event_id"])
+
+    table.append(changes(spark, [(1, "r", "a", "x", 100), (2, "r", "b", "y", 100)]))
+    change(3, "a", "x", 120, "D")
+    table.delete(spark.createDataFrame([("r", "b")], "repoId string, filePath string"))
+    assert state(table) == {}
+    change(4, "a", "late", 110)
+    change(5, "b", "late", 50)
+    assert state(table) == {}
+    table.compact()
+    change(6, "a", "later", 119)
+    assert state(table) == {}
+    change(7, "a", "x", 121)
+    change(8, "never", "z", 10, "D")
+    change(9, "never", "z", 9)
+    assert state(table) == {("r", "a"): "x"}
+    table.compact(forget_before=F.expr("timestamp_seconds(1000)"))
+    assert table.rows().count() == 1
+
+
+def test_batches_of_other_origin_do_not_stand_for_those_of_a_stream(spark, table):
+    for _ in range(3):
+        table.append(changes(spark, [(1, "r", "a", "x", 1)]))
+    T.index_batch(changes(spark, [(2, "r", "a", "new", 2), (3, "r", "c", "z", 2)]), 0, table, ["event_id"])
+    assert state(table) == {("r", "a"): "new", ("r", "c"): "z"}
+
+
+def test_reads_cost_the_asked_buckets_and_folders_stay_few(spark, table):
+    rows = changes(spark, [(i, f"r{i}", "a", "x", 1) for i in range(40)])
+    table.append(rows)
+    for n in range(60):
+        table.append(rows.limit(1), f"s.{n}")
+        if n % 10 == 9:
+            table.compact()
+    assert len(table.batches()) <= 24 and "s.59" in table.marks()
+    plan = table.current("ts", keys=rows.where("repoId = 'r7'"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(repo_bucket" in plan or "PartitionFilters: [repo_bucket" in plan
+    assert state(table).keys() == {(f"r{i}", "a") for i in range(40)}
 
 
 def test_stream_of_source_files(spark, tmp_path):

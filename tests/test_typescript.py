@@ -4,45 +4,47 @@ from pyspark.sql import functions as F
 from sparksymbols.operators import extract, typescript
 
 CLASS = """\
-export class MyClass {
-    private name: string;
-
-    constructor(name: string) {
-        this.name = name;
-    }
-
-    public getName(): string {
-        return this.name;
-    }
-
-    private setName(newName: string): void {
-        if (newName) { this.name = newName; }
-        for (const c of newName) { console.log(c); }
+export class Ledger {
+    static open = 0;
+    protected entries: Map<string, Entry[]> = new Map();
+    constructor(readonly owner: Account, private clock = Date) { Ledger.open += 1; }
+    async settle(day: Day): Promise<void> {
+        while (day.pending()) { await day.next(); }
+        if (this.entries.size) { return; }
     }
+    protected audit(): Report { return new Report(this); }
 }
 """
 
 GENERIC = """\
-/**
- * export class Commented { }
- */
-export class Items<T extends Base<T>> extends List<T>
-  implements Sized, Store<Map<string, T>> {
-    private elements: T[] = [];
-    static readonly limit: number = 10;
-    /** push(element) { } */
-    push(
-        element: T,
-        at?: number,
-    ): number {
-        return this.elements.push(element);
+// export class Hidden { }
+@Injectable({ scope: "root" })
+export class RouteTable<K extends Key<K>, V> extends Registry<K>
+  implements Lookup, Sink<Event<K, V[]>> {
+    /* match(path) { } */
+    @Input() prefix!: string;
+    @Output()
+    changed = new EventEmitter<string>();
+    hits = 0;
+    static readonly MAX: number = 64;
+    private cache: Map<K, V> = new Map();
+    fallback = (path: string) => { return this.match(path); };
+    constructor(@Inject(TOKEN) private source: Source, @Optional() log?: Log) { super(); }
+    match(
+        path: K,
+        strict?: boolean,
+    ): V | null {
+        return this.cache.get(path);
     }
-    get length(): number { return this.elements.length; }
-    async *walk(): AsyncIterator<T> { yield* this.elements; }
-    handler = (e: Event) => { this.push(e); };
-    get(index: number): T | undefined { return this.elements[index]; }
+    fetch(id: number): V;
+    fetch(id: string): V;
+    fetch(id: any): V { return this.cache.get(id); }
+    @HostListener("window:resize", ["$event"])
+    onResize(e) { }
+    get size(): number { return this.cache.size; }
+    async *scan(): AsyncIterator<V> { yield* this.cache.values(); }
 }
-export default Items;
+export default RouteTable;
 """
 
 
@@ -71,13 +73,22 @@ def names(rows, *fields):
 @pytest.mark.parametrize(
     ("code", "expected"),
     [
-        ('export function hello() { return "Hello"; }', [("hello", "function")]),
+        ("export function total(xs) { return xs.length; }", [("total", "function")]),
         ("export async function go() {}", [("go", "function")]),
         ("export default function main() {}", [("main", "function")]),
-        ("export default function () {}", []),
+        ("export default function () {}", [("default", "function")]),
+        ("export default class extends Base {}", [("default", "class")]),
+        ("export default { a: 1 };", [("default", "variable")]),
+        ("export default new Store();", [("default", "variable")]),
+        ("export default () => 1;", [("default", "variable")]),
+        ("export enum Color { Red }\nexport const enum Size { S }\nexport declare enum E {}", [("Color", "variable"), ("Size", "variable"), ("E", "variable")]),
+        ("export namespace A.B { export const inner = 1; }", [("inner", "variable"), ("A.B", "variable")]),
+        ("export * from './x';\nexport * as all from './y';\nexport{z}", [("z", "variable"), ("all", "variable"), ("*", "variable")]),
+        ("export const { p, q: r, ...rest } = load(), [s, , t = 2] = more;", [("p", "variable"), ("r", "variable"), ("rest", "variable"), ("s", "variable"), ("t", "variable")]),
+        ("export const f = (a, b = 1) => a,\n  g: Map<string, number> = new Map<string, number>(),\n  h = [1, 2];\nlet i = 1, j = 2;", [("f", "variable"), ("g", "variable"), ("h", "variable")]),
         ("export abstract class A {}", [("A", "class")]),
         ("export interface I { }", [("I", "interface")]),
-        ("export const a = 1, b = 2;\nexport let c;\nexport var d;", [("a", "variable"), ("c", "variable"), ("d", "variable")]),
+        ("export const a = 1, b = 2;\nexport let c;\nexport var d;", [("a", "variable"), ("b", "variable"), ("c", "variable"), ("d", "variable")]),
         ("export type T = string;", [("T", "type")]),
         ("export { a, b as c, };", [("a", "variable"), ("c", "variable")]),
         ("export default thing;", [("thing", "variable")]),
@@ -142,28 +153,45 @@ def test_class_members(parse):
     rows = parse(CLASS, typescript.class_members(), typescript.with_classes)
     assert names(rows, "name", "kind", "visibility", "line") == [
         ("constructor", "constructor", "public", 4),
-        ("getName", "method", "public", 8),
-        ("setName", "method", "private", 12),
-        ("name", "property", "private", 2),
+        ("settle", "method", "public", 5),
+        ("audit", "method", "private", 9),
+    ]
+    rows = parse(CLASS, "properties", typescript.with_classes)
+    assert names(rows, "name", "visibility", "type", "line") == [
+        ("open", "public", "any", 2),
+        ("entries", "private", "Map<string, Entry[]>", 3),
     ]
 
 
 def test_generic_class(index):
     found = {e["name"]: e for e in index(GENERIC)["exports"] if e["type"] == "class"}
-    assert list(found) == ["Items"]
-    info = found["Items"]["classInfo"]
-    assert info["extends"] == "List"
-    assert info["implements"] == ["Sized", "Store"]
-    assert names(info["methods"], "name", "lineNumber") == [("push", 9), ("length", 15), ("walk", 16), ("get", 18)]
-    assert names(info["properties"], "name", "visibility") == [("limit", "public")]
-    push, _, walk, get = (m["functionSignature"] for m in info["methods"])
-    assert names(push["parameters"], "name", "type", "required") == [("element", "T", True), ("at", "number", False)]
-    assert (walk["isAsync"], walk["isGenerator"]) == (True, True)
-    assert get["returnType"] == "T | undefined"
+    assert list(found) == ["RouteTable"]
+    info = found["RouteTable"]["classInfo"]
+    assert info["extends"] == "Registry"
+    assert info["implements"] == ["Lookup", "Sink"]
+    lines = [("match", 14), ("fetch", 22), ("onResize", 24), ("size", 25), ("scan", 26)]
+    assert names(info["methods"], "name", "lineNumber") == lines
+    fields = [("prefix", 6), ("changed", 8), ("hits", 9), ("MAX", 10), ("fallback", 12)]
+    assert names(info["properties"], "name", "lineNumber") == fields
+    match, _, _, size, scan = (m["functionSignature"] for m in info["methods"])
+    assert names(match["parameters"], "name", "type", "required") == [("path", "K", True), ("strict", "boolean", False)]
+    assert (match["returnType"], size["returnType"]) == ("V | null", "number")
+    assert (scan["isAsync"], scan["isGenerator"]) == (True, True)
+    (made,) = (m["functionSignature"] for m in info["constructors"])
+    assert names(made["parameters"], "name", "type", "required") == [("source", "Source", True), ("log", "Log", False)]
+
+
+def test_deep_generics_and_long_blanks(index):
+    deep = "A<B<C<D<E<F<G<H>>>>>>>"
+    code = f"export class Deep<T extends {deep}> extends Base<{deep}> {{\n  go(x: {deep}):{' ' * 40}{{ a: string }} {{ return x; }}\n}}\n"
+    (deep_class,) = index(code)["exports"]
+    info = deep_class["classInfo"]
+    assert info["extends"] == "Base"
+    assert [(m["name"], m["functionSignature"]["returnType"]) for m in info["methods"]] == [("go", "{ a: string }")]
 
 
 def test_default_export_beside_a_class(index):
-    assert names(index(GENERIC)["exports"], "name", "type") == [("Items", "class"), ("Items", "variable")]
+    assert names(index(GENERIC)["exports"], "name", "type") == [("RouteTable", "class"), ("RouteTable", "variable")]
 
 
 def test_unclosed_class_keeps_its_export(index):
