@@ -134,7 +134,8 @@ def anchors(t: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
         window, place, text = window[fits], place[fits], text[fits]
         if len(window):
             first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
-            found.append((window[first], np.diff(np.append(first, len(window))), h[place[first]], text[first]))
+            # Least hashes are small numbers; mixed once more they are dealt evenly.
+            found.append((window[first], np.diff(np.append(first, len(window))), shingles.mixed(~h[place[first]]), text[first]))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none
