@@ -34,6 +34,7 @@ FILE_BYTES = 1 << 30
 #: Text for each bucket of anchor hashes, and how many buckets of pieces there are for one of these.
 BUCKET_BYTES = 1 << 25
 PIECE_BUCKETS = 16
+MOST_TASKS = 20_000
 #: Anchors in so many documents send their windows one by one.
 HOT = 20_000
 
@@ -324,12 +325,15 @@ def remove_repeats(
     buckets = 2 ** math.ceil(math.log2(max(1, size / bucket_bytes)))
     spread = sections.select("section").repartition(max(1, count))
     sent = spread.mapInArrow(_send_anchors(length, buckets), "bucket int, section string, hashes binary, docs binary")
-    flags = stored(sent.groupBy("bucket").applyInArrow(_judge_anchors(hot), _ANSWER), "anchor-flags")
-    pieces = flags.groupBy("section").applyInArrow(
+    # Rows are few and large, so tasks are counted by the text behind them, not by their bytes.
+    tasks = max(1, min(count, MOST_TASKS))
+    flags = stored(sent.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_judge_anchors(hot), _ANSWER), "anchor-flags")
+    pieces = flags.repartition(tasks, "section").groupBy("section").applyInArrow(
         _send_pieces(length, buckets * PIECE_BUCKETS), "bucket int, section string, blob binary"
     )
+    pieces = pieces.repartition(min(buckets * PIECE_BUCKETS, MOST_TASKS), "bucket")
     found = pieces.groupBy("bucket").applyInArrow(_judge_pieces(length), _ANSWER)
     all_sections = sections.select(F.lit(0).alias("kind"), "section", F.lit(0).alias("bucket"), F.lit(b"").alias("bits"))
     answers = all_sections.unionByName(flags).unionByName(found)
     schema = _RESULT + (", kept binary" if with_text else "")
-    return answers.groupBy("section").applyInArrow(_remove(length, buckets * PIECE_BUCKETS, with_text), schema)
+    return answers.repartition(tasks, "section").groupBy("section").applyInArrow(_remove(length, buckets * PIECE_BUCKETS, with_text), schema)
