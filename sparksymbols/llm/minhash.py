@@ -1,8 +1,10 @@
 """Near duplicates: banded MinHash candidates, odd sketches to judge them, full sets to confirm them.
 
 No step expands a group of copies into its pairs. Equal sets are one representative. In each bucket of a band, members
-are first compared with the smallest one only; links that hold join them into classes. Then only members of different
-classes in a bucket are compared, in blocks. So every pair that shares a bucket is either connected or compared.
+are first compared with the smallest one only; links that hold join them into classes. Where a bucket still holds several
+classes, members outside the largest are compared with the one of another class that their sketches put nearest, which
+joins most of them. Only then all members of different classes that are left in a bucket are compared, in blocks. So
+every pair that shares a bucket is either connected or compared.
 """
 
 from __future__ import annotations
@@ -133,25 +135,33 @@ def _flips(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _block_pairs(percent: int, flips: int):
-    """Pairs of members of different classes in one block of a bucket, by size and sketch; rows come sorted by block."""
+def _block_pairs(percent: int, flips: int, nearest: bool):
+    """Pairs of members of different classes in one block of a bucket, by size and sketch; rows come sorted by block.
+
+    With ``nearest`` each member outside the block's largest class gives its nearest partner only.
+    """
 
     def within(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        n = rows.column("n").to_numpy()
-        label = rows.column("label_code").to_numpy()
+        n, label = rows.column("n").to_numpy(), rows.column("label_code").to_numpy()
         words = np.stack(rows.column("sketch").combine_chunks().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
         side, low, high = rows.column("side").to_numpy(), rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-        left = np.flatnonzero(side == low)
-        right = left if low == high else np.flatnonzero(side == high)
+        places = np.arange(len(n))
+        names, counts = np.unique(label, return_counts=True)
         found_a, found_b = [], []
-        for i in left:
-            others = right[right > i] if low == high else right
+        if len(names) < 2:
+            return np.array([], np.int64), np.array([], np.int64)
+        for i in places[label != names[np.argmax(counts)]]:
+            # In a block of two sides members meet those of the other side; pairs inside a side have a block of their own.
+            others = places if low == high else places[side != side[i]]
             fits = (label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
             others = others[fits]
             if not len(others):
                 continue
             apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1)
-            near = others[(apart <= flips) | (n[others] < SKETCH_LEAST) | (n[i] < SKETCH_LEAST)]
+            close = (apart <= flips) | (n[others] < SKETCH_LEAST) | (n[i] < SKETCH_LEAST)
+            near, apart = others[close], apart[close]
+            if nearest and len(near):
+                near = near[[np.argmin(apart)]]
             found_a.extend([i] * len(near))
             found_b.extend(near)
         return np.array(found_a, np.int64), np.array(found_b, np.int64)
@@ -246,11 +256,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = shingles.WO
         tiny = (F.col("na") < SKETCH_LEAST) | (F.col("nb") < SKETCH_LEAST)
         return two.where(tiny | (_flips(F.col("sketch_a"), F.col("sketch_b")) <= flips)).select("a", "b")
 
+    # Full sets of all members of buckets, made once: the one time that texts are dealt out. The join is never a
+    # broadcast, so that it costs the same share of the input at every size.
+    asked = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    made = texts.join(asked, "doc_id", "left_semi").mapInArrow(_full_sets(words), f"doc_id {kind}, shingles array<bigint>")
+    sets = stored(made, "sets")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked, by their full sets, which are made for documents in pairs only."""
-        pairs = stored(pairs, "pairs")
-        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = stored(texts.join(asked, "doc_id", "left_semi").mapInArrow(_full_sets(words), f"doc_id {kind}, shingles array<bigint>"), "sets")
+        """The pairs that are linked, by their full sets."""
         one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         two = join_back(one, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), ["a"])
         shared = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
@@ -259,25 +272,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = shingles.WO
 
     stars = members.where("rep <> hub.rep").where(_close(F.col("n"), F.col("hub.n"), percent))
     stars = stars.select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-    first = confirmed(by_sketch(stars))
-    classes = stored(components(first), "classes")
-
-    # Buckets that still hold more than one class: their members meet in blocks.
-    placed = members.join(classes, members["rep"] == classes["node"], "left")
-    placed = placed.select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("label"))
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = join_back(placed, open_keys, ["key"])
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    rest = rest.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("side"))
-    rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.select(
-        "rep", "n", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"),
-        F.xxhash64("label").alias("label_code"), F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("place"),
-    )
-    rest = rest.join(sketches, "rep").repartition("place").sortWithinPartitions("place")
-    met = rest.mapInArrow(_block_pairs(percent, flips), f"a {kind}, b {kind}")
-    second = confirmed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = first.unionByName(second)
+
+    def across(classes: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs ``a, b`` of members of buckets that still hold more than one class, who meet in blocks."""
+        placed = members.join(classes, members["rep"] == classes["node"], "left")
+        placed = placed.select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("label"))
+        open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        rest = join_back(placed, open_keys, ["key"])
+        blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+        rest = rest.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("side"))
+        rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        low, high = F.least("side", "other"), F.greatest("side", "other")
+        rest = rest.select(
+            "rep", "n", "side", low.alias("low"), high.alias("high"),
+            F.xxhash64("label").alias("label_code"), F.xxhash64("key", low, high).alias("place"),
+        )
+        rest = rest.join(sketches, "rep").repartition("place").sortWithinPartitions("place")
+        met = rest.mapInArrow(_block_pairs(percent, flips, nearest), f"a {kind}, b {kind}")
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    links = confirmed(by_sketch(stars))
+    for nearest in (True, False):
+        classes = stored(components(links), "classes")
+        links = links.unionByName(confirmed(across(classes, nearest)))
     classes = components(links, "all-links")
 
     grouped = join_back(signed.where("n > 0").select("doc_id", "n", "digest"), same, ["digest"])
