@@ -1,8 +1,8 @@
 """Joins and per-key limits for keys of any frequency.
 
-Keys with more than ``rows_per_slice`` rows are cut into slices by a hash of the row. There are fewer such keys
-than rows / ``rows_per_slice``, which bounds the broadcast of their list. The slice depends on the row only, so a
-recomputed task gives the same slice.
+Spark splits a large key of a join at run time, if both sides are dealt out for that join. A table with one row per key
+often comes straight from an aggregate, whose dealing Spark would reuse; a hash of the keys as a further join column
+makes it deal both sides anew. No rows are counted beforehand, and the plan does not depend on their number.
 """
 
 from __future__ import annotations
@@ -12,21 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 1_000_000
-NULL_SLICES = 64
-
-
-def frequent_keys(rows: DataFrame, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Keys with more than ``rows_per_slice`` rows and the number of ``slices`` each is cut into."""
-    counted = rows.groupBy(*keys).count().where(F.col("count") > rows_per_slice)
-    return counted.select(*keys, F.ceil(F.col("count") / rows_per_slice).alias("slices"))
-
-
-def _any_null(keys: Sequence[str]) -> Column:
-    test = F.lit(False)
-    for key in keys:
-        test = test | F.col(key).isNull()
-    return test
+PROBE = "_probe"
+SLICES = 64
 
 
 def split_join(
@@ -35,40 +22,37 @@ def split_join(
     keys: Sequence[str],
     how: str = "left",
     spread_by: Sequence[str] = (),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    hot: DataFrame | None = None,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Join ``many`` with ``one`` (at most one row per key) without putting a frequent key into one task.
 
-    Slices come from a hash of ``spread_by``; the row of ``one`` is repeated per slice.
+    Where the caller names ``hot`` keys, those are cut into ``slices`` by a hash of ``spread_by`` whatever Spark does,
+    and their rows of ``one`` are repeated per slice.
     """
-    hot = F.broadcast(frequent_keys(many, keys, rows_per_slice))
-    slices = F.when(_any_null(keys), F.lit(NULL_SLICES)).otherwise(F.coalesce("slices", F.lit(1)))
-    row_hash = F.xxhash64(*(spread_by or many.columns))
-    left = many.join(hot, list(keys), "left").select(
-        *many.columns, F.pmod(row_hash, slices).cast("bigint").alias("slice")
-    )
-    all_slices = F.sequence(F.lit(0).cast("bigint"), F.coalesce("slices", F.lit(1)) - 1)
-    right = one.join(hot, list(keys), "left").select(*one.columns, F.explode(all_slices).alias("slice"))
+    if hot is None:
+        probe = F.xxhash64(*keys)
+        joined = many.withColumn(PROBE, probe).join(one.withColumn(PROBE, probe), [*keys, PROBE], how)
+        return joined.drop(PROBE)
+    named = F.broadcast(hot.select(*keys).distinct().withColumn("slices", F.lit(slices)))
+    count = F.coalesce("slices", F.lit(1))
+    slice_of = F.pmod(F.xxhash64(*(spread_by or many.columns)), count).cast("bigint")
+    left = many.join(named, list(keys), "left").select(*many.columns, slice_of.alias("slice"))
+    all_slices = F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)
+    right = one.join(named, list(keys), "left").select(*one.columns, F.explode(all_slices).alias("slice"))
     return left.join(right, [*keys, "slice"], how).drop("slice")
 
 
-def _numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count: int) -> DataFrame:
+def _numbered(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[str], count: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("place", place).where(F.col("place") <= count).drop("place")
 
 
-def first_rows(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], count: int, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
+def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count: int, slices: int = SLICES) -> DataFrame:
     """The first ``count`` rows of each key.
 
-    Spark keeps only ``count`` rows per key in each task before it shuffles. Where that still leaves many for one
-    key, because very many tasks hold it, its slices are reduced first.
+    Spark keeps only ``count`` rows per key in each task before it shuffles. Very many tasks may still leave many for
+    one key, so its slices are reduced first.
     """
-    hot = frequent_keys(rows, keys, rows_per_slice)
-    if hot.isEmpty():
-        return _numbered(rows, keys, order, count)
-    sliced = rows.join(F.broadcast(hot), list(keys), "left").select(
-        *rows.columns, F.pmod(F.xxhash64(*order), F.coalesce("slices", F.lit(1))).cast("bigint").alias("slice")
-    )
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     return _numbered(_numbered(sliced, [*keys, "slice"], order, count).drop("slice"), keys, order, count)
