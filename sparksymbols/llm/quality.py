@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -136,18 +137,14 @@ def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows:
     known = sorted(tuple(row) for row in known)
     ones = sum(row[1] for row in known)
     if ones in (0, len(known)):
-        from math import log
-
-        return RuleModel((), log((ones + 0.5) / (len(known) - ones + 0.5)))
+        return RuleModel((), math.log((ones + 0.5) / (len(known) - ones + 0.5)))
     data = spark.createDataFrame(known, ["_id", "label", *STATISTICS]).select(
         "label", F.struct(*STATISTICS).alias("s"), array_to_vector(F.array(*STATISTICS)).alias("features")
     )
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label").fit(data)
     rules = tree_rules(forest.toDebugString)
     if not rules:
-        from math import log
-
-        return RuleModel((), log(ones / (len(known) - ones)))
+        return RuleModel((), math.log(ones / (len(known) - ones)))
     columns = F.array(*(holds(rule, F.col("s")).cast("double") for rule in rules))
     sparse = LogisticRegression(regParam=L1, elasticNetParam=1.0, maxIter=60, labelCol="label", featuresCol="rules").fit(
         data.select("label", array_to_vector(columns).alias("rules")).cache()

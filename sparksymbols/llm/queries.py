@@ -58,4 +58,9 @@ OPERATORS = (
 )
 QUERIES: dict[str, Query] = {operator.__name__: operator for operator in OPERATORS}
 
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op3_license_scan": licenses.SQL, "op7_mixing": mixing.SQL}
+ORACLE_SQL = {
+    "op1_warc": warc.SQL,
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op3_license_scan": licenses.SQL,
+    "op7_mixing": mixing.SQL,
+}

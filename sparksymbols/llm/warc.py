@@ -249,3 +249,16 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "pag
         F.col("refers_to").cast(kind).alias("refers_to"),
         (~response | ((F.col("digest_so_far") == F.col("stated_digest")) & (F.col("bytes_so_far") == F.col("stated_bytes")))).alias("intact"),
     )
+
+
+SQL = """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+named AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS first_id,
+            list_transform(range(8), lambda i: CAST('0x' || substr(hex, 5 * i + 1, 5) AS INTEGER)) AS parts FROM rows),
+placed AS (SELECT *, list_reduce(list_transform(parts, lambda v: list_reduce(list_transform([15, 10, 5, 0],
+             lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> k) & 31 AS INTEGER) + 1, 1)),
+             lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest FROM named)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to, true AS intact FROM placed
+"""

@@ -5,6 +5,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import regex
+
 
 def repeats(docs, length=50):
     """(id, n_bytes, n_removed, n_spans, sha256 of what is left) of (id, text)."""
@@ -92,3 +94,55 @@ def mixture_targets(sizes, weights=(5, 2, 1), share=1.0, cap=3.0):
             target[s] = cap * sizes[s]
         free -= over
     return target
+
+
+def template_tokens(text, units):
+    """(kind, value) of the tokens of a text: n, a and u are numbers, names and units, w are words."""
+    found = []
+    pattern = regex.compile(
+        rf"(?<number>(?<![\p{{L}}\p{{N}}])\p{{N}}+(?:[.,]\p{{N}}+)*(?: ?(?<unit>(?i:{units})))?(?![\p{{L}}\p{{N}}]))"
+        r"|(?<name>(?<=[\p{Ll}\p{N},] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}]))|(?<word>[\p{L}\p{N}]+)"
+    )
+    for m in pattern.finditer(text or ""):
+        if m["number"]:
+            value = m["number"][: len(m["number"]) - len(m["unit"] or "")].strip()
+            found.append(("n", re.sub("[.,]", "", value)))
+            if m["unit"]:
+                found.append(("u", m["unit"].lower()))
+        elif m["name"]:
+            found.append(("a", m["name"].lower()))
+        else:
+            found.append(("w", m["word"].lower()))
+    return found
+
+
+def contaminated(docs, items, units, width=10):
+    """Pairs (id, item) of (id, text) and (item, text) that share a window under one consistent renaming of values."""
+
+    def template(window):
+        return tuple((k, "" if k != "w" else v) for k, v in window)
+
+    known = defaultdict(set)
+    for item, text in items:
+        tokens = template_tokens(text, units)
+        for variant in (tokens, [("w", v) if k == "a" else (k, v) for k, v in tokens]):
+            size = min(width, len(variant))
+            for p in range(len(variant) - size + 1 if size else 0):
+                window = variant[p : p + size]
+                if 2 * sum(k != "w" for k, _ in window) <= size:
+                    known[template(window)].add((item, p, tuple(v for k, v in window if k != "w")))
+    sizes = {len(t) for t in known}
+    pairs = defaultdict(set)
+    for doc, text in docs:
+        tokens = template_tokens(text, units)
+        for size in sizes:
+            for p in range(len(tokens) - size + 1):
+                window = tokens[p : p + size]
+                values = tuple(v for k, v in window if k != "w")
+                for item, at, theirs in known.get(template(window), ()):
+                    pairs[doc, item, p - at] |= {*zip(theirs, values, strict=True)}
+    good = set()
+    for (doc, item, _), both in pairs.items():
+        if len(both) == len({a for a, _ in both}) == len({b for _, b in both}):
+            good.add((doc, item))
+    return good
