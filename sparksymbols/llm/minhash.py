@@ -29,6 +29,9 @@ SKETCH_BITS = 512
 #: Odd sketches reject below this estimate: six standard errors under 0.85. Small sets are not judged by sketch.
 SKETCH_SLACK = 0.18
 SKETCH_LEAST = 64
+#: Counts of a set's hashes by their last bits bound what two sets can share. They stop at 255; where two sets both have
+#: such a count they bound nothing.
+COUNTS = 1024
 BLOCK_MEMBERS = 1024
 BATCH_BYTES = 1 << 21
 
@@ -117,11 +120,16 @@ def _signatures(size: int):
     return run
 
 
+def hash_counts(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes()
+
+
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _batched(batches):
-            sets = [s.view(np.int64) for s in shingles.shingle_sets(texts, size)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = list(shingles.shingle_sets(texts, size))
+            hashes, counts = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([hash_counts(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, hashes, counts], names=["doc_id", "shingles", "counts"])
 
     return run
 
@@ -136,21 +144,24 @@ def _flips(a: Column, b: Column) -> Column:
 
 
 def _block_pairs(percent: int, flips: int, nearest: bool):
-    """Pairs of members of different classes in one block of a bucket, by size and sketch; rows come sorted by block.
+    """Pairs of members of different classes in one block of a bucket, by size, sketch and the most they can share; rows
+    come sorted by block.
 
-    With ``nearest`` each member outside the block's largest class gives its nearest partner only.
+    The sum of the lesser counts is never below what two sets share, so no linked pair is left out by it. With ``nearest`` each member outside the block's largest class gives its nearest partner only.
     """
 
     def within(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         n, label = rows.column("n").to_numpy(), rows.column("label_code").to_numpy()
         words = np.stack(rows.column("sketch").combine_chunks().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
+        counts = np.stack([np.frombuffer(x, np.uint8) for x in rows.column("counts").to_pylist()])
+        full = (counts == 255).any(axis=1)
         side, low, high = rows.column("side").to_numpy(), rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
         places = np.arange(len(n))
-        names, counts = np.unique(label, return_counts=True)
+        names, sizes = np.unique(label, return_counts=True)
         found_a, found_b = [], []
         if len(names) < 2:
             return np.array([], np.int64), np.array([], np.int64)
-        for i in places[label != names[np.argmax(counts)]]:
+        for i in places[label != names[np.argmax(sizes)]]:
             # In a block of two sides members meet those of the other side; pairs inside a side have a block of their own.
             others = places if low == high else places[side != side[i]]
             fits = (label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
@@ -160,6 +171,9 @@ def _block_pairs(percent: int, flips: int, nearest: bool):
             apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1)
             close = (apart <= flips) | (n[others] < SKETCH_LEAST) | (n[i] < SKETCH_LEAST)
             near, apart = others[close], apart[close]
+            most = np.minimum(counts[near], counts[i]).sum(axis=1, dtype=np.int64)
+            may = (100 * most >= percent * (n[near] + n[i] - most)) | (full[near] & full[i])
+            near, apart = near[may], apart[may]
             if nearest and len(near):
                 near = near[[np.argmin(apart)]]
             found_a.extend([i] * len(near))
@@ -259,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = shingles.WO
     # Full sets of all members of buckets, made once: the one time that texts are dealt out. The join is never a
     # broadcast, so that it costs the same share of the input at every size.
     asked = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
-    made = texts.join(asked, "doc_id", "left_semi").mapInArrow(_full_sets(words), f"doc_id {kind}, shingles array<bigint>")
+    made = texts.join(asked, "doc_id", "left_semi").mapInArrow(_full_sets(words), f"doc_id {kind}, shingles array<bigint>, counts binary")
     sets = stored(made, "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -287,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = shingles.WO
             "rep", "n", "side", low.alias("low"), high.alias("high"),
             F.xxhash64("label").alias("label_code"), F.xxhash64("key", low, high).alias("place"),
         )
-        rest = rest.join(sketches, "rep").repartition("place").sortWithinPartitions("place")
+        rest = rest.join(sketches, "rep").join(sets.select(F.col("doc_id").alias("rep"), "counts"), "rep").repartition("place").sortWithinPartitions("place")
         met = rest.mapInArrow(_block_pairs(percent, flips, nearest), f"a {kind}, b {kind}")
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
