@@ -27,9 +27,11 @@ def marked_tokens(text: Column) -> Column:
     after a lower-case word, a number or a comma on the same line, as sentence starts say nothing.
     """
     text = F.regexp_replace(text_or_empty(text), "[\u0001-\u0003]", " ")
-    text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", NAME + "$1")
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*) ?(" + UNITS + r")?(?![\p{L}\p{N}])", f"{NUMBER}$1 {UNIT}$2 ")
-    text = F.regexp_replace(F.lower(text), r"(?<=\p{N})[.,](?=\p{N})", "")
+    # Each pattern looks behind only once its first character fits.
+    text = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll}\p{N},] \p{Lu})\p{Ll}+)(?![\p{L}\p{N}])", NAME + "$1")
+    number = r"(\p{N}(?<![\p{L}\p{N}]\p{N})\p{N}*(?:[.,]\p{N}+)*) ?((?i:" + UNITS + r"))?(?![\p{L}\p{N}])"
+    text = F.regexp_replace(text, number, f"{NUMBER}$1 {UNIT}$2 ")
+    text = F.regexp_replace(F.lower(text), r"[.,](?<=\p{N}[.,])(?=\p{N})", "")
     words = F.split(F.regexp_replace(text, "[^\\p{L}\\p{N}\u0001-\u0003]+", " "), " ")
     return F.filter(words, lambda w: (w != "") & (w != UNIT))
 
@@ -38,28 +40,44 @@ def _is_slot(token: Column) -> Column:
     return token < F.lit("\u0004")
 
 
+def _value_codes(tokens: Column) -> Column:
+    """A hash of each token."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _template_codes(tokens: Column, values: Column) -> Column:
+    """A hash of each token, slots by their type only."""
+    kind = lambda i: F.xxhash64(F.substring(F.get(tokens, i), 1, 1))
+    return F.transform(values, lambda v, i: F.when(_is_slot(F.get(tokens, i)), kind(i)).otherwise(v))
+
+
 def _windows(tokens: Column, width: int) -> Column:
-    """Hashes of the templates of all windows, by their start."""
-    template = F.transform(tokens, lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t))
+    """All windows of a document by their start: ``h``, the hash of the template, and ``values``, those of all tokens."""
 
-    def hashed(template: Column) -> Column:
-        last = F.size(template) - width
+    def of_document(values: Column, codes: Column) -> Column:
+        last = F.size(values) - width
         starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(template, i + 1, width)))
+        window = lambda i: F.struct(F.xxhash64(F.slice(codes, i + 1, width)).alias("h"), F.slice(values, i + 1, width).alias("values"))
+        return F.transform(starts, window)
 
-    return let(template, hashed)
+    return let(tokens, lambda t: let(_value_codes(t), lambda v: let(_template_codes(t, v), lambda c: of_document(v, c))))
 
 
 def _benchmark_windows(items: DataFrame, width: int) -> DataFrame:
-    """``item_id, item_pos, width, h``: windows that are literal for at least one half."""
+    """``item_id, item_pos, width, h, item_values, slots``: windows that are literal for at least one half, with the
+    places of their slots."""
     size = F.least(F.size("tokens"), F.lit(width))
     rows = items.withColumn("width", size).where("width > 0")
     at = F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width"))).alias("item_pos")
-    rows = rows.select("item_id", "tokens", "width", at)
-    window = F.slice("tokens", F.col("item_pos") + 1, F.col("width"))
-    literal = F.size(F.filter(window, lambda t: ~_is_slot(t)))
-    template = F.transform(window, lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t))
-    return rows.where(2 * literal >= F.col("width")).select("item_id", "item_pos", "width", F.xxhash64(template).alias("h"))
+    rows = rows.withColumn("all_values", _value_codes(F.col("tokens")))
+    rows = rows.withColumn("codes", _template_codes(F.col("tokens"), F.col("all_values"))).select("*", at)
+    start = F.col("item_pos") + 1
+    slots = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: _is_slot(F.get("tokens", F.col("item_pos") + k)))
+    rows = rows.select(
+        "item_id", "item_pos", "width", F.xxhash64(F.slice("codes", start, F.col("width"))).alias("h"),
+        F.slice("all_values", start, F.col("width")).alias("item_values"), slots.alias("slots"),
+    )
+    return rows.where(2 * F.size("slots") <= F.col("width"))
 
 
 def contaminated(
@@ -83,9 +101,10 @@ def contaminated(
     Null or empty texts and items without a token match nothing; null ids are ids like others and repeated ids count as
     one document. Empty tables give no rows. Items that repeat each match.
     """
-    items = stored(
-        benchmark.select(F.col(item_col).alias("item_id"), marked_tokens(F.col(item_text_col)).alias("tokens")), "items"
-    )
+    items = benchmark.select(F.col(item_col).alias("item_id"), marked_tokens(F.col(item_text_col)).alias("tokens"))
+    # A text in one case shows no names, so items are known with names as plain words too.
+    plain = F.transform("tokens", lambda t: F.when(F.startswith(t, F.lit(NAME)), F.substring(t, 2, 1 << 30)).otherwise(t))
+    items = items.unionByName(items.withColumn("tokens", plain)).distinct()
     known = stored(_benchmark_windows(items, width), "item-windows")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hashes = small(known.select("h", "width").distinct())
@@ -97,34 +116,22 @@ def contaminated(
         ).limit(0)
     tokens = texts.select("doc_id", marked_tokens(F.col("text")).alias("tokens"))
     seen = [
-        tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"), w)).alias("pos", "h"))
-        .withColumn("width", F.lit(w))
+        tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"), w)).alias("pos", "window"))
+        .select("doc_id", "pos", F.lit(w).alias("width"), F.col("window.h").alias("h"), F.col("window.values").alias("values"))
         .join(hashes, ["h", "width"], "left_semi")
         for w in widths
     ]
-    found = stored(reduce(DataFrame.unionByName, seen).distinct(), "found-windows")
+    found = stored(reduce(DataFrame.unionByName, seen), "found-windows")
     met = found.join(small(known), ["h", "width"]).select(
-        "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("distance"), "pos", "item_pos", "width"
-    )
+        "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("distance"), "pos", "item_pos", "width",
+        F.transform("slots", lambda k: F.struct(F.get("item_values", k).alias("item"), F.get("values", k).alias("doc"))).alias("values"),
+    )
     met = stored(met, "met-windows")
-    # Which tokens of the item each distance covers, and which values stand there on both sides.
-    spread = met.select(
-        "doc_id", "item_id", "distance", "pos", F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("width") - 1)).alias("at")
-    )
-    covered = spread.groupBy("doc_id", "item_id", "distance", "at").agg(F.lit(1).alias("_"))
-    asked = met.select("doc_id").distinct()
-    mine = texts.join(asked, texts["doc_id"].eqNullSafe(asked["doc_id"]), "left_semi").select(
-        "doc_id", F.posexplode(marked_tokens(F.col("text"))).alias("pos", "doc_token")
-    )
-    mine = mine.where(_is_slot(F.col("doc_token"))).distinct()
-    theirs = items.select("item_id", F.posexplode("tokens").alias("at", "item_token")).where(_is_slot(F.col("item_token")))
-    values = (
-        covered.join(small(theirs.distinct()), ["item_id", "at"])
-        .withColumn("pos", F.col("at") + F.col("distance"))
-        .join(mine, ["doc_id", "pos"])
-        .select("doc_id", "item_id", "distance", "item_token", "doc_token")
-        .distinct()
-    )
+    at = F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("width") - 1)).alias("at")
+    covered = met.select("doc_id", "item_id", "distance", at).distinct()
+    values = met.select("doc_id", "item_id", "distance", F.explode("values").alias("value"))
+    values = values.select("doc_id", "item_id", "distance", F.col("value.item").alias("item_token"), F.col("value.doc").alias("doc_token"))
+    values = values.distinct()
     together = ["doc_id", "item_id", "distance"]
     slots = values.groupBy(*together).agg(
         F.count("*").alias("pairs"),
@@ -134,7 +141,7 @@ def contaminated(
     )
     sizes = covered.groupBy(*together).agg(F.count("*").alias("n_tokens"))
     counts = met.groupBy(*together).agg(F.count_distinct("pos").alias("n_windows"))
-    whole = sizes.join(counts, together).join(slots, together, "left")
+    whole = _same(_same(sizes, counts, together, "inner"), slots, together, "left")
     fine = F.col("pairs").isNull() | ((F.col("pairs") == F.col("item_values")) & (F.col("pairs") == F.col("doc_values")))
     return (
         whole.where(fine)
@@ -147,6 +154,13 @@ def contaminated(
     )
 
 
+def _same(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """An equi-join in which null ids are equal to each other."""
+    right = right.select(*(F.col(c).alias(f"_{c}") if c in columns else F.col(c) for c in right.columns))
+    test = reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[f"_{c}"]) for c in columns))
+    return left.join(right, test, how).drop(*(f"_{c}" for c in columns))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """The documents without any passage of the benchmark, with all their columns; those without an id stay."""
     bad = contaminated(docs, benchmark, **columns).select(F.col("doc_id").alias("_id")).distinct()
