@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sparksymbols.llm import decontamination, exact_dedup, minhash, mixing, quality
 from sparksymbols.llm.common import stored, table
 
+#: Documents that share so many per cent of their five-word shingles are near copies.
+NEAR_PERCENT = 80
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.drop_low_quality(docs, table(spark, sf_dir, "labels"))
@@ -17,7 +20,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_copies(docs)
+    return minhash.drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

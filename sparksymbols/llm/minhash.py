@@ -23,10 +23,11 @@ from sparksymbols.session import ship_with_tasks
 
 #: One hash with so many bins gives the MinHash samples (one permutation; empty bins borrow from others).
 BINS = 256
-#: A pair at the least similarity of 0.85 shares none of 25 bands of 5 samples with probability 4e-7.
-BANDS, ROWS = 25, 5
+#: Bands have at most so many samples; there are as many bands as keep the probability that a pair at the least similarity
+#: shares none of them below this: 25 bands for 0.85, 37 for 0.80.
+ROWS, MISSED = 5, 5e-7
 SKETCH_BITS = 512
-#: Odd sketches reject below this estimate: six standard errors under 0.85. Small sets are not judged by sketch.
+#: At 0.85 odd sketches reject this far below: six standard errors. Small sets are not judged by sketch.
 SKETCH_SLACK = 0.18
 SKETCH_LEAST = 64
 #: Counts of a set's hashes by their last bits bound what two sets can share. They stop at 255; where two sets both have
@@ -65,10 +66,20 @@ def samples(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands(sampled: np.ndarray) -> np.ndarray:
+def band_shape(percent: int) -> tuple[int, int]:
+    """Number of bands and of samples in each, for a least similarity; the longest bands of which enough fit the samples."""
+    for rows in range(ROWS, 0, -1):
+        apart = 1 - (percent / 100) ** rows
+        count = int(np.ceil(np.log(MISSED) / np.log(apart))) if apart > 0 else 1
+        if count * rows <= BINS:
+            return count, rows
+    raise ValueError(f"{BINS} samples are too few for pairs at {percent} per cent")
+
+
+def bands(sampled: np.ndarray, count: int, rows: int) -> np.ndarray:
     """Keys of the bands of each row, the number of the band mixed in."""
-    parts = sampled[:, : BANDS * ROWS].reshape(len(sampled), BANDS, ROWS)
-    keys = (parts * _SEEDS[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _SEEDS[ROWS]
+    parts = sampled[:, : count * rows].reshape(len(sampled), count, rows)
+    keys = (parts * _SEEDS[:rows]).sum(axis=2, dtype=np.uint64) + np.arange(count, dtype=np.uint64) * _SEEDS[rows]
     return shingles.mixed(keys)
 
 
@@ -80,6 +91,11 @@ def odd_sketches(sampled: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(sampled), SKETCH_BITS).astype(np.uint8), axis=1).view(np.uint64)
 
 
+def sketch_slack(percent: int) -> float:
+    """How far below a least similarity sketches reject: it grows with the standard error."""
+    return float(SKETCH_SLACK * np.sqrt(percent * (100 - percent) / (85 * 15)))
+
+
 def most_flips(similarity: float) -> int:
     """The largest XOR population count at which the estimate 1 + n / 4k ln(1 - 2z / n) reaches ``similarity``."""
     return int(SKETCH_BITS / 2 * (1 - np.exp(4 * BINS / SKETCH_BITS * (similarity - 1))))
@@ -98,13 +114,13 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list
                 held, size, start = [], 0, i + 1
 
 
-def _signatures(size: int):
+def _signatures(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _batched(batches):
             sets = list(shingles.shingle_sets(texts, size))
             full = [i for i, s in enumerate(sets) if len(s)]
             sampled = samples([sets[i] for i in full])
-            keys, words = bands(sampled).view(np.int64), odd_sketches(sampled).view(np.int64)
+            keys, words = bands(sampled, *band_shape(percent)).view(np.int64), odd_sketches(sampled).view(np.int64)
             at = dict(zip(full, range(len(full)), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -251,8 +267,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = shingles.WO
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).cast("binary").alias("text"))
     schema = f"doc_id {kind}, n bigint, digest binary, bands array<bigint>, sketch array<bigint>"
-    signed = stored(texts.mapInArrow(_signatures(words), schema), "signatures")
-    flips = most_flips(percent / 100 - SKETCH_SLACK)
+    signed = stored(texts.mapInArrow(_signatures(words, percent), schema), "signatures")
+    flips = most_flips(percent / 100 - sketch_slack(percent))
 
     same = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = stored(same, "same-sets")

@@ -69,6 +69,32 @@ def test_near_duplicates(spark, seed):
     assert rows_of(minhash.near_duplicates(table(spark, rows))) == sorted(brute.near(rows), key=str)
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    """Families of which each pair shares 80 to 85 per cent: the pipeline's stage takes them for near copies, and finds all."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        w = [rng.choice(WORDS) + f"{i}x{p}" for p in range(304)]  # 300 shingles; each word inside changes five
+        other = list(w)
+        for p in rng.sample(range(10, 290, 10), rng.choice([5, 6, 6])):
+            other[p] = f"new{i}x{p}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    sets = [brute.shingles(t) for _, t in rows]
+    shares = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert 0.8 <= min(shares) < max(shares) < 0.85
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, table(spark, rows), "").collect()}
+    assert kept == {i for i, _, _, keep in brute.near(rows, percent=80) if keep} == {2 * i for i in range(120)}
+
+
+def test_bands_follow_the_similarity():
+    assert minhash.band_shape(85) == (25, 5)
+    for percent in (50, 70, 80, 85, 95):
+        count, rows = minhash.band_shape(percent)
+        assert count * rows <= minhash.BINS and (1 - (percent / 100) ** rows) ** count <= minhash.MISSED
+
+
 def test_near_duplicates_of_large_families(spark, monkeypatch):
     """Buckets larger than a block, with classes that only meet through later members."""
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 16)
