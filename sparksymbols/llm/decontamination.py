@@ -64,18 +64,20 @@ def _windows(tokens: Column, width: int) -> Column:
 
 
 def _benchmark_windows(items: DataFrame, width: int) -> DataFrame:
-    """``item_id, item_pos, width, h, item_values, slots``: windows that are literal for at least one half, with the
-    places of their slots."""
+    """``item_id, item_pos, width, h, item_values, slots, names``: windows that are literal for at least one half, with the
+    places of their slots and of the names among these."""
     size = F.least(F.size("tokens"), F.lit(width))
     rows = items.withColumn("width", size).where("width > 0")
     at = F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width"))).alias("item_pos")
     rows = rows.withColumn("all_values", _value_codes(F.col("tokens")))
     rows = rows.withColumn("codes", _template_codes(F.col("tokens"), F.col("all_values"))).select("*", at)
     start = F.col("item_pos") + 1
-    slots = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: _is_slot(F.get("tokens", F.col("item_pos") + k)))
+    token = lambda k: F.get("tokens", F.col("item_pos") + k)
+    slots = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: _is_slot(token(k)))
+    names = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.startswith(token(k), F.lit(NAME)))
     rows = rows.select(
         "item_id", "item_pos", "width", F.xxhash64(F.slice("codes", start, F.col("width"))).alias("h"),
-        F.slice("all_values", start, F.col("width")).alias("item_values"), slots.alias("slots"),
+        F.slice("all_values", start, F.col("width")).alias("item_values"), slots.alias("slots"), names.alias("names"),
     )
     return rows.where(2 * F.size("slots") <= F.col("width"))
 
@@ -93,9 +95,10 @@ def contaminated(
 
     Tokens are compared without case and punctuation, with numbers, names and units as typed placeholders. All windows
     of ``width`` tokens (of the whole item, if shorter) are looked up by hash; those that are placeholders for more than
-    half tell nothing. Matched windows at one distance belong together. There, each value of the item must always
-    stand for one and the same value in the document, and different values for different ones; otherwise the match is
-    dropped. ``n_tokens`` counts the item's tokens that are covered, ``verbatim`` says that all values are the item's own.
+    half tell nothing. Matched windows at one distance belong together. There, each name of the item must always stand
+    for one and the same name in the document, and different names for different ones; otherwise only the windows count
+    whose values are all the item's own. Numbers and units may change freely, as equal ones can be different parameters.
+    ``n_tokens`` counts the item's tokens that are covered, ``verbatim`` says that all their values are the item's own.
 
     Windows of all documents meet the benchmark map-side while that is small (its size is checked), else by shuffle.
     Null or empty texts and items without a token match nothing; null ids are ids like others and repeated ids count as
@@ -122,35 +125,26 @@ def contaminated(
         for w in widths
     ]
     found = stored(reduce(DataFrame.unionByName, seen), "found-windows")
+    pair = lambda k: F.struct(F.get("item_values", k).alias("item"), F.get("values", k).alias("doc"))
     met = found.join(small(known), ["h", "width"]).select(
         "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("distance"), "pos", "item_pos", "width",
-        F.transform("slots", lambda k: F.struct(F.get("item_values", k).alias("item"), F.get("values", k).alias("doc"))).alias("values"),
+        F.forall("slots", lambda k: F.get("item_values", k) == F.get("values", k)).alias("own"), F.transform("names", pair).alias("names"),
     )
     met = stored(met, "met-windows")
-    at = F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("width") - 1)).alias("at")
-    covered = met.select("doc_id", "item_id", "distance", at).distinct()
-    values = met.select("doc_id", "item_id", "distance", F.explode("values").alias("value"))
-    values = values.select("doc_id", "item_id", "distance", F.col("value.item").alias("item_token"), F.col("value.doc").alias("doc_token"))
-    values = values.distinct()
     together = ["doc_id", "item_id", "distance"]
-    slots = values.groupBy(*together).agg(
-        F.count("*").alias("pairs"),
-        F.count_distinct("item_token").alias("item_values"),
-        F.count_distinct("doc_token").alias("doc_values"),
-        F.bool_and(F.col("item_token") == F.col("doc_token")).alias("same"),
+    names = met.select(*together, F.explode("names").alias("name")).distinct()
+    clashes = names.groupBy(*together).agg(
+        F.count("*").alias("pairs"), F.count_distinct("name.item").alias("item_names"), F.count_distinct("name.doc").alias("doc_names")
     )
-    sizes = covered.groupBy(*together).agg(F.count("*").alias("n_tokens"))
-    counts = met.groupBy(*together).agg(F.count_distinct("pos").alias("n_windows"))
-    whole = _same(_same(sizes, counts, together, "inner"), slots, together, "left")
-    fine = F.col("pairs").isNull() | ((F.col("pairs") == F.col("item_values")) & (F.col("pairs") == F.col("doc_values")))
+    clashes = clashes.where("pairs <> item_names OR pairs <> doc_names").select(*together, F.lit(True).alias("clash"))
+    fine = _same(met, clashes, together, "left").where("clash IS NULL OR own")
+    at = F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("width") - 1)).alias("at")
+    sizes = fine.select(*together, at).distinct().groupBy(*together).agg(F.count("*").alias("n_tokens"))
+    counts = fine.groupBy(*together).agg(F.count_distinct("pos").alias("n_windows"), F.bool_and("own").alias("same"))
     return (
-        whole.where(fine)
+        _same(sizes, counts, together, "inner")
         .groupBy("doc_id", "item_id")
-        .agg(
-            F.sum("n_windows").alias("n_windows"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.bool_or(F.coalesce("same", F.lit(True))).alias("verbatim"),
-        )
+        .agg(F.sum("n_windows").alias("n_windows"), F.max("n_tokens").alias("n_tokens"), F.bool_or("same").alias("verbatim"))
     )
 
 

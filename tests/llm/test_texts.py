@@ -72,6 +72,21 @@ def test_contaminated(spark):
     assert decontamination.contaminated(table(spark, []), items).count() == 0
 
 
+def test_contaminated_with_some_values_changed(spark):
+    """A value that changes in one place hides neither the windows that stay the same nor a question with new numbers."""
+    boxes = "Tom packs 3 boxes with 3 apples each before lunch and then sells 8 of them at the old market"
+    items = spark.createDataFrame([(1, QUESTION), (2, boxes), (3, "so 3 boxes with 3 apples")], "item_id int, text string")
+    long = "and when the river had risen over the lower fields they moved the sheep to the barn on the hill"
+    items = items.union(spark.createDataFrame([(4, f"It was 3 days that Anna stayed {long} for 3 more with Anna there")], items.schema))
+    docs = [(1, f"x\nIt was 3 days that Anna stayed {long} for 4 more with Anna there", "s"),
+            (2, f"x\nIt was 3 days that Anna stayed {long} for 3 more with Peter there", "s"),
+            (3, "x\n" + boxes.replace("3 boxes", "4 boxes").replace("3 apples", "5 apples"), "s"),
+            (4, "x\n" + boxes.replace("3", "8"), "s"), (5, "so 4 boxes with 5 apples", "s"),
+            (6, QUESTION.replace("Anna", "Maria").replace("Maria keeps", "Peter keeps").replace("12", "5").replace("hours", "days"), "s")]
+    got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontamination.contaminated(table(spark, docs), items).collect()}
+    assert got == {(1, 4): False, (2, 4): True, (3, 2): False, (4, 2): False, (5, 3): False}
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 5, 40]))), rng.choice(["a", "b", "b", "c", "é", None, "z"])) for i in range(400)]
