@@ -51,21 +51,47 @@ def _template_codes(tokens: Column, values: Column) -> Column:
     return F.transform(values, lambda v, i: F.when(_is_slot(F.get(tokens, i)), kind(i)).otherwise(v))
 
 
+def _literal_hash(tokens: Column) -> Column:
+    """A hash of tokens without their marks, which depend on what is before a passage."""
+    plain = F.transform(tokens, lambda t: F.when(_is_slot(t), F.substring(t, 2, 1 << 30)).otherwise(t))
+    return F.xxhash64(F.lit("literal"), plain)
+
+
+def _starts(first: Column, last: Column) -> Column:
+    return F.when(last >= first, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+
+
+def _slot_windows(slots: Column, size: Column, width: int) -> Column:
+    """Starts of the windows with more than half placeholders, from the places of all placeholders in order."""
+    most = width // 2  # a window has more if it holds a placeholder and the one so many further on
+    around = F.transform(
+        _starts(F.lit(0), F.size(slots) - most - 1),
+        lambda j: _starts(F.greatest(F.get(slots, j + most) - width + 1, F.lit(0)), F.least(F.get(slots, j), size - width)),
+    )
+    return F.array_distinct(F.flatten(around))
+
+
 def _windows(tokens: Column, width: int) -> Column:
-    """All windows of a document by their start: ``h``, the hash of the template, and ``values``, those of all tokens."""
+    """All windows of a document by their start ``pos``: ``h``, the hash of the template, and ``values``, those of all
+    tokens; those with more than half placeholders once more, with the hash of their literal tokens."""
 
-    def of_document(values: Column, codes: Column) -> Column:
-        last = F.size(values) - width
-        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        window = lambda i: F.struct(F.xxhash64(F.slice(codes, i + 1, width)).alias("h"), F.slice(values, i + 1, width).alias("values"))
-        return F.transform(starts, window)
+    def of_document(t: Column, values: Column, codes: Column) -> Column:
+        size = F.size(values)
+        window = lambda i, h: F.struct(i.alias("pos"), h.alias("h"), F.slice(values, i + 1, width).alias("values"))
+        templates = F.transform(_starts(F.lit(0), size - width), lambda i: window(i, F.xxhash64(F.slice(codes, i + 1, width))))
+        slots = F.filter(_starts(F.lit(0), size - 1), lambda i: F.get(codes, i) != F.get(values, i))
+        literal = let(slots, lambda p: F.transform(_slot_windows(p, size, width), lambda i: window(i, _literal_hash(F.slice(t, i + 1, width)))))
+        return F.concat(templates, literal)
 
-    return let(tokens, lambda t: let(_value_codes(t), lambda v: let(_template_codes(t, v), lambda c: of_document(v, c))))
+    return let(tokens, lambda t: let(_value_codes(t), lambda v: let(_template_codes(t, v), lambda c: of_document(t, v, c))))
 
 
 def _benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     """``item_id, item_pos, width, h, item_values, slots, names``: windows that are literal for at least one half, with the
-    places of their slots and of the names among these."""
+    places of their slots and of the names among these; the others by the hash of their literal tokens, without places.
+
+    In a document the first word may be seen as a name too, so windows that would then be others are known in both ways.
+    """
     size = F.least(F.size("tokens"), F.lit(width))
     rows = items.withColumn("width", size).where("width > 0")
     at = F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width"))).alias("item_pos")
@@ -78,8 +104,12 @@ def _benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     rows = rows.select(
         "item_id", "item_pos", "width", F.xxhash64(F.slice("codes", start, F.col("width"))).alias("h"),
         F.slice("all_values", start, F.col("width")).alias("item_values"), slots.alias("slots"), names.alias("names"),
+        _literal_hash(F.slice("tokens", start, F.col("width"))).alias("literal"),
     )
-    return rows.where(2 * F.size("slots") <= F.col("width"))
+    templates = rows.where(2 * F.size("slots") <= F.col("width")).drop("literal")
+    none = F.array().cast("array<int>")
+    literal = rows.where(2 * (F.size("slots") + 1) > F.col("width")).withColumns({"h": F.col("literal"), "slots": none, "names": none})
+    return templates.unionByName(literal.drop("literal"))
 
 
 def contaminated(
@@ -95,7 +125,7 @@ def contaminated(
 
     Tokens are compared without case and punctuation, with numbers, names and units as typed placeholders. All windows
     of ``width`` tokens (of the whole item, if shorter) are looked up by hash; those that are placeholders for more than
-    half tell nothing. Matched windows at one distance belong together. There, each name of the item must always stand
+    half by the hash of their literal tokens, so that only exact copies match. Matched windows at one distance belong together. There, each name of the item must always stand
     for one and the same name in the document, and different names for different ones; otherwise only the windows count
     whose values are all the item's own. Numbers and units may change freely, as equal ones can be different parameters.
     ``n_tokens`` counts the item's tokens that are covered, ``verbatim`` says that all their values are the item's own.
@@ -119,8 +149,8 @@ def contaminated(
         ).limit(0)
     tokens = texts.select("doc_id", marked_tokens(F.col("text")).alias("tokens"))
     seen = [
-        tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"), w)).alias("pos", "window"))
-        .select("doc_id", "pos", F.lit(w).alias("width"), F.col("window.h").alias("h"), F.col("window.values").alias("values"))
+        tokens.select("doc_id", F.explode(_windows(F.col("tokens"), w)).alias("window"))
+        .select("doc_id", "window.pos", F.lit(w).alias("width"), F.col("window.h").alias("h"), F.col("window.values").alias("values"))
         .join(hashes, ["h", "width"], "left_semi")
         for w in widths
     ]

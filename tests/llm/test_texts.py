@@ -87,6 +87,19 @@ def test_contaminated_with_some_values_changed(spark):
     assert got == {(1, 4): False, (2, 4): True, (3, 2): False, (4, 2): False, (5, 3): False}
 
 
+def test_contaminated_items_made_of_values(spark):
+    """Windows of more than half numbers, units and names are found where they are copied, and only there."""
+    series = "Continue 1 2 3 5 8 13 21 34 55 89 144 233"
+    people = "Anna, Berta, Carla, Dora, Emma, Frida, Greta, Hanna, Ida, Jana, Klara and Lena"
+    items = [(1, "12 + 30 = 42"), (2, series), (3, people), (4, "Anna, Berta, Carla"), (5, "It took 5 km and 3 kg")]
+    items = spark.createDataFrame(items, "item_id int, text string")
+    docs = [(1, "we know that 12 + 30 = 42, so", "s"), (2, "we know that 12 + 30 = 43, so", "s"), (3, f"x\n{series}\ny", "s"),
+            (4, f"x\n{series.replace('34 55', '35 56')}", "s"), (5, f"there were {people}", "s"), (6, people.replace("Emma", "Elsa").replace("Carla", "Clara"), "s"),
+            (7, f"{people.upper()} 12", "s"), (8, "then It took 5 km and 3 kg", "s"), (9, "x " + " ".join(f"{i} 7" for i in range(400)), "s")]
+    got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontamination.contaminated(table(spark, docs), items).collect()}
+    assert got == dict.fromkeys([(1, 1), (3, 2), (5, 3), (5, 4), (7, 3), (7, 4), (8, 5)], True)
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 5, 40]))), rng.choice(["a", "b", "b", "c", "é", None, "z"])) for i in range(400)]
