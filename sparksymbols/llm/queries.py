@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparksymbols.llm import decontamination, exact_dedup, licenses, line_rules, minhash, mixing, quality, repeats, token_counts, toxicity, warc
+from sparksymbols.llm import conversations, decontamination, exact_dedup, licenses, line_rules, minhash, mixing, quality, repeats, token_counts, toxicity, warc
 from sparksymbols.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,13 +52,17 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, folder, "conversations"))
+
+
 def op12_line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.line_verdicts(table(spark, folder, "documents"))
 
 
 OPERATORS = (
     op1_warc, op2_exact_dedup, op3_license_scan, op4_decontamination, op5_suffix_repeats, op6_minhash, op7_mixing,
-    op8_token_counts, op9_quality, op10_toxicity, op12_line_cleaning,
+    op8_token_counts, op9_quality, op10_toxicity, op11_turn_repair, op12_line_cleaning,
 )
 QUERIES: dict[str, Query] = {operator.__name__: operator for operator in OPERATORS}
 
@@ -67,5 +71,6 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_license_scan": licenses.SQL,
     "op7_mixing": mixing.SQL,
+    "op11_turn_repair": conversations.SQL,
     "op12_line_cleaning": line_rules.SQL,
 }
