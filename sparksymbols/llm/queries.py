@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparksymbols.llm import conversations, decontamination, exact_dedup, licenses, line_rules, minhash, mixing, quality, repeats, token_counts, toxicity, warc
+from sparksymbols.llm import conversations, decontamination, exact_dedup, hard_negatives, licenses, line_rules, minhash, mixing, quality, repeats, token_counts, toxicity, warc
 from sparksymbols.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +60,14 @@ def op12_line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.line_verdicts(table(spark, folder, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 OPERATORS = (
     op1_warc, op2_exact_dedup, op3_license_scan, op4_decontamination, op5_suffix_repeats, op6_minhash, op7_mixing,
     op8_token_counts, op9_quality, op10_toxicity, op11_turn_repair, op12_line_cleaning,
+    op13_hard_negatives,
 )
 QUERIES: dict[str, Query] = {operator.__name__: operator for operator in OPERATORS}
 
@@ -73,4 +78,5 @@ ORACLE_SQL = {
     "op7_mixing": mixing.SQL,
     "op11_turn_repair": conversations.SQL,
     "op12_line_cleaning": line_rules.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
