@@ -34,7 +34,7 @@ def test_names():
     import __spark_entry__ as entry
 
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= entry.queries().keys()
 
 
