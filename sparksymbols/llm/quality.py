@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,27 +88,81 @@ def holds(rule: tuple[tuple[str, str, float], ...], stats: Column) -> Column:
     return out
 
 
-def tree_rules(described: str) -> list[tuple[tuple[str, str, float], ...]]:
-    """All paths from a root to any node in the printed form of tree models, each once, narrowest bounds only."""
+def _split(x: np.ndarray, y: np.ndarray, features: np.ndarray) -> tuple[float, int, float] | None:
+    """The feature and threshold that lower the Gini impurity most: gain, feature, threshold."""
+    best, n, ones = None, len(y), y.sum()
+    whole = ones * (n - ones) / n
+    for feature in features:
+        order = np.argsort(x[:, feature], kind="stable")
+        values, left = x[order, feature], np.cumsum(y[order])[:-1]
+        size = np.arange(1, n)
+        right = ones - left
+        impurity = left * (size - left) / size + right * (n - size - right) / (n - size)
+        impurity[values[1:] == values[:-1]] = np.inf
+        at = int(np.argmin(impurity)) if n > 1 else 0
+        if n > 1 and np.isfinite(impurity[at]) and whole - impurity[at] > 1e-9 and (best is None or whole - impurity[at] > best[0]):
+            best = (float(whole - impurity[at]), int(feature), float((values[at] + values[at + 1]) / 2))
+    return best
+
+
+def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[tuple[tuple[str, str, float], ...]]:
+    """All paths from a root to any node of a forest of shallow trees, each once, narrowest bounds only.
+
+    Each tree sees rows drawn with replacement, each of its nodes a third of the statistics.
+    """
+    random = np.random.default_rng(seed)
+    some = max(1, -(-x.shape[1] // 3))
     found: dict[tuple[tuple[str, str, float], ...], None] = {}
-    path: list[tuple[str, str, float]] = []
-    first = 0
-    for line in described.splitlines():
-        if line.strip().startswith("Tree"):
-            path, first = [], 0
-        step = re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line)
-        if not step:
-            continue
-        first = first or len(step[1])
-        path = path[: len(step[1]) - first] + [(STATISTICS[int(step[2])], step[3], float(step[4]))]
-        bounds: dict[tuple[str, str], float] = {}
-        for name, sign, at in path:
-            held = bounds.get((name, sign), at)
-            bounds[name, sign] = min(held, at) if sign == "<=" else max(held, at)
-        found[tuple(sorted((name, sign, at) for (name, sign), at in bounds.items()))] = None
+
+    def grow(rows: np.ndarray, path: dict[tuple[str, str], float], left: int) -> None:
+        if path:
+            found[tuple(sorted((name, sign, at) for (name, sign), at in path.items()))] = None
+        split = left and _split(x[rows], y[rows], random.choice(x.shape[1], some, replace=False))
+        if not split:
+            return
+        _, feature, at = split
+        name, low = STATISTICS[feature], x[rows, feature] <= at
+        grow(rows[low], path | {(name, "<="): min(at, path.get((name, "<="), math.inf))}, left - 1)
+        grow(rows[~low], path | {(name, ">"): max(at, path.get((name, ">"), -math.inf))}, left - 1)
+
+    for _ in range(trees):
+        grow(random.integers(0, len(y), len(y)), {}, depth)
     return list(found)
 
 
+def lasso(followed: np.ndarray, y: np.ndarray, penalty: float = L1, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic sum over 0/1 columns, with the mean loss plus ``penalty`` times the weights' sizes.
+
+    Accelerated gradient steps, each followed by a soft threshold; the intercept is free. Rows that follow the same
+    rules are one row with a count.
+    """
+    n = len(y)
+    _, first, same = np.unique(np.packbits(followed, axis=1), axis=0, return_index=True, return_inverse=True)
+    same = same.ravel()
+    x = np.column_stack([followed[first], np.ones(len(first), bool)]).astype(float)
+    count, ones = np.bincount(same), np.bincount(same, weights=y)
+    rate = 4 * n / np.linalg.norm(x * np.sqrt(count)[:, None], 2) ** 2
+    w = past = at = np.zeros(x.shape[1])
+    shrink = np.full(len(w), penalty * rate)
+    shrink[-1] = 0
+    pace = 1.0
+    for _ in range(steps):
+        slope = x.T @ (count / (1 + np.exp(-np.clip(x @ at, -50, 50))) - ones) / n
+        w = at - rate * slope
+        w = np.sign(w) * np.maximum(np.abs(w) - shrink, 0)
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        at, past, pace = w + (pace - 1) / faster * (w - past), w, faster
+    return w[:-1], float(w[-1])
+
+
+def _follows(rule: tuple[tuple[str, str, float], ...], x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), bool)
+    for name, sign, at in rule:
+        values = x[:, STATISTICS.index(name)]
+        out &= values <= at if sign == "<=" else values > at
+    return out
+
+
 def training_rows(labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, label``: at most ``rows`` labelled ids that are not held out, chosen by a hash; an id counts once."""
     named = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc_of_id(F.col(id_col)) != 0))
@@ -121,16 +173,19 @@ def training_rows(labels: DataFrame, label: str, rows: int, id_col: str = "doc_i
 def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     """Learn rules from the labelled documents that are not held out (``rows`` of them at most, a few numbers each).
 
-    Shallow trees propose conjunctions; a lasso on the rules as 0/1 columns keeps few and gives their weights. Without
+    Shallow trees propose conjunctions; a lasso on the rules as 0/1 columns keeps few and gives their weights. Both run
+    on the few numbers that come to the driver, where Spark would need some hundreds of small jobs for them. Without
     labels the score is 0.5 everywhere, with one class only it is that class's share, smoothed.
     """
-    spark = docs.sparkSession
     chosen = training_rows(labels, label, rows, id_col)
     stats = statistics(F.col(text_col))
     known = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias(text_col))
         .join(F.broadcast(chosen), "_id")
         .select("_id", "label", stats.alias("s"))
+        # An id that repeats is learned from once, however many rows it has.
+        .groupBy("_id")
+        .agg(F.max("label").alias("label"), F.min("s").alias("s"))
         .select("_id", "label", *(F.col("s")[name].alias(name) for name in STATISTICS))
         .collect()
     )
@@ -138,19 +193,13 @@ def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows:
     ones = sum(row[1] for row in known)
     if ones in (0, len(known)):
         return RuleModel((), math.log((ones + 0.5) / (len(known) - ones + 0.5)))
-    data = spark.createDataFrame(known, ["_id", "label", *STATISTICS]).select(
-        "label", F.struct(*STATISTICS).alias("s"), array_to_vector(F.array(*STATISTICS)).alias("features")
-    )
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label").fit(data)
-    rules = tree_rules(forest.toDebugString)
+    y, x = np.array([row[1] for row in known]), np.array([row[2:] for row in known])
+    rules = tree_rules(x, y)
     if not rules:
         return RuleModel((), math.log(ones / (len(known) - ones)))
-    columns = F.array(*(holds(rule, F.col("s")).cast("double") for rule in rules))
-    sparse = LogisticRegression(regParam=L1, elasticNetParam=1.0, maxIter=60, labelCol="label", featuresCol="rules").fit(
-        data.select("label", array_to_vector(columns).alias("rules")).cache()
-    )
-    kept = tuple((rule, float(w)) for rule, w in zip(rules, sparse.coefficients.toArray(), strict=True) if w)
-    return RuleModel(kept, float(sparse.intercept))
+    weights, intercept = lasso(np.column_stack([_follows(rule, x) for rule in rules]), y)
+    kept = tuple((rule, float(w)) for rule, w in zip(rules, weights, strict=True) if w)
+    return RuleModel(kept, intercept)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

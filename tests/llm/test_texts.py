@@ -1,7 +1,10 @@
 import math
 import random
+import re
+import unicodedata
 
 import brute
+import numpy as np
 
 from sparksymbols.llm import decontamination, licenses, mixing, quality, token_counts, toxicity, warc
 
@@ -203,9 +206,52 @@ def test_quality(spark):
 
 
 def test_tree_rules():
-    text = "Tree 0 (weight 1.0):\n    If (feature 0 <= 5.0)\n     If (feature 0 <= 2.0)\n      Predict: 0.0\n     Else (feature 0 > 2.0)\n      Predict: 1.0\n    Else (feature 0 > 5.0)\n     Predict: 1.0\n"
-    low = ("n_words", "<=", 5.0)
-    assert quality.tree_rules(text) == [(low,), (("n_words", "<=", 2.0),), (low, ("n_words", ">", 2.0)), (("n_words", ">", 5.0),)]
+    """Paths separate labels that a conjunction decides, lasso weights meet the conditions of the least penalised loss."""
+    rng = np.random.default_rng(1)
+    x = rng.random((800, len(quality.STATISTICS))).round(2)
+    y = ((x[:, 0] > 0.5) & (x[:, 3] <= 0.4)).astype(float)
+    rules = quality.tree_rules(x, y, trees=60)
+    assert len(rules) == len(set(rules)) and max(len({name for name, *_ in rule}) for rule in rules) <= 3
+    assert all(len({(name, sign) for name, sign, _ in rule}) == len(rule) for rule in rules)
+    followed = np.column_stack([quality._follows(rule, x) for rule in rules])
+    weights, intercept = quality.lasso(followed, y, 0.002, 20_000)
+    p = 1 / (1 + np.exp(-(followed @ weights + intercept)))
+    slope = followed.T @ (p - y) / len(y)
+    assert abs((p - y).mean()) < 1e-4 and (np.abs(slope) < 0.002 + 1e-4).all()
+    assert np.allclose(slope[weights != 0], -0.002 * np.sign(weights[weights != 0]), atol=2e-4)
+    assert ((p > 0.5) == y).mean() > 0.95 and 0 < (weights != 0).sum() < len(rules)
+
+
+def plain_statistics(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if line]
+    count = lambda test: sum(map(test, text))
+    share = lambda a, b: a / b if b else 0.0
+    solid, letters = len(re.sub(r"[ \t\n\x0b\f\r]+", "", text)), count(lambda c: unicodedata.category(c)[0] == "L")
+    return {
+        "n_words": float(len(words)), "word_length": share(solid, len(words)), "distinct_words": share(len(set(words)), len(words)),
+        "word_variety": share(len(set(words)), math.sqrt(len(words))), "distinct_lines": share(len(set(lines)), len(lines)), "line_words": share(len(words), len(lines)),
+        "symbols": share(count(lambda c: c in "#$%&*|@^~=<>{}[]\\_+!"), solid), "capitals": share(count(lambda c: unicodedata.category(c) == "Lu"), letters),
+        "digits": share(count(lambda c: unicodedata.category(c)[0] == "N"), solid), "letters": share(letters, solid),
+    }
+
+
+def test_quality_scores_against_plain_sums(spark):
+    """Statistics and the compiled score column agree with plain Python, on odd texts too; an id with many rows is learned once."""
+    docs, labels, _ = labelled(spark)
+    odd = [(9000, None, "s"), (9001, "", "s"), (9002, " \n\n ", "s"), (9003, "É é ſ 漢字 ½ ٣ 😀 #|", "s"), (9004, "word " * 200_000, "s")]
+    docs = docs.union(table(spark, odd))
+    model = quality.fit_rules(docs, labels)
+    assert model.rules
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+    for row in docs.select("doc_id", "text").collect():
+        own = plain_statistics(row["text"])
+        total = model.intercept + sum(w for rule, w in model.rules if all(own[n] <= at if sign == "<=" else own[n] > at for n, sign, at in rule))
+        assert math.isclose(got[row["doc_id"]], 1 / (1 + math.exp(-total)), rel_tol=1e-9), row
+    known = labels.where("doc_id % 5 = 1").limit(1).first()["doc_id"]
+    many = docs.union(docs.where(f"doc_id = {known}").crossJoin(spark.range(50)).drop("id"))
+    assert quality.fit_rules(many, labels) == model
 
 
 def test_toxicity(spark):
