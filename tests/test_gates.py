@@ -77,14 +77,64 @@ def test_segment_count_follows_the_rows(rows, cores, count):
     assert segments.segment_count(rows, cores) == count
 
 
-def test_segments_that_bounds_decide_are_not_folded_again(spark, monkeypatch):
-    calls = []
-    plain = G._run_exits
-    monkeypatch.setattr(G, "_run_exits", lambda *a: calls.append(1) or plain(*a))
-    for order, hashes in (("sorted", 2), ("sorted", 1)):
-        rows = histories(9, hashes=hashes, order=order)
-        G.ordered_gate(changes(spark, rows), ["repoId"], ["arrival"], partitions=16).count()
-    assert len(calls) == 2
+@pytest.mark.parametrize("seed", range(6))
+def test_maps_equal_steps(seed):
+    """A map of rows does to every state what the rows do one by one; maps of few rows are few pieces."""
+    rng = random.Random(seed)
+    times = lambda n: [rng.choice([G._EVER, *range(n)]) for _ in range(n)]
+    for n in (0, 1, 2, 5, 40):
+        changes = [(at, f"h{rng.randrange(3)}") for at in times(n)]
+        requests = [(at, rng.choice(["acquire", "acquire", "extend", "release"]), rng.choice([0, 3, 20])) for at in times(n)]
+        for fold, rows, contents in ((G.CHANGE_GATE, changes, ["h0", "h1", "h2", "h9"]), (G.LEASE, requests, [""])):
+            made = fold.whole()
+            for row in reversed(rows):
+                made.prepend(row)
+            for state in [None, *((at, content) for at in [G._EVER, *range(-1, n + 25)] for content in contents)]:
+                end = state
+                for row in rows:
+                    end = fold.step(end, row)[1]
+                assert made(state) == end, (rows, state)
+            assert len(made) <= 2 * n + 1
+
+
+def hot_requests(spark, count, ttl, kinds=("acquire",)):
+    """One key only; several requests share a time."""
+    rng = random.Random(ttl)
+    rows = [("hot", i, i // 2, rng.choice(kinds), ttl) for i in range(count)]
+    df = spark.createDataFrame(rows, "lock_key string, arrival int, t int, kind string, ttl_seconds int")
+    return rows, df.withColumn("requested_at", F.expr("timestamp_seconds(t)"))
+
+
+def jobs_of(spark, name, action):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return action(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+@pytest.mark.parametrize("ttl", [1, 30, 4000])
+def test_jobs_do_not_follow_the_segments(spark, ttl):
+    """Leases shorter and longer than a segment of one hot key."""
+    rows, df = hot_requests(spark, 1280, ttl)
+    counts = []
+    for partitions in (8, 32, 128):
+        got, jobs = jobs_of(spark, f"lease-{ttl}-{partitions}", lambda: G.lease_grants(df, partitions=partitions).collect())  # noqa: B023
+        assert {r.arrival: r.decision for r in got} == lease_loop(rows)
+        counts.append(jobs)
+    assert max(counts) <= min(counts) + 2 < 30, counts
+
+
+@pytest.mark.parametrize(("ttl", "kinds"), [(0, ["acquire"]), (7, ["acquire"]), (300, ["acquire"]), (300, ["acquire", "extend"])])
+def test_large_maps_are_followed_by_links(spark, monkeypatch, ttl, kinds):
+    """Where no map is small enough to send, grants are found by doubled links, or by reading open segments."""
+    monkeypatch.setattr(G, "LARGEST_MAP", 3)
+    rows, df = hot_requests(spark, 600, ttl, kinds)
+    plain, calls = G.linked_entries, []
+    monkeypatch.setattr(G, "linked_entries", lambda *a: calls.append(1) or plain(*a))
+    got = G.lease_grants(df, partitions=6).collect()
+    assert {r.arrival: r.decision for r in got} == lease_loop(rows)
+    assert len(calls) == (ttl > 0 and kinds == ["acquire"])
 
 
 def test_batch_gate_continues_from_stored_state(spark):
