@@ -225,3 +225,21 @@ def top_level(text: str, delimiters: str = "[{}]", openers: str = "{") -> str:
             ),
         ),
     )
+
+
+ARROW = "\u21d2\u21d2"
+BRACKETS, OPENERS = "[()\\[\\]{}<>]", "([{<"
+
+
+def unarrowed(text: str) -> str:
+    """``text`` with ``=>`` written as two other characters, so that its bracket closes nothing."""
+    return f"replace({text}, '=>', '{ARROW}')"
+
+
+def shape(text: str, delimiters: str = BRACKETS, openers: str = OPENERS) -> str:
+    """``text`` with all that stands inside brackets blanked, whatever the depth; offsets and lines stay.
+
+    One scan over the brackets gives the depth of every piece between them. On the result a balanced group is an
+    opening, blanks and a closing bracket, so patterns need no nesting.
+    """
+    return top_level(unarrowed(text), delimiters, openers)

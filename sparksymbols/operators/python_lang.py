@@ -23,6 +23,7 @@ GRAMMAR = Grammar(
     default_group=4,
     returns="(?Uds)^\\)\\s*+->\\s*+([^:]++):",
     body="(?Uds)^\\)[^:]*:",
+    after_type=":",
 )
 _IMPORT = MULTILINE + "^[ \\t]*import[ \\t]+([^\\n;]+)"
 _FROM = MULTILINE + "^[ \\t]*from\\s+([\\w.]+)\\s+import\\s+(\\([^)]*\\)|[^\\n;]+)"

@@ -22,12 +22,8 @@ class Rule(NamedTuple):
 
 SYMBOL = "struct<rule_no:int,pos:int,name:string,type:string,visibility:string,source:string,line:int>"
 
-# Nested generics, far deeper than code has them; "=>" inside them is not a closing bracket.
-GENERIC_DEPTH = 24
-_GENERIC = "<(?:=>|[^<>])*+>"
-for _ in range(GENERIC_DEPTH - 1):
-    _GENERIC = f"<(?:=>|[^<>]|{_GENERIC})*+>"
-GENERIC = _GENERIC
+# Generics, parentheses and braces in the shape of a text (``text.shape``), where nothing stands inside them.
+GENERIC, PARENTHESES, BRACES = "<[^<>]*+>", "\\([^()]*+\\)", "\\{[^{}]*+\\}"
 NAME = "[\\w$]+"
 
 # The forms of an export statement, as the text after the word "export".

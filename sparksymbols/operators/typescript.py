@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparksymbols.functions.text import UNICODE, bind, brace_block, each, find_all, group, keep, lit
-from sparksymbols.functions.text import newlines, no_items, split_at, top_level
+from sparksymbols.functions.text import ARROW, UNICODE, bind, brace_block, closing_offset, each, find_all, group, keep, lit
+from sparksymbols.functions.text import newlines, no_items, shape, split_at, top_level, unarrowed
 from sparksymbols.operators import mask
 from sparksymbols.operators import rules as R
 from sparksymbols.operators.signatures import Grammar, extend, trimmed, with_signatures
@@ -21,31 +21,34 @@ from sparksymbols.operators.signatures import Grammar, extend, trimmed, with_sig
 _EXPORT_WORD = len("export")
 _MODIFIERS = "((?:(?:public|private|protected|static|async|abstract|readonly|override|declare|get|set)\\s+)*+)"
 _ACCESS = "\\b(?:private|protected)\\b"
+# Heads are read in the shape of a span: generics are a pair of brackets there.
+_FUNCTION_START = UNICODE + "^\\s+(?:default\\s+)?(?:declare\\s+)?(?:async\\s+)?function\\b"
 _FUNCTION_HEAD = UNICODE + (
     f"^\\s+(?:default\\s+)?(?:declare\\s+)?(async\\s+)?function\\b\\s*(\\*)?\\s*({R.NAME})\\s*(?:{R.GENERIC})?\\s*\\("
 )
-_CLASS_HEAD = UNICODE + f"{R.TS_CLASS}\\s*(?:{R.GENERIC})?((?:{R.GENERIC}|[^{{<])*+)\\{{"
-_INTERFACE_HEAD = UNICODE + f"{R.TS_INTERFACE}\\s*(?:{R.GENERIC})?((?:{R.GENERIC}|[^{{<])*+)\\{{"
-_PARENTHESES = "\\((?:[^()]|\\((?:[^()]|\\([^()]*+\\))*+\\))*+\\)"
-_BRACES = "\\{(?:[^{}]|\\{(?:[^{}]|\\{[^{}]*+\\})*+\\})*+\\}"
-# A type: object literals where one may start, generics, parentheses, arrows, plain characters.
-_TYPE = f"(?:{_BRACES})?+(?:{R.GENERIC}|{_PARENTHESES}|(?:=>|[|&])\\s*+{_BRACES}|=>|[^{{}};=<>()\\n])*+"
-# Decorators before a member or a parameter; in the outer level of a block their arguments are blanked.
-_DECORATORS = f"(?:@[\\w$.]++\\s*+(?:{_PARENTHESES}\\s*+)?+)*+"
+_CLASS_HEAD = UNICODE + f"{R.TS_CLASS}\\s*(?:{R.GENERIC})?([^{{]*+)\\{{"
+_INTERFACE_HEAD = UNICODE + f"{R.TS_INTERFACE}\\s*(?:{R.GENERIC})?([^{{]*+)\\{{"
+# A type in the shape of a text: an object literal where one may start, generics, parentheses, arrows, plain characters.
+_TYPE = f"(?:{R.BRACES})?+(?:{R.GENERIC}|{R.PARENTHESES}|(?:{ARROW}|[|&])\\s*+{R.BRACES}|{ARROW}|[^{{}};=<>()\\n])*+"
+# Decorators before a member or a parameter; in a shape their arguments are blanked.
+_DECORATORS = f"(?:@[\\w$.]++\\s*+(?:{R.PARENTHESES}\\s*+)?+)*+"
 GRAMMAR = Grammar(
     delimiters="[()\\[\\]{}<>]",
     openers="([{<",
-    param=f"(?Uds)^\\s*+{_DECORATORS}" + "(?:(?:public|private|protected|readonly|override)\\s++)*+(\\.{3})?\\s*+"
-    "([\\w$]+|\\{[^}]*\\}|\\[[^\\]]*\\])\\s*+(\\?)?\\s*+(?::((?:=>|[^=])++))?(?:=(.*))?$",
+    param="(?Uds)^(\\.{3})?\\s*+([\\w$]+)\\s*+(\\?)?\\s*+(?::((?:=>|[^=])++))?(?:=(.*))?$",
     optional_groups=(1, 3),
     name_group=2,
     type_group=4,
     default_group=5,
     returns=UNICODE + f"^\\)\\s*+:\\s*+({_TYPE})",
     body=UNICODE + f"^\\)\\s*+(?::\\s*+{_TYPE})?\\s*+\\{{",
+    lead=f"(?Uds)^\\s*+{_DECORATORS}(?:(?:public|private|protected|readonly|override)\\s++)*+",
+    pattern="^(?:\\{[^{}]*+\\}|\\[[^\\[\\]]*+\\])",
 )
 _MEMBER_START = f"(?:^|(?<=[;}}\\n]))\\s*+{_DECORATORS}"
-_METHOD = "(?Ud)" + f"{_MEMBER_START}{_MODIFIERS}(\\*\\s*+)?(#?{R.NAME})\\s*+\\??\\s*+(?:{R.GENERIC})?\\s*+\\((?=\\s*+\\))"
+# A method's parameters are blank in the outer level of a block; its generics are not, and are passed by their depth.
+_METHOD_OPEN = "(?:\\((?=\\s*+\\))|<)"
+_METHOD = "(?Ud)" + f"{_MEMBER_START}{_MODIFIERS}(\\*\\s*+)?(#?{R.NAME})\\s*+\\??\\s*+{_METHOD_OPEN}"
 # A field has a type, a value, or ends after its name.
 _PROPERTY = "(?Ud)" + (
     f"{_MEMBER_START}{_MODIFIERS}(#?{R.NAME})[ \\t]*+[?!]?[ \\t]*+(?::\\s*+((?:=>|[^=;\\n])++)|(?=\\s*+=(?![=>]))|(?=;|\\n|$))"
@@ -54,7 +57,7 @@ _PROPERTY_FORM = f"{_MEMBER_START}{_MODIFIERS}({R.NAME})\\s*+:\\s*+"
 _SIMPLE_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+)(?:\\s*+=\\s*+[^;]+)?;"
 _ARRAY_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+\\[\\s*+\\])"
 _FIELD_START = "(?:^|(?<=[;,}\\n]))\\s*+"
-_FIELD_METHOD = "(?Ud)" + f"{_FIELD_START}()()({R.NAME})\\s*+\\??\\s*+(?:{R.GENERIC})?\\s*+\\((?=\\s*+\\))"
+_FIELD_METHOD = "(?Ud)" + f"{_FIELD_START}()()({R.NAME})\\s*+\\??\\s*+{_METHOD_OPEN}"
 _FIELD_PROPERTY = "(?Ud)" + f"{_FIELD_START}(?:readonly\\s++)?({R.NAME})\\s*+(\\?)?\\s*+:\\s*+([^=;,\\n]++)"
 
 _EXPORT_ROW = "struct<rule_no:int,pos:int,name:string,type:string,visibility:string,line:int>"
@@ -105,22 +108,23 @@ _ONE_NAME = f"^\\s+(?:declare\\s+)?(?:const|let|var)\\s+{R.NAME}[^,\\n(\\[{{<]*+
 def _declared(tail: str) -> str:
     """Names that a ``const``, ``let`` or ``var`` declares: several declarators, and the names inside patterns."""
     word = UNICODE + f"^\\s*+({R.NAME})"
-    pattern = UNICODE + f"^\\s*+({_BRACES}|\\[(?:[^\\[\\]]|\\[[^\\[\\]]*+\\])*+\\])"
-    # The name that an entry of a pattern binds: after a colon, without dots and defaults.
-    bound = UNICODE + f"^(?:[^:=]*:)?[\\s.{{\\[]*({R.NAME})"
+    pattern = UNICODE + f"^\\s*+({R.BRACES}|\\[[^\\[\\]]*+\\])"
+    # The name that an entry of a pattern binds: the last one before a default or the end, whatever it is nested in.
+    bound = UNICODE + f"^[^=]*?({R.NAME})[\\s}}\\]]*+(?:=|$)"
 
-    def of_piece(piece: str) -> str:
-        inner = f"regexp_extract({piece}, {lit(pattern)}, 1)"
+    def of_piece(piece: str, form: str) -> str:
+        whole, size = f"regexp_extract({form}, {lit(pattern)}, 0)", f"regexp_extract({form}, {lit(pattern)}, 1)"
+        inner = f"substring({piece}, length({whole}) - length({size}) + 1, length({size}))"
         entries = keep(f"split(substring({inner}, 2, length({inner}) - 2), ',')", lambda e: f"{e} rlike {lit(bound)}")
         inside = each(entries, lambda e, _: f"regexp_extract({e}, {lit(bound)}, 1)")
-        return f"if({piece} rlike {lit(pattern)}, {inside}, filter(array(regexp_extract({piece}, {lit(word)}, 1)), n -> n <> ''))"
+        return f"if({form} rlike {lit(pattern)}, {inside}, filter(array(regexp_extract({piece}, {lit(word)}, 1)), n -> n <> ''))"
 
     def of_text(text: str) -> str:
-        blanked = f"replace({text}, '=>', '  ')"
-        return bind(
-            f"split({top_level(blanked, '[()\\[\\]{}<>]', '([{<')}, ';')[0]",
-            lambda shape: f"flatten({each(split_at(shape, text, ','), lambda piece, _: of_piece(piece))})",
-        )
+        def of_shape(form: str) -> str:
+            pieces = bind(f"split({form}, ',', -1)", lambda f: each(split_at(form, text, ","), lambda piece, i: of_piece(piece, f"{f}[{i}]")))
+            return f"flatten({pieces})"
+
+        return bind(f"split({shape(text)}, ';')[0]", of_shape)
 
     return bind(f"regexp_extract({tail}, {lit(UNICODE + R.TS_DECLARATORS)}, 1)", of_text)
 
@@ -169,9 +173,12 @@ def named_imports(plain: str = "plain") -> str:
     return f"flatten({clauses})"
 
 
-def _spans(pattern: str, body: Callable[[str, str, str, str], str]) -> str:
-    """``body(head, text after the header, same text of plain, header)`` for each export the pattern fits."""
-    found = keep("heads", lambda h: f"{h}.tail rlike {lit(pattern)}")
+def _spans(start: str, pattern: str, body: Callable[[str, str, str, str], str]) -> str:
+    """``body(head, text after the header, same text of plain, header)`` for each export whose shape fits the pattern.
+
+    ``start`` tells cheaply which spans to look at; the shape of these is made once.
+    """
+    found = keep("heads", lambda h: f"{h}.tail rlike {lit(start)}")
 
     def one(p: str, h: str) -> str:
         def with_header(header: str) -> str:
@@ -180,11 +187,11 @@ def _spans(pattern: str, body: Callable[[str, str, str, str], str]) -> str:
                 f"substring({p}, {h}.start + {_EXPORT_WORD} + length({header}) + 1,"
                 f" length({h}.tail) - length({header}))"
             )
-            return body(h, after, same, header)
+            return f"if({header} = '', null, {body(h, after, same, header)})"
 
-        return bind(f"regexp_extract({h}.tail, {lit(pattern)}, 0)", with_header)
+        return bind(f"regexp_extract({shape(f'{h}.tail')}, {lit(pattern)}, 0)", with_header)
 
-    return bind("plain", lambda p: each(found, lambda h, _: one(p, h)))
+    return keep(bind("plain", lambda p: each(found, lambda h, _: one(p, h))), lambda x: f"{x} is not null")
 
 
 _CALLABLE_FIELDS = ("owner", "owner_pos", "owner_kind", "name", "visibility", "pos", "line")
@@ -201,7 +208,7 @@ def _function_spans() -> str:
             f" 'is_generator', {group(header, _FUNCTION_HEAD, 2)} is not null, 'after', {after}, 'same', {same})"
         )
 
-    return _spans(_FUNCTION_HEAD, body)
+    return _spans(_FUNCTION_START, _FUNCTION_HEAD, body)
 
 
 def with_overloads(functions: str = "functions") -> str:
@@ -241,8 +248,12 @@ def _bare_names(items: str) -> str:
     return each(keep(f"split({items}, ',')", lambda e: f"{trimmed(e)} <> ''"), lambda e, _: trimmed(e))
 
 
+def _without_generics(clause: str) -> str:
+    return f"regexp_replace({shape(clause, '[<>]', '<')}, {lit(R.GENERIC)}, '')"
+
+
 def _heritage(clause: str) -> dict[str, str]:
-    bare = f"regexp_replace({clause}, {lit(R.GENERIC)}, '')"
+    bare = _without_generics(clause)
     implements = lit("(?Uds)\\bimplements\\s+(.*)$")
     return {
         "extends": trimmed(group(bare, "(?Uds)\\bextends\\s+(.*?)(?=\\bimplements\\b|$)")),
@@ -257,13 +268,15 @@ def _block_spans(kind: str, pattern: str) -> str:
     """Declarations that open a block, with the text after the brace."""
 
     def body(h: str, after: str, same: str, header: str) -> str:
+        size = f"length(regexp_extract({header}, {lit(pattern)}, 2))"
+        clause = bind(size, lambda n: f"substring({h}.tail, length({header}) - {n}, {n})")
         return (
             f"named_struct('kind', '{kind}', 'name', regexp_extract({header}, {lit(pattern)}, 1),"
-            f" 'clause', regexp_extract({header}, {lit(pattern)}, 2), 'line', {h}.line, 'pos', {h}.start,"
+            f" 'clause', {clause}, 'line', {h}.line, 'pos', {h}.start,"
             f" 'block_line', {h}.line + {newlines(header)}, 'same', {same}, 'after', {after})"
         )
 
-    return _spans(pattern, body)
+    return _spans(UNICODE + (R.TS_CLASS if kind == "class" else R.TS_INTERFACE), pattern, body)
 
 
 def _with_blocks(files: DataFrame, spans: list[str]) -> DataFrame:
@@ -293,17 +306,31 @@ def _method_spans(kind: str, pattern: str) -> str:
     words = ", ".join(f"'{w}'" for w in R.CONTROL_WORDS)
 
     def one(c: str, m: str) -> str:
-        at = f"{m}.start + length({m}.text) + 1"
-        head = f"concat({m}.text, ')')"
-        modifiers = f"regexp_extract({head}, {lit(pattern)}, 1)"
-        return (
-            f"named_struct('owner', {c}.name, 'owner_pos', {c}.pos, 'owner_kind', {c}.kind,"
-            f" 'name', regexp_extract({head}, {lit(pattern)}, 3), 'visibility', {_visibility(modifiers)},"
-            f" 'pos', {m}.start, 'line', {_line(c, m)}, 'is_async', {modifiers} rlike r'\\basync\\b',"
-            f" 'is_generator', {group(head, pattern, 2)} is not null,"
-            f" 'after', substring({c}.block, {at}, length({m}.tail)),"
-            f" 'same', substring({c}.same, {at}, length({m}.tail)))"
-        )
+        """A method, null if what follows the generics is no parameter list."""
+
+        def passed(skipped: str) -> str:
+            at = f"{m}.start + length({m}.text) + 1 + {skipped}"
+            head = f"regexp_replace({m}.text, '[(<]\\\\z', '()')"
+            return bind(head, lambda h: method(h, at, f"length({m}.tail) - {skipped}"))
+
+        def method(head: str, at: str, size: str) -> str:
+            modifiers = f"regexp_extract({head}, {lit(pattern)}, 1)"
+            return (
+                f"named_struct('owner', {c}.name, 'owner_pos', {c}.pos, 'owner_kind', {c}.kind,"
+                f" 'name', regexp_extract({head}, {lit(pattern)}, 3), 'visibility', {_visibility(modifiers)},"
+                f" 'pos', {m}.start, 'line', {_line(c, m)}, 'is_async', {modifiers} rlike r'\\basync\\b',"
+                f" 'is_generator', {group(head, pattern, 2)} is not null,"
+                f" 'after', substring({c}.block, {at}, {size}), 'same', substring({c}.same, {at}, {size}))"
+            )
+
+        def opened(end: str) -> str:
+            """Characters up to the parameters, behind generics that end at an offset of the tail; -1 without any."""
+            gap = f"length(regexp_extract(substring({m}.tail, {end} + 2), {lit(UNICODE + '^\\s*+\\((?=\\s*+\\))')}, 0))"
+            return bind(gap, lambda g: f"if({end} is null or {g} = 0, -1, {end} + 1 + {g})")
+
+        generic = bind(closing_offset(unarrowed(f"{m}.tail"), "[<>]", "<"), opened)
+        skipped = f"if(right({m}.text, 1) = '<', {generic}, 0)"
+        return bind(skipped, lambda n: f"if({n} < 0, null, {passed(n)})")
 
     found = each(_of_kind(kind), lambda c, _: each(find_all(f"{c}.outer", pattern), lambda m, _: one(c, m)))
     return keep(f"flatten({found})", lambda m: f"{m}.name not in ({words})")
@@ -390,7 +417,7 @@ def with_interfaces(files: DataFrame) -> DataFrame:
 
 
 def _parents(clause: str) -> dict[str, str]:
-    bare = f"regexp_replace({clause}, {lit(R.GENERIC)}, '')"
+    bare = _without_generics(clause)
     return {"extends": _bare_names(f"regexp_extract({bare}, {lit('(?Uds)^\\s*extends\\s+(.*)$')}, 1)")}
 
 

@@ -190,6 +190,47 @@ def test_deep_generics_and_long_blanks(index):
     assert [(m["name"], m["functionSignature"]["returnType"]) for m in info["methods"]] == [("go", "{ a: string }")]
 
 
+def nested_type(depth):
+    """A type of braces, generics, parentheses and arrows in turn, so deep."""
+    out = "string"
+    for i in range(depth):
+        out = (f"{{ a: {out} }}", f"Box<{out}>", f"({out})", f"(x: {out}) => void")[i % 4]
+    return out
+
+
+def test_brackets_of_any_depth(index):
+    """Types, generics, parameters, decorators, patterns and parent types, forty deep."""
+    deep = nested_type(40)
+    assert deep.count("{") == deep.count("}") == 10
+    code = f"""export function walk<T extends {deep}>(first: {deep}, @Mark({deep}) {{ a: {{ b: [c, {{ d }}] }} }}: {deep} = {{}}): {deep} {{ return 1; }}
+export class Deep<T extends {deep}> extends Base<{deep}> implements First<{deep}>, Second {{
+  @Input({deep}) field: {deep};
+  @On({{ a: [({{}})] }}) go<K extends {deep}, V>(x: {deep}, y?: K): {deep} {{ return x; }}
+  late<K>(): void {{}}
+  less = 1 < 2;
+  after(): {{ a: {{ b: {{ c: {{ d: number }} }} }} }} {{ return less<3; }}
+}}
+export interface Wide<T extends {deep}> extends Base<{deep}> {{
+  call<K extends {deep}>(a: {deep}): {deep};
+  plain(): void;
+}}
+export const {{ p: {{ q: {{ r }} }}, s: [[t]] }} = {{}}, u = 1;
+"""
+    rows = {(e["name"], e["type"]): e for e in index(code)["exports"]}
+    assert {name for name, _ in rows} == {"walk", "Deep", "Wide", "r", "t", "u"}
+    walk = rows["walk", "function"]["functionSignature"]
+    assert names(walk["parameters"], "name", "type", "required") == [("first", deep, True), ("{ a: { b: [c, { d }] } }", deep, False)]
+    assert walk["returnType"] == deep
+    info = rows["Deep", "class"]["classInfo"]
+    assert (info["extends"], info["implements"]) == ("Base", ["First", "Second"])
+    assert [m["name"] for m in info["methods"]] == ["go", "late", "after"] and [m["name"] for m in info["properties"]] == ["field", "less"]
+    go, _, after = (m["functionSignature"] for m in info["methods"])
+    assert names(go["parameters"], "name", "type", "required") == [("x", deep, True), ("y", "K", False)]
+    assert (go["returnType"], after["returnType"]) == (deep, "{ a: { b: { c: { d: number } } } }")
+    (call, _) = rows["Wide", "interface"]["interfaceInfo"]["methods"]
+    assert call["functionSignature"]["returnType"] == deep and rows["Wide", "interface"]["interfaceInfo"]["extends"] == ["Base"]
+
+
 def test_default_export_beside_a_class(index):
     assert names(index(GENERIC)["exports"], "name", "type") == [("RouteTable", "class"), ("RouteTable", "variable")]
 
