@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sparksymbols.llm.files import filesystem
 from sparksymbols.session import scratch_path
 
 #: Words are runs of bytes other than ASCII white space.
@@ -26,6 +28,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_and_observed(df: DataFrame, name: str, *values: Column) -> tuple[DataFrame, tuple]:
+    """``df`` as by ``stored``, with aggregates over its rows that the write itself has counted."""
+    seen = Observation()
+    names = [f"v{i}" for i in range(len(values))]
+    kept = stored(df.observe(seen, *(v.alias(n) for v, n in zip(values, names, strict=True))), name)
+    return kept, tuple(seen.get[n] for n in names)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more; what cannot be deleted stays."""
+    for folder in {path.rpartition("/")[0] for path in table.inputFiles()}:
+        with contextlib.suppress(OSError):
+            system, inner = filesystem(folder)
+            system.delete_dir(inner)
+
+
 def join_back(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join rows to one row per key, where a key may hold a third of all rows.
 

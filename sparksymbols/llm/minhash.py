@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparksymbols.llm import shingles
-from sparksymbols.llm.common import join_back, stored, text_or_empty
+from sparksymbols.llm.common import discard, join_back, stored, stored_and_observed, text_or_empty
 from sparksymbols.session import ship_with_tasks
 
 #: One hash with so many bins gives the MinHash samples (one permutation; empty bins borrow from others).
@@ -220,10 +220,11 @@ def _block_pairs(percent: int, flips: int, nearest: bool):
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
-    """``node, component`` for the nodes of links ``a, b``: the smallest node that can be reached.
+    """``node, component`` for the nodes of links ``a, b`` but the smallest of each: the smallest that can be reached.
 
     Alternates large and small stars: nodes are linked to the least of their neighbours until nothing changes, a
     logarithmic number of rounds. A node may have any number of neighbours; nothing is gathered per node but a minimum.
+    A round is one write, which also tells whether it changed anything.
     """
 
     def both(edges: DataFrame) -> DataFrame:
@@ -232,11 +233,11 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     def least(edges: DataFrame) -> DataFrame:
         return edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        """Edges written once, with their number and a sum of hashes."""
+        return stored_and_observed(edges, name, F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
 
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = state(edges)
+    edges, seen = kept(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while seen[0]:
         sides = both(edges)
         large = join_back(sides, least(sides), ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -244,14 +245,26 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         low = large.select("a", F.col("b")).where("b < a")
         stars = join_back(low, least(low), ["a"])
         small = stars.select(F.col("b").alias("a"), F.col("m").alias("b")).union(stars.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), name)
-        now = state(edges)
+        last = edges
+        edges, now = kept(small.where("a <> b").distinct())
+        discard(last)
         if now == seen:
             break
         seen = now
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
+def joined_components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` after further links: only what the links join of different classes goes through the rounds again."""
+    label = lambda side: classes.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    named = join_back(join_back(links, label("a"), ["a"], "left"), label("b"), ["b"], "left")
+    ends = named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    roots = stored(components(ends, "class-links"), "roots")
+    moved = join_back(classes, roots.select(F.col("node").alias("component"), F.col("component").alias("to")), ["component"], "left")
+    moved = moved.select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(roots.join(classes, "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = shingles.WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
@@ -321,11 +334,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = shingles.WO
         met = rest.mapInArrow(_block_pairs(percent, flips, nearest), f"a {kind}, b {kind}")
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    links = confirmed(by_sketch(stars))
+    classes = stored(components(confirmed(by_sketch(stars))), "classes")
     for nearest in (True, False):
-        classes = stored(components(links), "classes")
-        links = links.unionByName(confirmed(across(classes, nearest)))
-    classes = components(links, "all-links")
+        classes = stored(joined_components(classes, confirmed(across(classes, nearest))), "classes")
 
     grouped = join_back(signed.where("n > 0").select("doc_id", "n", "digest"), same, ["digest"])
     grouped = grouped.join(classes, grouped["rep"] == classes["node"], "left").select(

@@ -186,3 +186,34 @@ def test_components(spark):
         root[y] = x
     got = {r["node"]: r["component"] for r in minhash.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == {i: find(i) for i in root if find(i) != i}
+
+
+def test_components_grow_with_links(spark):
+    """Classes found before plus further links are the classes of all links."""
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)]
+    later = [(rng.randrange(320), rng.randrange(320)) for _ in range(90)]
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    get = lambda df: {r["node"]: r["component"] for r in df.collect() if r["node"] != r["component"]}
+    first = minhash.components(frame(pairs))
+    assert get(minhash.joined_components(first, frame(later))) == get(minhash.components(frame(pairs + later)))
+    assert get(minhash.joined_components(first, frame([]))) == get(first)
+    assert get(minhash.joined_components(minhash.components(frame([])), frame(later))) == get(minhash.components(frame(later)))
+
+
+def test_jobs_of_near_copies_are_few(spark):
+    """The number of jobs follows the rounds of the components, not partitions or rows."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(df):
+        group = f"near-{df.rdd.getNumPartitions()}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert minhash.drop_near_copies(df, percent=80).count()
+            return len(tracker.getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+
+    docs = table(spark, texts(5, 120))
+    few, many = jobs(docs.repartition(2)), jobs(docs.repartition(40))
+    assert max(few, many) < 260 and abs(few - many) < 20, (few, many)
