@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparksymbols.llm.common import stored, text_or_empty
+from sparksymbols.llm.common import join_back, stored, text_or_empty
 from sparksymbols.session import scratch_path, ship_with_tasks
 
 KEYS = ("source", "lang", "tokenizer")
@@ -21,7 +21,9 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 
 def token_counts(docs: DataFrame, vocabulary: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, source, lang, tokenizer, n_docs, n_tokens, n_bytes`` for every document, from its whole text.
+    """``doc_id, source, lang, tokenizer, n_docs, n_tokens, n_bytes, digest`` for every document, from its whole text.
+
+    ``digest`` is the SHA-256 of the text, made on the same pass.
 
     ``vocabulary`` names a file of byte-level BPE ranks on the driver (about 1 MB), which is sent to the tasks once.
     Null texts count as empty and have no tokens. Repeated rows count each.
@@ -44,13 +46,14 @@ def token_counts(docs: DataFrame, vocabulary: str, tokenizer: str, id_col: str =
         F.col(source_col).alias("source"),
         F.col(lang_col).alias("lang"),
         F.octet_length(text_or_empty(F.col(text_col))).cast("bigint").alias("n_bytes"),
+        F.sha2(text_or_empty(F.col(text_col)).cast("binary"), 256).alias("digest"),
         text_or_empty(F.col(text_col)).alias("text"),
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInPandas(count, "doc_id string, source string, lang string, n_bytes bigint, n_tokens bigint")
+    found = rows.mapInPandas(count, "doc_id string, source string, lang string, n_bytes bigint, digest string, n_tokens bigint")
     return found.select(
         F.col("doc_id").cast(kind).alias("doc_id"), "source", "lang", F.lit(tokenizer).alias("tokenizer"),
-        F.lit(1).cast("bigint").alias("n_docs"), "n_tokens", "n_bytes",
+        F.lit(1).cast("bigint").alias("n_docs"), "n_tokens", "n_bytes", "digest",
     )
 
 
@@ -108,19 +111,24 @@ def corpus_history(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50
     """Totals after a history of the corpus: all documents inserted, exact copies deleted, other texts revised.
 
     Batch ``load`` inserts every document, counted with the first tokenizer. ``copies`` deletes those whose text
-    a document with a larger id has too. ``languages`` recounts the remaining ones that are not English with the
+    a document with a larger id has too; rows without an id lose against any with one and stay otherwise, rows alike in
+    id and text stay or go together. ``languages`` recounts the remaining ones that are not English with the
     tokenizer for many languages, as signed revisions. Each batch is committed twice; the second time changes nothing.
     """
     spark = docs.sparkSession
     rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
     keyed = docs.select("doc_id", "text", "source", "lang")
     counts = stored(token_counts(keyed, vocabulary, "byte_bpe_50k"), "token-counts")
-    ids = keyed.select("doc_id", F.sha2(text_or_empty(F.col("text")).cast("binary"), 256).alias("digest"))
-    last = ids.groupBy("digest").agg(F.max("doc_id").alias("doc_id")).select("doc_id")
-    gone = counts.join(last, "doc_id", "left_anti")
-    abroad = keyed.where(~F.col("lang").eqNullSafe("en"))
-    recounted = token_counts(abroad, multilingual, "byte_bpe_multi_50k").join(last, "doc_id", "left_semi")
-    before = counts.where(~F.col("lang").eqNullSafe("en")).join(last, "doc_id", "left_semi")
+    keep = stored(counts.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "kept-texts")
+
+    def staying(rows: DataFrame) -> DataFrame:
+        """Rows with ``stays``: of equal texts the largest id's; all of them, if none has an id."""
+        return join_back(rows, keep, ["digest"]).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+    judged = stored(staying(counts), "judged-counts")
+    abroad = ~F.col("lang").eqNullSafe("en")
+    recounted = staying(token_counts(keyed.where(abroad), multilingual, "byte_bpe_multi_50k")).where("stays")
+    gone, before = judged.where("NOT stays"), judged.where(F.col("stays") & abroad)
     for _ in range(2):
         rollup.commit("load", signed(counts, 1))
         rollup.commit("copies", signed(gone, -1))
