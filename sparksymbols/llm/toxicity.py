@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,7 +19,6 @@ from sparksymbols.session import ship_with_tasks
 
 #: Learning takes at most so many toxic and so many other labelled documents, chosen by a hash of the id.
 TRAIN_ROWS = 5_000
-LEXICON_SIZE = 600
 MIN_DOCUMENTS, MIN_WEIGHT = 5, 2.5
 PREFIXES = range(4, 10)
 THRESHOLD = 0.5
@@ -29,12 +29,14 @@ HOMOGLYPHS = {
     "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t",
     "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ⅼ": "l", "ո": "n", "օ": "o",
 }
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
 # Phrases in which a lexicon word is no insult.
 EXCEPTIONS = ("trash can", "trash bin", "recycle trash", "clown fish", "pathetic fallacy", "stupid question is no", "pond scum")
 
 _GLYPHS = str.maketrans(HOMOGLYPHS)
-_INSIDE = re.compile(r"(?:(?<=[^\W\d_])|(?<![\w@$!|]))[013457@$!|]{1,3}(?=[^\W\d_])")
+_INSIDE = re.compile(r"(?:(?<=[^\W\d_])|(?<![\w@$!|]))[013-9@$!|]{1,3}(?=[^\W\d_])")
+#: Digits that end a word of three characters or more; signs there are punctuation.
+_AT_END = re.compile(r"(?:(?<=[^\W\d_]{2})[013-9]{1,3}|(?<=[^\W\d_])[013-9]{2,3})(?!\w)")
 _GAPS = re.compile(r"[\W_]+")
 
 
@@ -43,7 +45,8 @@ def fold(text: str | None) -> str:
     text = unicodedata.normalize("NFKC", text or "").lower()
     if not text.isascii():
         text = text.translate(_GLYPHS)
-    text = _INSIDE.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
+    for place in (_INSIDE, _AT_END):
+        text = place.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
     return f" {_GAPS.sub(' ', text).strip()} "
 
 
@@ -89,13 +92,31 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > hits.get(start, 0.0):
                 hits[start] = weight
-        total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in spared))
+        ends = _joined(spared)
+        total = sum(w for at, w in hits.items() if not _inside(at, *ends))
         return math.log1p(100 * total / max(1, folded.count(" ") - 1))
 
     def score(self, x):
         return 1 / (1 + np.exp(-(self.intercept + self.slope * x)))
 
 
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of spans, those that overlap as one."""
+    starts, ends = [], []
+    for start, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _inside(at: int, starts: list[int], ends: list[int]) -> bool:
+    place = bisect_right(starts, at) - 1
+    return place >= 0 and at < ends[place]
+
+
 def _densities(lexicon: Lexicon):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = lexicon.matcher()
@@ -120,6 +141,8 @@ def _chosen(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: s
     total = once.groupBy("label").agg(F.count("*").alias("all"))
     taken = parts[0].unionByName(parts[1])
     found = docs.select(F.col(id_col).alias("_id"), text_or_empty(F.col(text_col)).alias("text")).join(F.broadcast(taken), "_id")
+    # An id that repeats gives one text, so that no more than the chosen rows go on.
+    found = found.groupBy("_id", "label").agg(F.min("text").alias("text"))
     return found.groupBy("label", "text").agg(F.min("_id").alias("_id")).join(
         F.broadcast(total.select("label", F.least(F.lit(1.0), rows / F.col("all")).alias("share"))), "label"
     )
@@ -146,15 +169,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows
         .where(F.col("t") >= MIN_DOCUMENTS)
         .withColumn("weight", weight)
         .where(F.col("weight") >= MIN_WEIGHT)
-        .withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("o") + 0.5)))
-        .orderBy(F.desc("z"), F.length("term").desc(), "term")
-        .limit(LEXICON_SIZE)
+        .orderBy(F.length("term").desc(), "term")
         .collect()
     )
+    # The longest of terms in the same documents stands for its beginnings. The thresholds alone bound the list: a term
+    # is in at least MIN_DOCUMENTS of the documents to learn from.
     seen, weights = set(), {}
     for row in best:
         same = (row["t"], row["o"])
-        if not any((row["term"][:n], same) in seen for n in range(5, len(row["term"]) + 1)):
+        if (row["term"], same) not in seen:
             weights[row["term"]] = row["weight"]
         seen.update((row["term"][:n], same) for n in range(5, len(row["term"]) + 1))
     lexicon = Lexicon(weights, exceptions)

@@ -89,7 +89,7 @@ def test_pipeline(spark, tables):
     for i in good:
         last[texts[i]] = max(last.get(texts[i], i), i)
     single = set(last.values())
-    near = {i for i, _, _, kept in brute.near([(i, texts[i]) for i in single]) if kept}
+    near = {i for i, _, _, kept in brute.near([(i, texts[i]) for i in single], percent=C.NEAR_PERCENT) if kept}
     clean = near - {i for i, _ in brute.contaminated([(i, texts[i]) for i in near], items, decontamination.UNITS)}
     kept = docs
     for (name, stage), want in zip(C.STAGES[:-1], (good, single, near, clean), strict=True):

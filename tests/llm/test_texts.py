@@ -159,16 +159,19 @@ def test_corpus_history(spark):
             ranks[name] = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coders = {n: tiktoken.Encoding(n, pat_str=token_counts.SPLIT, mergeable_ranks=r, special_tokens={}) for n, r in ranks.items()}
     rows = [(1, "the cat", "en", "s"), (2, "the cat", "en", "s"), (3, None, "en", "s"), (4, "le chat é", "fr", "s"), (5, "le chat é", "de", None), (6, "<|endoftext|> 12", None, "t")]
+    rows += [(None, "no id", "en", "s"), (None, "no id", "en", "u"), (None, "the cat", "en", "s"), (None, "", "fr", "s"), (7, "seven", "en", "s"), (7, "the dog", "de", "s")]
+    rows += [(8, "the dog", "de", "s"), (7, "seven", "en", "s"), (9, "9", "en", "s"), (9, "nine", "en", "s"), (10, "9", "fr", "s")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     want = {}
     for i, t, lang, source in rows:
-        if i == max(j for j, u, *_ in rows if (u or "") == (t or "")):
+        if i == max((j for j, u, *_ in rows if (u or "") == (t or "") and j is not None), default=None):
             name = "byte_bpe_50k" if lang == "en" else "byte_bpe_multi_50k"
             cell = want.setdefault((source, lang, name), [0, 0, 0])
             for k, v in enumerate((1, len(coders[name].encode_ordinary(t or "")), len((t or "").encode()))):
                 cell[k] += v
     got = {tuple(r)[:3]: list(r)[3:] for r in token_counts.corpus_history(df).collect()}
     assert got == want
+    assert token_counts.corpus_history(df.limit(0)).count() == 0
 
 
 def labelled(spark, toxic_words=("scoundrel", "blötmann"), n=900):
@@ -270,6 +273,45 @@ def test_toxicity(spark):
     assert len(few) == docs.count() and all(math.isclose(r["score"], 0.5) for r in few)
 
 
+def test_toxicity_finds_held_out_words(spark):
+    """Held-out toxic documents are found and others left alone: a constant score fails; many more words than a short list."""
+    rng = random.Random(3)
+    bad = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(700)]
+    good = ["".join(rng.choice("hjvwz") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    rows, marks = [], []
+    for i in range(4000):
+        words, toxic = [rng.choice(good) for _ in range(40)], i % 3 == 0
+        for _ in range(9 if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words), "s"))
+        marks.append((i, int(toxic)))
+    got = toxicity.toxicity_scores(table(spark, rows), spark.createDataFrame(marks, "doc_id bigint, toxic int")).collect()
+    truth = dict(marks)
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"]]
+    found = sum(p and t for p, t in held)
+    assert found / sum(t for _, t in held) > 0.95 and found / max(1, sum(p for p, _ in held)) > 0.95
+    lexicon = toxicity.learn_lexicon(table(spark, rows), spark.createDataFrame(marks, "doc_id bigint, toxic int"))
+    assert len(lexicon.weights) > 600
+
+
+def test_density_equals_a_plain_scan():
+    """Aho-Corasick hits, the heaviest term at each start, spared phrases: as by looking at every place."""
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon({" ba": 1.0, " bad ": 2.5, " badly ": 1.5, " mean": 3.0}, ("bad hair", "mean value bad"))
+    phrases = [toxicity.fold(p) for p in lexicon.exceptions]
+    matcher = lexicon.matcher()
+    for _ in range(300):
+        text = " ".join(rng.choice(["bad", "b4d", "badly", "hair", "mean", "value", "meaning", "ok"]) for _ in range(rng.randrange(14)))
+        folded, total = toxicity.fold(text), 0.0
+        spared = {i for p in phrases for at in range(len(folded)) if folded.startswith(p, at) for i in range(at, at + len(p) - 1)}
+        for at in range(len(folded)):
+            if at not in spared:
+                total += max((w for term, w in lexicon.weights.items() if folded.startswith(term, at)), default=0.0)
+        assert math.isclose(lexicon.density(matcher, text), math.log1p(100 * total / max(1, folded.count(" ") - 1)))
+    assert lexicon.density(matcher, "bad hair " * 60_000) < 1
+
+
 def test_fold():
     assert toxicity.fold("1d10t!! Idi0t### 100 x5 іdiot") == " idiot idiot 100 x5 idiot "
+    assert toxicity.fold("worthle55 idi07! a55, 1999 b8d 9oose 3 v2") == " worthless idiot ass 1999 bbd goose 3 v2 "
     assert toxicity.fold(None) == "  "
