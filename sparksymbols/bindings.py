@@ -212,6 +212,15 @@ export class Form{n} extends Base<A<B<C<D<E<F>>>>>> {{
 {methods}}}
 """
 
+# Modules that hand a name on: document 10 k defines it, the eight after it take it from the one before, in turn by name,
+# under a new name and by a star; every tenth takes it from itself. Each also imports it from its own module.
+BARRELS = """\
+/* {text}
+*/
+{line}
+import {{ leaf }} from './doc{n}';
+"""
+
 PYTHON_MODULES = '''\
 """{text}
 """
@@ -226,12 +235,14 @@ class Store{n}: pass
 {methods}'''
 
 
-def _code_files(spark: SparkSession, folder: str, template: str, suffix: str, method: str, closers: str) -> DataFrame:
+def _code_files(
+    spark: SparkSession, folder: str, template: str, suffix: str, method: str, closers: str, more: dict[str, str] | None = None
+) -> DataFrame:
     n, m = "cast(doc_id as string)", "cast(doc_id + 1 as string)"
     text = f"regexp_replace(text, r'{closers}', ' ')"
     count = "cast(doc_id % 4 as int)"
     methods = f"array_join(transform(if({count} = 0, array(), sequence(0, {count} - 1)), i -> concat({method})), '')"
-    values = {"n": n, "m": m, "text": text, "lang": "lang", "methods": methods}
+    values = {"n": n, "m": m, "text": text, "lang": "lang", "methods": methods} | (more or {})
     marks = {name: f"\x00{name}\x00" for name in values}
     pieces = template.format(**marks).split("\x00")
     # Odd pieces are the names between the marks.
@@ -257,6 +268,19 @@ def typescript_forms(spark: SparkSession, folder: str) -> DataFrame:
     return _code_files(spark, folder, TYPESCRIPT_FORMS, ".ts", "''", r"\*/")
 
 
+def typescript_barrels(spark: SparkSession, folder: str) -> DataFrame:
+    """One repository only, as chains of modules run through all documents."""
+    before = "cast(doc_id - 1 as string)"
+    line = (
+        "case when doc_id % 10 = 0 then 'export function leaf() {}'"
+        f" when doc_id % 10 = 9 then concat('export {{ leaf }} from \\'./doc', {'cast(doc_id as string)'}, '\\';')"
+        f" when doc_id % 3 = 0 then concat('export * from \\'./doc', {before}, '\\';')"
+        f" else concat('export {{ leaf as leaf }} from \\'./doc', {before}, '\\';') end"
+    )
+    files = _code_files(spark, folder, BARRELS, ".ts", "''", r"\*/", {"line": line})
+    return files.withColumns({"repoId": F.lit("barrels"), "filePath": F.regexp_replace("filePath", "^src/[^/]*/", "src/")})
+
+
 def python_modules(spark: SparkSession, folder: str) -> DataFrame:
     return _code_files(spark, folder, PYTHON_MODULES, ".py", "''", r'"""|\\\\')
 

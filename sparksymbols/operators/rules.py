@@ -76,6 +76,9 @@ TS_NAMED_IMPORT = UNICODE + (
     "import(?<!\\wimport)\\s++(?:type\\s++)?((?:(?!from\\s*+[\"'])[\\w$*{},]++\\s*+)++)from\\s*+[\"']([^\"']++)[\"']"
 )
 
+# Names handed on from another module.
+TS_REEXPORT = UNICODE + "export(?<![\\w.$]export)\\s*+(?:type\\s*+)?(\\*(?!\\s*+as\\b)|\\{[^}]*+\\})\\s*+from\\s*+[\"']([^\"']++)[\"']"
+
 # Definitions and imports of Python modules.
 PY_EXPORTS = (
     Rule("python", 1, MULTILINE + "^(?:async[ \\t]+)?def\\s+(\\w+)\\s*\\(", "function"),

@@ -173,6 +173,27 @@ def named_imports(plain: str = "plain") -> str:
     return f"flatten({clauses})"
 
 
+def reexports(plain: str = "plain") -> str:
+    """Names handed on from another module: ``array<struct<name, original, source, line>>``; ``*`` stands for all."""
+    pattern = lit(R.TS_REEXPORT)
+    as_form = UNICODE + "^\\s*(?:type\\s+)?([\\w$]+)(?:\\s+as\\s+([\\w$]+))?\\s*$"
+
+    def entry(m: str, name: str, original: str) -> str:
+        return (
+            f"named_struct('name', {name}, 'original', {original},"
+            f" 'source', regexp_extract({m}.text, {pattern}, 2), 'line', {m}.line)"
+        )
+
+    def names(m: str, clause: str) -> str:
+        listed = keep(f"split(regexp_replace({clause}, r'[{{}}]', ''), ',')", lambda e: f"{trimmed(e)} <> ''")
+        original = lambda e: f"regexp_extract({e}, {lit(as_form)}, 1)"
+        named = each(listed, lambda e, _: entry(m, f"coalesce({group(e, as_form, 2)}, {original(e)})", original(e)))
+        return f"if({clause} = '*', array({entry(m, "'*'", "'*'")}), {named})"
+
+    found = find_all(plain, R.TS_REEXPORT)
+    return f"flatten({each(found, lambda m, _: bind(f'regexp_extract({m}.text, {pattern}, 1)', lambda c: names(m, c)))})"
+
+
 def _spans(start: str, pattern: str, body: Callable[[str, str, str, str], str]) -> str:
     """``body(head, text after the header, same text of plain, header)`` for each export whose shape fits the pattern.
 

@@ -722,6 +722,31 @@ def import_resolution(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "J8_reexports",
+    "WITH RECURSIVE docs AS (SELECT doc_id AS n, CAST(3 + length(text) - length(replace(text, chr(10), '')) AS INT) AS line FROM documents),"
+    " walk(n, seen, hops) AS (SELECT n, n, 0 FROM docs WHERE n % 10 <> 9"
+    " UNION ALL SELECT w.n, d.n, hops + 1 FROM walk w JOIN docs d ON d.n = w.seen - 1 WHERE w.seen % 10 <> 0),"
+    " ends AS (SELECT w.n, w.seen, hops, d.line FROM walk w JOIN docs d ON d.n = w.seen WHERE w.seen % 10 = 0)"
+    " SELECT 'src/doc' || docs.n || '.ts' AS \"filePath\", coalesce('src/doc' || seen || '.ts', '') AS \"targetPath\","
+    " coalesce(ends.line, 0) AS \"targetLine\", coalesce(hops, -1) AS hops FROM docs LEFT JOIN ends USING (n)",
+)
+def reexports(spark: SparkSession, folder: str) -> DataFrame:
+    """Imports through chains of modules that hand a name on, up to eight of them, and names that lead to themselves."""
+    keys = ["repoId", "filePath"]
+    code = typescript.with_code(B.spread(B.typescript_barrels(spark, folder)))
+    found = {"exported": typescript.exports(), "imported": typescript.named_imports(), "handed": typescript.reexports()}
+    files = checkpointed(code.select(*keys, *(F.expr(column).alias(name) for name, column in found.items())))
+    handed = nested.entries(files, "handed", keys).select(*keys, "name", "original", "source")
+    exports = nested.entries(files, "exported", keys).where("type = 'function'").select(*keys, "name", F.col("line").alias("lineNumber"))
+    imports = nested.entries(files, "imported", keys).select(*keys, "name", "source", F.col("line").alias("lineNumber"))
+    resolved = J.resolve_imports(imports, exports, handed)
+    return resolved.select(
+        "filePath", F.coalesce("targetPath", F.lit("")).alias("targetPath"),
+        F.coalesce("targetLine", F.lit(0)).alias("targetLine"), F.coalesce("hops", F.lit(-1)).alias("hops"),
+    )
+
+
 PY_TARGETS = [("load<m>", 2, 8), ("Store<m>", 3, 9), ("LIMIT<m>", 4, 7), ("gone<n>", 5, 0), ("thing<n>", 6, 0)]
 
 

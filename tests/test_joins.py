@@ -171,3 +171,30 @@ def test_batch_progress_of_one_large_repository(spark):
 @pytest.mark.parametrize(("count", "route"), [(99, "direct"), (100, "direct"), (101, "batch")])
 def test_size_route(spark, count, route):
     assert A.size_route(spark.range(count).withColumn("r", F.lit("x")), "r").first().route == route
+
+
+def test_reexports(spark):
+    """Chains of 1, 2 and 9 modules, new names, stars over stars, own names first, cycles, dead ends, Python packages."""
+    row = lambda path, name, original, source: ("r", path, name, original, source)
+    exports = [("r", "src/z.ts", "z", 4), ("r", "src/z.ts", "default", 9), ("r", "src/y.ts", "own", 1), ("r", "lib/index.ts", "deep", 2), ("r", "pkg/core.py", "run", 7)]
+    handed = [row(f"src/c{i}.ts", "z", "z", f"./c{i - 1}" if i > 1 else "./z") for i in range(1, 10)]
+    handed += [
+        row("src/y.ts", "*", "*", "./z"), row("src/x.ts", "*", "*", "./y"), row("src/w.ts", "renamed", "z", "./x"), row("src/y.ts", "own", "z", "./z"),
+        row("src/a.ts", "loop", "loop", "./b"), row("src/b.ts", "loop", "loop", "./a"), row("src/p.ts", "*", "*", "./q"), row("src/q.ts", "*", "*", "./p"),
+        row("src/d.ts", "gone", "gone", "./nowhere"), row("src/q.ts", "deep", "deep", "../lib"), row("src/e.ts", "other", "z", "package"),
+        row("pkg/__init__.py", "start", "run", ".core"),
+    ]
+    asked = [("c1", "z"), ("c2", "z"), ("c9", "z"), ("y", "z"), ("x", "z"), ("x", "default"), ("w", "renamed"), ("x", "own"), ("a", "loop"), ("p", "deep"), ("d", "gone"), ("e", "other"), ("z", "z")]
+    imports = [("r", "src/main.ts", name, f"./{module}", 1) for module, name in asked] + [("r", "app.py", "start", "pkg", 1)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    resolved = J.resolve_imports(
+        df(imports, "repoId string, filePath string, name string, source string, lineNumber int"),
+        df(exports, "repoId string, filePath string, name string, lineNumber int"),
+        df(handed, "repoId string, filePath string, name string, original string, source string"),
+    )
+    got = {(r["source"], r["name"]): (r["targetPath"], r["hops"]) for r in resolved.collect()}
+    assert got == {
+        ("./c1", "z"): ("src/z.ts", 1), ("./c2", "z"): ("src/z.ts", 2), ("./c9", "z"): ("src/z.ts", 9), ("./y", "z"): ("src/z.ts", 1), ("./x", "z"): ("src/z.ts", 1),
+        ("./x", "default"): (None, None), ("./w", "renamed"): ("src/z.ts", 2), ("./x", "own"): ("src/y.ts", 1), ("./a", "loop"): (None, None),
+        ("./p", "deep"): ("lib/index.ts", 2), ("./d", "gone"): (None, None), ("./e", "other"): (None, None), ("./z", "z"): ("src/z.ts", 0), ("pkg", "start"): ("pkg/core.py", 1),
+    }
