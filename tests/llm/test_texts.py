@@ -56,6 +56,26 @@ def test_licenses(spark):
     assert licenses.license_scan(table(spark, docs), none).count() == 0
 
 
+def test_licence_files(spark):
+    """Whole texts as files have them: with and without title, years and holders, wrapped at any width, as comments."""
+    import textwrap
+
+    assert len(licenses.KNOWN) >= 40 and len({i for i, t in licenses._WHOLE}) == 9
+    docs, want = [], set()
+    titles = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "Unlicense": "The Unlicense", "BSL-1.0": "Boost Software License - Version 1.0"}
+    for n, (name, text) in enumerate(licenses.KNOWN):
+        if "\n" not in text:
+            continue
+        for k, width in enumerate((30, 41, 72, 79, 200)):
+            body = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+            top = ["", f"{titles.get(name, '')}\n\n", "Copyright (c) 2021 Someone\n\n", "Copyright 1999-2020, Some Body.\nAll rights reserved.\n\n", f"{titles.get(name, '')}\n\nCopyright © <year> A\n"][k]
+            docs.append((100 * n + k, top + (textwrap.indent(body, " * ", lambda line: True) if k == 2 else body), "s"))
+            want.add((100 * n + k, name))
+    docs += [(90_001, docs[0][1] + "\nand more", "s"), (90_002, "MIT License", "s"), (90_003, "Copyright holders be liable\nfor nothing", "s")]
+    got = {(r["doc_id"], r["license_id"]) for r in licenses.license_scan(table(spark, docs), licenses.known_licenses(spark)).where("scope = 'document'").collect()}
+    assert got == want
+
+
 QUESTION = "A farmer called Anna sells 12 baskets and Anna keeps 7 of them for 3 hours while the rest go to market quickly"
 
 
