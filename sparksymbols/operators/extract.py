@@ -84,10 +84,10 @@ def _signature(sig: str, of: str = _OVERLOAD) -> str:
     )
 
 
-def _member(m: str, type_: str, signature: str) -> str:
+def _member(m: str, type_: str, signature: str, required: str = "cast(null as boolean)") -> str:
     return (
-        f"cast(named_struct('name', {m}.name, 'type', '{type_}', 'visibility', {m}.visibility,"
-        f" 'lineNumber', {m}.line, 'functionSignature', {signature}) as {_MEMBER})"
+        f"cast(named_struct('name', {m}.name, 'type', {type_}, 'visibility', {m}.visibility,"
+        f" 'lineNumber', {m}.line, 'functionSignature', {signature}, 'required', {required}) as {_MEMBER})"
     )
 
 
@@ -101,12 +101,13 @@ def _members(items: str, owner: str, test: str = "true") -> str:
             lambda bodies: keep(all_, lambda m: f"{m}.signature.hasBody or not array_contains({bodies}, {m}.name)"),
         )
 
-    return each(bind(mine, declared), lambda m, _: _member(m, "function", _signature(f"{m}.signature")))
+    return each(bind(mine, declared), lambda m, _: _member(m, "'function'", _signature(f"{m}.signature")))
 
 
 def _fields(items: str, owner: str, test: str = "true") -> str:
+    """Properties of an owner with their declared type (``any`` without one) and whether they must be set."""
     mine = keep(items, lambda m: f"{m}.owner_pos = {owner}.pos and ({test.format(m=m)})")
-    return each(mine, lambda m, _: _member(m, "variable", f"cast(null as {_OVERLOAD})"))
+    return each(mine, lambda m, _: _member(m, f"{m}.type", f"cast(null as {_OVERLOAD})", f"{m}.required"))
 
 
 def _export(e: str, info: str, signature: str, class_info: str, interface_info: str) -> str:
@@ -193,7 +194,7 @@ def python_exports(files: DataFrame, content: str = "content") -> DataFrame:
     def method(m: str) -> str:
         return (
             f"cast(named_struct('name', {m}.name, 'type', 'function', 'visibility', 'public', 'lineNumber', {m}.line,"
-            f" 'functionSignature', {_signature(f'{m}.signature')}) as {_MEMBER})"
+            f" 'functionSignature', {_signature(f'{m}.signature')}, 'required', cast(null as boolean)) as {_MEMBER})"
         )
 
     def class_info(c: str) -> str:

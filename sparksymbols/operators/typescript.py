@@ -49,16 +49,18 @@ _MEMBER_START = f"(?:^|(?<=[;}}\\n]))\\s*+{_DECORATORS}"
 # A method's parameters are blank in the outer level of a block; its generics are not, and are passed by their depth.
 _METHOD_OPEN = "(?:\\((?=\\s*+\\))|<)"
 _METHOD = "(?Ud)" + f"{_MEMBER_START}{_MODIFIERS}(\\*\\s*+)?(#?{R.NAME})\\s*+\\??\\s*+{_METHOD_OPEN}"
+# The type of a field in the outer level of a block, where braces and parentheses hold blanks only.
+_FIELD_TYPE = f"((?:{R.BRACES}|{R.PARENTHESES}|=>|[^=;\\n{{])++)"
 # A field has a type, a value, or ends after its name.
 _PROPERTY = "(?Ud)" + (
-    f"{_MEMBER_START}{_MODIFIERS}(#?{R.NAME})[ \\t]*+[?!]?[ \\t]*+(?::\\s*+((?:=>|[^=;\\n])++)|(?=\\s*+=(?![=>]))|(?=;|\\n|$))"
+    f"{_MEMBER_START}{_MODIFIERS}(#?{R.NAME})[ \\t]*+(?:(\\?)|!)?[ \\t]*+(?::\\s*+{_FIELD_TYPE}|(?=\\s*+=(?![=>]))|(?=;|\\n|$))"
 )
 _PROPERTY_FORM = f"{_MEMBER_START}{_MODIFIERS}({R.NAME})\\s*+:\\s*+"
 _SIMPLE_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+)(?:\\s*+=\\s*+[^;]+)?;"
 _ARRAY_PROPERTY = "(?Ud)" + f"{_PROPERTY_FORM}(\\w+\\[\\s*+\\])"
 _FIELD_START = "(?:^|(?<=[;,}\\n]))\\s*+"
 _FIELD_METHOD = "(?Ud)" + f"{_FIELD_START}()()({R.NAME})\\s*+\\??\\s*+{_METHOD_OPEN}"
-_FIELD_PROPERTY = "(?Ud)" + f"{_FIELD_START}(?:readonly\\s++)?({R.NAME})\\s*+(\\?)?\\s*+:\\s*+([^=;,\\n]++)"
+_FIELD_PROPERTY = "(?Ud)" + f"{_FIELD_START}(?:readonly\\s++)?({R.NAME})\\s*+(\\?)?\\s*+:\\s*+((?:{R.BRACES}|{R.PARENTHESES}|=>|[^=;,\\n{{])++)"
 
 _EXPORT_ROW = "struct<rule_no:int,pos:int,name:string,type:string,visibility:string,line:int>"
 
@@ -318,8 +320,9 @@ def _line(c: str, m: str) -> str:
     return f"{c}.block_line + {m}.line - 1 + {newlines(lead)}"
 
 
-def _visibility(modifiers: str) -> str:
-    return f"if({modifiers} rlike {lit(_ACCESS)}, 'private', 'public')"
+def _visibility(modifiers: str, name: str) -> str:
+    """Private by a modifier or by the mark that starts the name."""
+    return f"if({modifiers} rlike {lit(_ACCESS)} or {name} like '#%', 'private', 'public')"
 
 
 def _method_spans(kind: str, pattern: str) -> str:
@@ -338,7 +341,8 @@ def _method_spans(kind: str, pattern: str) -> str:
             modifiers = f"regexp_extract({head}, {lit(pattern)}, 1)"
             return (
                 f"named_struct('owner', {c}.name, 'owner_pos', {c}.pos, 'owner_kind', {c}.kind,"
-                f" 'name', regexp_extract({head}, {lit(pattern)}, 3), 'visibility', {_visibility(modifiers)},"
+                f" 'name', regexp_extract({head}, {lit(pattern)}, 3),"
+                f" 'visibility', {_visibility(modifiers, f'regexp_extract({head}, {lit(pattern)}, 3)')},"
                 f" 'pos', {m}.start, 'line', {_line(c, m)}, 'is_async', {modifiers} rlike r'\\basync\\b',"
                 f" 'is_generator', {group(head, pattern, 2)} is not null,"
                 f" 'after', substring({c}.block, {at}, {size}), 'same', substring({c}.same, {at}, {size}))"
@@ -376,12 +380,16 @@ def _fields(kind: str, pattern: str, visibility_group: int, name_group: int, opt
         def part(number: int) -> str:
             return f"regexp_extract({m}.text, {lit(pattern)}, {number})"
 
-        visibility = _visibility(part(visibility_group)) if visibility_group else "'public'"
+        # Blanks stand in the outer level where the text has more; the type is what a match ends with.
+        size = f"length({part(type_group)})"
+        written = bind(size, lambda n: f"substring({c}.same, {m}.start + length({m}.text) - {n} + 1, {n})")
+        written = written if pattern in (_PROPERTY, _FIELD_PROPERTY) else part(type_group)
+        visibility = _visibility(part(visibility_group), part(name_group)) if visibility_group else "'public'"
         required = f"{part(optional_group)} = ''" if optional_group else "true"
         return (
             f"named_struct('owner', {c}.name, 'owner_pos', {c}.pos, 'name', {part(name_group)},"
             f" 'visibility', {visibility}, 'pos', {m}.start, 'line', {_line(c, m)},"
-            f" 'type', coalesce(nullif({trimmed(part(type_group))}, ''), 'any'), 'required', {required})"
+            f" 'type', coalesce(nullif({trimmed(written)}, ''), 'any'), 'required', {required})"
         )
 
     found = each(_of_kind(kind), lambda c, _: each(find_all(f"{c}.outer", pattern), lambda m, _: one(c, m)))
@@ -416,7 +424,7 @@ def with_declarations(
         simple = f"concat({_fields('class', _SIMPLE_PROPERTY, 1, 2, 0, 3)}, {_fields('class', _ARRAY_PROPERTY, 1, 2, 0, 3)})"
         made["classes"] = extend(_of_kind("class"), ("name", "line", "pos"), lambda c: _heritage(f"{c}.clause"))
         made["methods"] = F.expr(_callables("class"))
-        made["properties"] = F.expr(_fields("class", _PROPERTY, 1, 2, 0, 3))
+        made["properties"] = F.expr(_fields("class", _PROPERTY, 1, 2, 3, 4))
         made["simple_properties"] = F.expr(simple)
     if interfaces:
         made["interfaces"] = extend(_of_kind("interface"), ("name", "line", "pos"), lambda c: _parents(f"{c}.clause"))

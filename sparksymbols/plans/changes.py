@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksymbols import bindings as B
+from sparksymbols.operators import commits as C
+from sparksymbols.operators import extract
 from sparksymbols.operators import gates as G
 from sparksymbols.operators import joins as J
 from sparksymbols.operators import metrics as A
 from sparksymbols.operators import mutations as M
+from sparksymbols.operators.rules import Rule, RuleRegistry
 from sparksymbols.plans import registry as R
 from sparksymbols.plans.lookups import CUT, KEYS, LATEST, events_table
 from sparksymbols.plans.registry import query
@@ -167,6 +170,42 @@ def repo_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return A.repo_rollup(index, "repoId", "fileHash", "ts", "event_id")
 
 
+JSON_RULES = RuleRegistry([Rule("json", 1, '"k": (\\d+)', "variable")])
+
+
+@query(
+    "E3_commit_pipeline",
+    f"WITH {DIFF_SQL.replace('SELECT repoId, filePath, hour, fileHash FROM hourly', 'SELECT repoId, filePath, hour, fileHash, content, ts, event_id FROM hourly')},"
+    " changed AS (SELECT repoId, count(*) FILTER (WHERE change_type = 'A') AS added, count(*) FILTER (WHERE change_type = 'D') AS deleted,"
+    " count(*) FILTER (WHERE change_type = 'M') AS modified FROM diff WHERE change_type IS NOT NULL GROUP BY repoId),"
+    " index AS (SELECT new.repoId, new.fileHash, if(old.fileHash = new.fileHash, old.ts, new.ts) AS ts,"
+    " if(old.fileHash = new.fileHash, old.event_id, new.event_id) AS event_id, new.content"
+    " FROM new LEFT JOIN old USING (repoId, filePath, hour)),"
+    " rolled AS (SELECT repoId, count(*) AS processed, arg_max(fileHash, (ts, event_id)) AS last_hash, max(ts) AS last_ts,"
+    " sum(CAST(regexp_extract(content, '\"k\": (\\d+)', 1) AS BIGINT))::BIGINT AS named FROM index GROUP BY repoId)"
+    ' SELECT repoId, coalesce(added, 0) AS added, coalesce(deleted, 0) AS deleted, coalesce(modified, 0) AS modified,'
+    ' coalesce(processed, 0) AS "processedFiles", last_hash AS "lastProcessedCommit", last_ts AS "lastProcessedCommitTimestamp",'
+    " coalesce(named, 0) AS named FROM rolled FULL JOIN changed USING (repoId)",
+)
+def commit_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """One commit from end to end: difference, gate, parsing of what passed, upserts and deletes, summary and roll-up."""
+    changes = B.events_as_changes(spark, folder).select(*NARROW, "content", F.hour("ts").alias("hour"))
+    before, after = (M.latest_per_key(changes.where(F.expr(t)), HOURLY, ["ts", "event_id"]) for t in (BEFORE, AFTER))
+
+    def parse(files: DataFrame) -> DataFrame:
+        return extract.dispatch(files.withColumn("language", F.lit("json")), JSON_RULES)
+
+    index = checkpointed(parse(before).drop("content", "language"))
+    commit = C.process_commit(index, before, after, parse, HOURLY, ["ts", "event_id"], ["event_id"])
+    commit = commit._replace(index=checkpointed(commit.index), diff=checkpointed(commit.diff))
+    report = C.commit_report(commit, "repoId", "fileHash", "ts", "event_id")
+    named = commit.index.select("repoId", F.explode("symbols.name").alias("name")).groupBy("repoId").agg(F.sum(F.col("name").cast("bigint")).alias("named"))
+    return report.join(named, "repoId", "left").select(
+        "repoId", "added", "deleted", "modified", "processedFiles", "lastProcessedCommit", "lastProcessedCommitTimestamp",
+        F.coalesce("named", F.lit(0)).alias("named"),
+    )
+
+
 @query("W3_latest_per_key", f"WITH {R.CHANGES} {LATEST}")
 def latest_per_key(spark: SparkSession, folder: str) -> DataFrame:
     rows = M.latest_per_key(B.events_as_changes(spark, folder).select(*NARROW), KEYS, ["ts", "event_id"])

@@ -105,23 +105,23 @@ def export_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FORM_MEMBERS = [
-    ("properties", "label", 12, "", ""),
-    ("properties", "changed", 14, "", ""),
-    ("properties", "count", 15, "", ""),
-    ("properties", "MAX", 16, "", ""),
-    ("properties", "handler", 17, "", ""),
-    ("constructors", "constructor", 18, "token,log", "any"),
-    ("methods", "fetch", 20, "id", "One"),
-    ("methods", "onEvent", 22, "e", "{ a: string }"),
+    ("properties", "label", "string", 12, "", ""),
+    ("properties", "changed", "any", 14, "", ""),
+    ("properties", "count", "any", 15, "", ""),
+    ("properties", "MAX", "any", 16, "", ""),
+    ("properties", "handler", "any", 17, "", ""),
+    ("constructors", "constructor", "function", 18, "token,log", "any"),
+    ("methods", "fetch", "function", 20, "id", "One"),
+    ("methods", "onEvent", "function", 22, "e", "{ a: string }"),
 ]
 
 
 @query(
     "X12_member_forms",
     ts_sql(
-        'kind, name, j, params, "returnType"',
+        'kind, name, type, j, params, "returnType"',
         FORM_MEMBERS,
-        "filePath, 'Form' || n AS owner, 'Base' AS extends, kind, name, CAST(base + j AS INT) AS line, params, \"returnType\"",
+        "filePath, 'Form' || n AS owner, 'Base' AS extends, kind, name, type, CAST(base + j AS INT) AS line, params, \"returnType\"",
     ),
 )
 def member_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,13 +129,13 @@ def member_forms(spark: SparkSession, folder: str) -> DataFrame:
     index = extract.index_files(B.spread(B.typescript_forms(spark, folder)))
     kinds = ", ".join(
         f"transform(e.classInfo.{kind}, m -> named_struct('owner', e.name, 'extends', e.classInfo.extends, 'kind', '{kind}',"
-        " 'name', m.name, 'line', m.lineNumber, 'params', coalesce(array_join(m.functionSignature.parameters.name, ','), ''),"
+        " 'name', m.name, 'type', m.type, 'line', m.lineNumber, 'params', coalesce(array_join(m.functionSignature.parameters.name, ','), ''),"
         " 'returnType', coalesce(m.functionSignature.returnType, '')))"
         for kind in ("properties", "constructors", "methods")
     )
     members = f"flatten(transform(filter(exports, e -> e.classInfo is not null), e -> concat({kinds})))"
     rows = nested.entries(index, F.expr(members), ["filePath"])
-    return rows.select("filePath", "owner", "extends", "kind", "name", "line", "params", "returnType")
+    return rows.select("filePath", "owner", "extends", "kind", "name", "type", "line", "params", "returnType")
 
 
 @query(
@@ -285,8 +285,10 @@ def damaged_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "X8_fallback_choice",
-    f"WITH {R.CODE} SELECT replace(filePath, '{{suffix}}', '.ts') AS filePath, 'primary' AS source_rule, 12 AS symbols FROM docs"
-    " UNION ALL SELECT replace(filePath, '{suffix}', '.py'), 'fallback', 5 FROM docs",
+    f"WITH {R.CODE} SELECT replace(filePath, '{{suffix}}', '.ts') AS filePath, 'primary' AS source_rule, {fill('name')} AS name, type,"
+    f" CAST(base + j + after_methods * k AS INT) AS line FROM docs, {facts(EXPORT_COLUMNS, TS_EXPORTS)}"
+    " UNION ALL SELECT replace(filePath, '{suffix}', '.py'), 'fallback',"
+    f" {fill('name')}, type, CAST(base + j + after_methods * k AS INT) FROM docs, {facts(EXPORT_COLUMNS, PY_EXPORTS)}",
 )
 def fallback_choice(spark: SparkSession, folder: str) -> DataFrame:
     """Read every file with the TypeScript rules first, and with the Python rules where those find nothing."""
@@ -294,7 +296,7 @@ def fallback_choice(spark: SparkSession, folder: str) -> DataFrame:
     code = mask.with_code(typescript.with_code(B.spread(files)).drop("code", "plain"), "python")
     same = "transform({}, s -> named_struct('name', s.name, 'type', s.type, 'line', s.line))"
     chosen = extract.with_fallback(code, same.format(typescript.exports()), same.format(python_lang.exports()))
-    return chosen.select("filePath", "source_rule", F.size("symbols").alias("symbols"))
+    return nested.entries(chosen, "symbols", ["filePath", "source_rule"]).select("filePath", "source_rule", "name", "type", "line")
 
 
 @query(
@@ -796,19 +798,31 @@ def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+INDEX_ROWS = [
+    (5, 0, "function", "fn<n>", False), (9, 0, "function", "gen<n>", False), (13, 0, "function", "over<n>", False),
+    (14, 0, "interface", "Shape<n>", False), (19, 0, "type", "Alias<n>", False), (20, 0, "variable", "value<n>", False),
+    (21, 0, "variable", "one<n>", False), (21, 0, "variable", "three<n>", False), (22, 0, "class", "Svc<n>", True),
+    (31, 1, "variable", "Svc<n>", False),
+]
+PY_INDEX_ROWS = [(j, after, kind, name, kind == "class") for j, after, _, kind, name in PY_EXPORTS]
+
+
+def _index_sql(suffix: str, language: str, members: int, rows: list[tuple]) -> str:
+    return (
+        f"SELECT replace(filePath, '{{suffix}}', '{suffix}') AS filePath, '{language}' AS language, {fill('name')} AS name, type,"
+        f" CAST(base + j + after_methods * k AS INT) AS line, 5 AS imports, if(owner, {members} + k, 0) AS members"
+        f" FROM docs, {facts('j, after_methods, type, name, owner', rows)}"
+    )
+
+
 @query(
     "E1_index_files",
-    f"WITH {R.CODE} SELECT replace(filePath, '{{suffix}}', '.ts') AS filePath, 'typescript' AS language, 10 AS exports,"
-    " 5 AS imports, 6 + k AS methods FROM docs UNION ALL SELECT replace(filePath, '{suffix}', '.py'), 'python', 5, 5, 3 + k FROM docs",
+    f"WITH {R.CODE} {_index_sql('.ts', 'typescript', 6, INDEX_ROWS)} UNION ALL {_index_sql('.py', 'python', 3, PY_INDEX_ROWS)}",
 )
 def index_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The full load: generated files of both languages to nested index rows."""
+    """The full load: generated files of both languages to nested index rows; every export with its name, type and line."""
     files = B.typescript_files(spark, folder).unionByName(B.python_files(spark, folder))
     index = extract.index_files(B.spread(files))
-    count = F.expr(
-        "aggregate(exports, 0, (a, e) -> a + coalesce(size(e.classInfo.methods) + size(e.classInfo.constructors)"
-        " + size(e.classInfo.properties), 0))"
-    )
-    return index.select(
-        "filePath", "language", F.size("exports").alias("exports"), F.size("imports").alias("imports"), count.alias("methods")
-    )
+    exports = nested.entries(index.withColumn("n_imports", F.size("imports")), "exports", ["filePath", "language", "n_imports"])
+    members = "coalesce(size(classInfo.methods) + size(classInfo.constructors) + size(classInfo.properties), 0)"
+    return exports.selectExpr("filePath", "language", "name", "type", "lineNumber as line", "n_imports as imports", f"{members} as members")

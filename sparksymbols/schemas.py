@@ -26,7 +26,8 @@ OVERLOAD = _struct(*_SIGNATURE_FIELDS)
 FUNCTION_SIGNATURE = _struct(*_SIGNATURE_FIELDS, ("overloads", T.ArrayType(OVERLOAD)))
 
 MEMBER = _struct(
-    ("name", STRING), ("type", STRING), ("visibility", STRING), ("lineNumber", INT), ("functionSignature", OVERLOAD)
+    ("name", STRING), ("type", STRING), ("visibility", STRING), ("lineNumber", INT), ("functionSignature", OVERLOAD),
+    ("required", BOOL),
 )
 CLASS_INFO = _struct(
     ("extends", STRING),

@@ -231,6 +231,32 @@ export const {{ p: {{ q: {{ r }} }}, s: [[t]] }} = {{}}, u = 1;
     assert call["functionSignature"]["returnType"] == deep and rows["Wide", "interface"]["interfaceInfo"]["extends"] == ["Base"]
 
 
+def test_index_rows_keep_property_types(index):
+    code = """export class Box<T> {
+  plain = 1;
+  wide?: Map<string, { a: T; b: [T] }> = new Map();
+  sure!: (x: { y: T }) => void;
+  #count: number = 0;
+  private hidden: string;
+  #run(): void {}
+}
+export interface Form {
+  nested: {
+    a: string;
+  };
+  call?: (x: number, y: string) => void, last: string[]
+}
+"""
+    box, form = index(code)["exports"]
+    assert names(box["classInfo"]["properties"], "name", "type", "required") == [
+        ("plain", "any", True), ("wide", "Map<string, { a: T; b: [T] }>", False), ("sure", "(x: { y: T }) => void", True)
+    ]
+    assert names(box["classInfo"]["methods"], "name", "type", "visibility", "required") == [("#run", "function", "private", None)]
+    assert names(form["interfaceInfo"]["properties"], "name", "type", "required") == [
+        ("nested", "{\n    a: string;\n  }", True), ("call", "(x: number, y: string) => void", False), ("last", "string[]", True)
+    ]
+
+
 def test_default_export_beside_a_class(index):
     assert names(index(GENERIC)["exports"], "name", "type") == [("RouteTable", "class"), ("RouteTable", "variable")]
 
