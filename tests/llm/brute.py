@@ -117,32 +117,46 @@ def template_tokens(text, units):
 
 
 def contaminated(docs, items, units, width=10):
-    """Pairs (id, item) of (id, text) and (item, text) that share a window under one consistent renaming of values."""
+    """Pairs (id, item) of (id, text) and (item, text) that share a window.
+
+    Windows of up to half slots match by their template, others by their literal words only. In windows at one distance
+    a name stands for one name, and different ones for different ones; else only windows with the item's values count.
+    """
+
+    def slots(window):
+        return sum(k != "w" for k, _ in window)
 
     def template(window):
         return tuple((k, "" if k != "w" else v) for k, v in window)
 
-    known = defaultdict(set)
+    templates, literals = defaultdict(set), defaultdict(set)
     for item, text in items:
         tokens = template_tokens(text, units)
         for variant in (tokens, [("w", v) if k == "a" else (k, v) for k, v in tokens]):
             size = min(width, len(variant))
             for p in range(len(variant) - size + 1 if size else 0):
                 window = variant[p : p + size]
-                if 2 * sum(k != "w" for k, _ in window) <= size:
-                    known[template(window)].add((item, p, tuple(v for k, v in window if k != "w")))
-    sizes = {len(t) for t in known}
-    pairs = defaultdict(set)
+                if 2 * slots(window) <= size:
+                    templates[template(window)].add((item, p, tuple(window)))
+                if 2 * (slots(window) + 1) > size:
+                    literals[tuple(v for _, v in window)].add((item, p))
+    sizes = {len(t) for t in templates} | {len(t) for t in literals}
+    met = defaultdict(list)
     for doc, text in docs:
         tokens = template_tokens(text, units)
         for size in sizes:
             for p in range(len(tokens) - size + 1):
                 window = tokens[p : p + size]
-                values = tuple(v for k, v in window if k != "w")
-                for item, at, theirs in known.get(template(window), ()):
-                    pairs[doc, item, p - at] |= {*zip(theirs, values, strict=True)}
+                for item, at, theirs in templates.get(template(window), ()):
+                    names = {(v, u) for (k, v), (_, u) in zip(theirs, window, strict=True) if k == "a"}
+                    met[doc, item, p - at].append((theirs == tuple(window), names))
+                if 2 * slots(window) > size:
+                    for item, at in literals.get(tuple(v for _, v in window), ()):
+                        met[doc, item, p - at].append((True, set()))
     good = set()
-    for (doc, item, _), both in pairs.items():
-        if len(both) == len({a for a, _ in both}) == len({b for _, b in both}):
+    for (doc, item, _), windows in met.items():
+        both = set().union(*(names for _, names in windows))
+        fits = len(both) == len({a for a, _ in both}) == len({b for _, b in both})
+        if fits or any(own for own, _ in windows):
             good.add((doc, item))
     return good

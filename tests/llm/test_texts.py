@@ -79,6 +79,35 @@ def test_licence_files(spark):
 QUESTION = "A farmer called Anna sells 12 baskets and Anna keeps 7 of them for 3 hours while the rest go to market quickly"
 
 
+def test_contaminated_against_plain_loops(spark):
+    """Random passages of words, numbers, names and units, copied with some values changed, against the plain rule."""
+    rng = random.Random(12)
+    words = [a + b for a in "ka lo mi ne ru".split() for b in "na pe ri".split()]
+
+    def passage(n, odd):
+        out = []
+        while len(out) < n:
+            kind = rng.choices(["w", "n", "a", "u"], [1 - odd, odd / 2, odd / 4, odd / 4])[0]
+            out += {"w": [rng.choice(words)], "n": [str(rng.randrange(4))], "a": ["on", rng.choice(["Anna", "Bert", "Carl"])], "u": [str(rng.randrange(3)), rng.choice(["km", "kg"])]}[kind]
+        return out
+
+    def changed(tokens, share):
+        swap = lambda t: rng.choice(["Anna", "Bert", "Dora"]) if t[0].isupper() else str(rng.randrange(9)) if t.isdigit() else t
+        return [swap(t) if rng.random() < share else t for t in tokens]
+
+    items = [(i, passage(rng.choice([3, 9, 10, 14, 25]), rng.choice([0.0, 0.2, 0.6]))) for i in range(40)]
+    docs = []
+    for i in range(160):
+        _, tokens = rng.choice(items)
+        start = rng.randrange(max(1, len(tokens) - 9))
+        part = changed(tokens[start : start + rng.choice([8, 12, 30])], rng.choice([0, 0.1, 0.5]))
+        docs.append((i, " ".join(passage(rng.randrange(8), 0.3) + part + passage(rng.randrange(8), 0.3)), "s"))
+    items = [(i, " ".join(tokens)) for i, tokens in items]
+    want = brute.contaminated([(i, t) for i, t, _ in docs], items, decontamination.UNITS)
+    got = decontamination.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and 40 < len(want) < 6000
+
+
 def test_contaminated(spark):
     items = spark.createDataFrame([(1, QUESTION), (2, "only five words in here"), (3, None), (4, ""), (5, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id int, text string")
     swapped = QUESTION.replace("Anna", "Maria").replace("12", "1,250").replace("hours", "minutes")
