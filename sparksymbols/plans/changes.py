@@ -442,5 +442,4 @@ def live_progress(spark: SparkSession, folder: str) -> DataFrame:
     rows = events.withColumn("repoId", F.col("user_id").cast("string"))
     path = scratch_path(spark, "progress")
     T.write_progress(T.live_progress(rows, ["repoId"], F.expr(OUTCOME_SQL)), path, scratch_path(spark, "offsets")).awaitTermination()
-    rows = spark.read.parquet(path)
-    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+    return T.read_progress(spark, path, ["repoId"])

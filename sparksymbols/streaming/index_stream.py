@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -104,15 +104,20 @@ def live_progress(changes: DataFrame, keys: Sequence[str], outcome: Column) -> D
 
 
 def write_progress(progress: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the whole state of the counts after each batch to ``path/batch=n``."""
+    """Write the counts of the keys that a batch has changed to ``path/batch=n``; a repeated batch writes the same rows."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        progress.writeStream.outputMode("complete")
+        progress.writeStream.outputMode("update")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_progress(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The counts of each key after the last batch that has changed it."""
+    return latest_per_key(spark.read.parquet(path), keys, ["batch"]).drop("batch")

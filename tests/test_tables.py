@@ -181,8 +181,17 @@ def test_live_progress(spark, feed, tmp_path):
     progress = T.live_progress(stream, ["repoId"], outcome)
     T.write_progress(progress, str(tmp_path / "out"), str(tmp_path / "offsets")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
-    last = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).collect()
     assert out.select("batch").distinct().count() == 3
+    last = T.read_progress(spark, str(tmp_path / "out"), ["repoId"]).collect()
+    assert {r.repoId for r in last} == {repo for _, repo, *_ in rows}
+    # A later batch that touches one key writes that key only.
+    new = [(9_000, rows[0][1], "src/z.ts", "c0", 1)]
+    changes(spark, new).drop("t").coalesce(1).write.mode("append").parquet(path)
+    T.write_progress(T.live_progress(landing.stream_changes(spark, path, schema=spark.read.parquet(path).schema), ["repoId"], outcome), str(tmp_path / "out"), str(tmp_path / "offsets")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert [r.repoId for r in out.where("batch = 3").collect()] == [rows[0][1]]
+    rows = [*rows, *new]
+    last = T.read_progress(spark, str(tmp_path / "out"), ["repoId"]).collect()
     for r in last:
         mine = [c for _, repo, _, c, _ in rows if repo == r.repoId]
         assert (r.total, r.failed, r.skipped) == (len(mine), mine.count("c0"), mine.count("c1"))
@@ -225,6 +234,26 @@ def test_tree_scan(spark, tmp_path):
     assert [r.filePath for r in landing.tree_scan(landing.scan_trees(roots)).collect()] == sorted(found)
 
 
+def test_one_root_is_listed_by_many_tasks(spark, tmp_path):
+    """Names that start with a dot or an underscore, folders deeper than the levels, links, empty folders, several roots."""
+    want = set()
+    for i in range(40):
+        for name in (f"a{i % 5}/b{i}/f{i}.py", f"a{i % 5}/b{i}/c/d/_e/.g{i}.py", f".h{i}.py", f"_k/{i}.py"):
+            path = tmp_path / "one" / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text("x")
+            want.add(("r", name))
+    (tmp_path / "one" / "empty").mkdir()
+    (tmp_path / "one" / "a0" / "link").symlink_to(tmp_path / "one" / "a1")
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "only.py").write_text("x")
+    roots = spark.createDataFrame([("r", str(tmp_path / "one")), ("s", str(tmp_path / "two")), ("t", str(tmp_path / "none"))], "repoId string, root string")
+    listed = landing.list_trees(roots, tasks=8)
+    assert {(r.repoId, r.filePath) for r in listed.collect()} == want | {("s", "only.py"), ("r", "a0/link")}
+    deep = listed.where("filePath like '%/c/d/%'").select(F.spark_partition_id().alias("p")).distinct()
+    assert deep.count() > 3
+
+
 def test_changes_from_json(spark, tmp_path):
     (tmp_path / "feed").mkdir()
     (tmp_path / "feed" / "a.json").write_text(
