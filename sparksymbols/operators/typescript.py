@@ -245,14 +245,24 @@ def with_overloads(functions: str = "functions") -> str:
         with_body = keep(all_, lambda o: f"{o}.name = {f}.name and {o}.signature.hasBody")
         return f"{f}.pos = coalesce(get({with_body}, 0).pos, get({same}, 0).pos)"
 
-    def grouped(all_: str) -> str:
+    def grouped(all_: str, names: str, several: str) -> str:
+        """Only declarations whose name comes again look at each other; ``names`` and ``several`` are these."""
+        again = lambda f: f"array_contains({names}, {f}.name)"
         return each(
-            keep(all_, lambda f: is_main(f, all_)),
-            lambda f, _: f"named_struct('name', {f}.name, 'line', {f}.line, 'pos', {f}.pos,"
-            f" 'signature', {f}.signature, 'overloads', {others(f, all_)})",
+            keep(all_, lambda f: f"not {again(f)} or {is_main(f, several)}"),
+            lambda f, _: f"named_struct('name', {f}.name, 'line', {f}.line, 'pos', {f}.pos, 'signature', {f}.signature,"
+            f" 'overloads', {others(f, several)})",
         )
 
-    return bind(functions, grouped)
+    def with_names(all_: str, names: str) -> str:
+        return bind(keep(all_, lambda f: f"array_contains({names}, {f}.name)"), lambda several: grouped(all_, names, several))
+
+    def repeated(all_: str) -> str:
+        """Names that more than one declaration has: equal neighbours once they are sorted."""
+        twice = lambda s: f"array_distinct(filter({s}, (x, i) -> i > 0 and x = {s}[i - 1]))"
+        return bind(f"array_sort(transform({all_}, f -> f.name))", twice)
+
+    return bind(functions, lambda all_: bind(repeated(all_), lambda names: with_names(all_, names)))
 
 
 def simple_signatures(functions: str = "functions") -> str:
