@@ -17,7 +17,10 @@ from collections.abc import Callable
 UNICODE = "(?Ud)"
 MULTILINE = "(?Udm)"
 
-_BLOCK = 64
+#: Values that are summed up, and brackets that are walked over, in one go.
+_RUN = 64
+#: Of two counts in one long, one of the upper.
+_ONE = 1 << 32
 _names = itertools.count()
 
 
@@ -50,12 +53,13 @@ def keep(items: str, test: Callable[[str], str]) -> str:
 
 def newlines(text: str) -> str:
     """Number of line breaks in ``text``."""
-    return f"(length({text}) - length(replace({text}, '\\n', '')))"
+    return f"if(contains({text}, '\\n'), length({text}) - length(replace({text}, '\\n', '')), 0)"
 
 
 def blank(text: str) -> str:
     """``text`` with every character but line breaks turned into a blank (offsets and lines stay)."""
-    return f"array_join({each(f"split({text}, '\\n', -1)", lambda line, _: f"repeat(' ', length({line}))")}, '\\n')"
+    lines = f"array_join({each(f"split({text}, '\\n', -1)", lambda line, _: f"repeat(' ', length({line}))")}, '\\n')"
+    return f"if(contains({text}, '\\n'), {lines}, repeat(' ', length({text})))"
 
 
 def no_items(of: str) -> str:
@@ -68,38 +72,29 @@ def indices(n: str) -> str:
     return f"if({n} > 0, sequence(0, {n} - 1), {no_items('int')})"
 
 
-def total(items: str) -> str:
+def total(items: str, none: str = "0") -> str:
     a, v = fresh("a"), fresh("n")
-    return f"aggregate({items}, 0, ({a}, {v}) -> {a} + {v})"
+    return f"aggregate({items}, {none}, ({a}, {v}) -> {a} + {v})"
 
 
-def running_sum(values: str) -> str:
-    """Inclusive running sums of an int array.
+def running_sum(values: str, none: str = "0") -> str:
+    """Inclusive running sums of an array of ints (of longs with ``none`` = ``0L``).
 
-    Two levels of blocks keep the work near-linear: a flat ``aggregate`` that appends to an array would
-    copy the array for each element.
+    Runs of bounded length start with the sum of what comes before them, so the work is near-linear: one ``aggregate``
+    that appends to an array copies the array for each element.
     """
 
-    def with_blocks(v: str) -> str:
-        count = f"((size({v}) + {_BLOCK - 1}) div {_BLOCK})"
-        blocks = each(
-            indices(f"cast({count} as int)"), lambda b, _: total(f"slice({v}, {b} * {_BLOCK} + 1, {_BLOCK})")
-        )
-
-        def with_starts(sums: str) -> str:
-            starts = each(sums, lambda _, b: total(f"slice({sums}, 1, {b})"))
-            return bind(
-                starts,
-                lambda s: each(
-                    v,
-                    lambda _, i: f"{s}[cast({i} div {_BLOCK} as int)]"
-                    f" + {total(f'slice({v}, {i} - {i} % {_BLOCK} + 1, {i} % {_BLOCK} + 1)')}",
-                ),
-            )
+    def summed(run: str, start: str) -> str:
+        a, x = fresh("a"), fresh("x")
+        return f"slice(aggregate({run}, array({start}), ({a}, {x}) -> array_append({a}, element_at({a}, -1) + {x})), 2, {_RUN})"
 
-        return bind(blocks, with_starts)
+    def of_runs(v: str) -> str:
+        count = f"cast((size({v}) + {_RUN - 1}) div {_RUN} as int)"
+        sums = each(indices(count), lambda r, _: total(f"slice({v}, {r} * {_RUN} + 1, {_RUN})", none))
+        starts = bind(sums, lambda s: each(s, lambda _, r: total(f"slice({s}, 1, {r})", none)))
+        return f"flatten({each(starts, lambda start, r: summed(f'slice({v}, {r} * {_RUN} + 1, {_RUN})', start))})"
 
-    return bind(values, with_blocks)
+    return bind(values, lambda v: f"if(size({v}) <= {_RUN}, {summed(v, none)}, {of_runs(v)})")
 
 
 SPAN = "struct<start:int,line:int,text:string,tail:string>"
@@ -113,17 +108,17 @@ def find_all(content: str, pattern: str) -> str:
     """
 
     def spans(gaps: str, found: str) -> str:
-        chars = each(found, lambda m, i: f"length({gaps}[{i}]) + length({m})")
-        lines = each(found, lambda m, i: f"{newlines(f'{gaps}[{i}]')} + {newlines(m)}")
+        # Characters in the upper half of a number, lines in the lower one.
+        sizes = each(
+            found,
+            lambda m, i: f"(length({gaps}[{i}]) + length({m})) * {_ONE}L + {newlines(f'{gaps}[{i}]')} + {newlines(m)}",
+        )
         rows = bind(
-            running_sum(chars),
-            lambda ends: bind(
-                running_sum(lines),
-                lambda breaks: each(
-                    found,
-                    lambda m, i: f"named_struct('start', {ends}[{i}] - length({m}),"
-                    f" 'line', {breaks}[{i}] - {newlines(m)} + 1, 'text', {m}, 'tail', {gaps}[{i} + 1])",
-                ),
+            running_sum(sizes, "0L"),
+            lambda ends: each(
+                found,
+                lambda m, i: f"named_struct('start', cast({ends}[{i}] div {_ONE}L as int) - length({m}),"
+                f" 'line', cast({ends}[{i}] % {_ONE}L as int) - {newlines(m)} + 1, 'text', {m}, 'tail', {gaps}[{i} + 1])",
             ),
         )
         return f"if(size({found}) > 0, {rows}, {no_items(SPAN)})"
@@ -158,14 +153,20 @@ def brace_end(text: str) -> str:
 
 
 def closing_offset(text: str, delimiters: str, openers: str) -> str:
-    """Offset of the delimiter that brings the depth below that of the start of ``text``; null if none does."""
+    """Offset of the delimiter that brings the depth below that of the start of ``text``; null if none does.
+
+    One pass counts delimiters and the depth, which starts at one; at none it stays as it is.
+    """
     opening = ", ".join(f"'{o}'" for o in openers)
 
     def at(t: str) -> str:
-        steps = each(f"regexp_extract_all({t}, {lit(delimiters)}, 0)", lambda d, _: f"if({d} in ({opening}), 1, -1)")
-        place = f"cast(array_position({running_sum(steps)}, -1) as int)"
-        lengths = each(f"split({t}, {lit(delimiters)}, -1)", lambda g, _: f"length({g})")
-        return bind(place, lambda k: f"if({k} = 0, null, {total(f'slice({lengths}, 1, {k})')} + {k} - 1)")
+        a, d = fresh("a"), fresh("d")
+        step = f"if({d} in ({opening}), {_ONE + 1}L, {_ONE - 1}L)"
+        found = f"regexp_extract_all({t}, {lit(delimiters)}, 0)"
+        walked = f"aggregate({found}, 1L, ({a}, {d}) -> if({a} % {_ONE}L = 0L, {a}, {a} + {step}))"
+        place = bind(walked, lambda w: f"if({w} % {_ONE}L = 0L, cast({w} div {_ONE}L as int), 0)")
+        lengths = lambda k: each(f"slice(split({t}, {lit(delimiters)}, {k} + 1), 1, {k})", lambda g, _: f"length({g})")
+        return bind(place, lambda k: f"if({k} = 0, null, {total(lengths(k))} + {k} - 1)")
 
     return bind(text, at)
 
@@ -198,31 +199,40 @@ def split_at(shape: str, original: str, separator: str) -> str:
 
 
 def top_level(text: str, delimiters: str = "[{}]", openers: str = "{") -> str:
-    """``text`` with everything inside nested blocks blanked; the outer delimiters stay."""
+    """``text`` with everything inside nested blocks blanked; the outer delimiters stay.
+
+    Runs of delimiters are walked in one pass each, from the depth that the runs before them lead to.
+    """
     opening = ", ".join(f"'{o}'" for o in openers)
 
-    def joined(gaps: str, found: str, depth: str) -> str:
-        def piece(g: str, i: str) -> str:
-            here = f"if({i} = 0, 0, {depth}[{i} - 1])"
-            delimiter = (
-                f"if({i} >= size({found}), '',"
-                f" if(least({here}, {depth}[least({i}, size({found}) - 1)]) <= 0, get({found}, {i}), ' '))"
-            )
-            return f"concat(if({here} <= 0, {g}, {blank(g)}), {delimiter})"
+    def depths(found: str) -> str:
+        """The depth at which each run starts."""
+        step = lambda d, _: f"if({d} in ({opening}), 1, -1)"
+        runs = each(indices(f"cast(size({found}) div {_RUN} as int) + 1"), lambda r, _: total(each(f"slice({found}, {r} * {_RUN} + 1, {_RUN})", step)))
+        several = bind(runs, lambda sums: each(sums, lambda _, r: total(f"slice({sums}, 1, {r})")))
+        return f"if(size({found}) < {_RUN}, array(0), {several})"
+
+    def walked(gaps: str, found: str, start: str, run: str) -> str:
+        a, i, x = fresh("a"), fresh("i"), fresh("x")
+        gap, delimiter = f"{gaps}[{i}]", f"{found}[{i}]"
+        after = f"{a}.depth + if({delimiter} in ({opening}), 1, -1)"
+        kept = f"if({a}.depth <= 0, {gap}, {blank(gap)})"
+        step = (
+            f"if({i} >= size({found}), named_struct('depth', {a}.depth, 'text', concat({a}.text, {kept})),"
+            f" named_struct('depth', {after}, 'text', concat({a}.text, {kept}, if(least({a}.depth, {after}) <= 0, {delimiter}, ' '))))"
+        )
+        places = f"sequence({run} * {_RUN}, least(size({found}), {run} * {_RUN} + {_RUN - 1}))"
+        return f"aggregate({places}, named_struct('depth', {start}, 'text', ''), ({a}, {i}) -> {step}, {x} -> {x}.text)"
 
-        return f"if(size({found}) = 0, {gaps}[0], array_join({each(gaps, piece)}, ''))"
+    def joined(gaps: str, found: str) -> str:
+        runs = each(depths(found), lambda start, run: walked(gaps, found, start, run))
+        return f"if(size({found}) = 0, {gaps}[0], array_join({runs}, ''))"
 
     return bind(
         text,
         lambda t: bind(
             f"split({t}, {lit(delimiters)}, -1)",
-            lambda gaps: bind(
-                f"regexp_extract_all({t}, {lit(delimiters)}, 0)",
-                lambda found: bind(
-                    running_sum(each(found, lambda d, _: f"if({d} in ({opening}), 1, -1)")),
-                    lambda depth: joined(gaps, found, depth),
-                ),
-            ),
+            lambda gaps: bind(f"regexp_extract_all({t}, {lit(delimiters)}, 0)", lambda found: joined(gaps, found)),
         ),
     )
 

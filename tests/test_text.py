@@ -92,3 +92,27 @@ def test_long_strings_do_not_overflow_the_stack(spark):
     df = mask.with_code(spark.createDataFrame([(content,)], "content string"), "typescript")
     row = df.select(F.length("code").alias("n"), F.expr("instr(code, 'export')").alias("at")).first()
     assert (row.n, row.at) == (len(content), content.index("export") + 1)
+
+
+def test_brackets_are_walked_in_one_pass(spark):
+    """Many more brackets than one run holds; sums over the brackets before each would take work that grows with runs."""
+    assert "slice" not in X.closing_offset("t", "[{}]", "{").split("split(")[0]
+    rng = random.Random(7)
+    texts = ["{" * 300 + "x\n" + "}" * 299, "a{b}" * 500 + "}", *("".join(rng.choice("{{}}a\n") for _ in range(n)) for n in range(0, 900, 13))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", F.expr(X.brace_end("t")).alias("end"), F.expr(X.top_level("t")).alias("top")).collect()
+    for row in rows:
+        depth, end, top = 0, None, []
+        for i, c in enumerate(row.t):
+            after = depth + (c == "{") - (c == "}")
+            top.append(c if c == "\n" or min(depth, after) <= 0 else " ")
+            depth = after
+            end = i if end is None and depth < 0 else end
+        assert row.end == end
+        assert row.top == "".join(top)
+
+
+def test_running_sum_over_runs(spark):
+    df = spark.createDataFrame([([(i * 7) % 5 - 2 for i in range(n)],) for n in (0, 1, 63, 64, 65, 1000)], "v array<int>")
+    for v, sums in df.select("v", F.expr(X.running_sum("v"))).collect():
+        assert sums == [sum(v[: i + 1]) for i in range(len(v))]
