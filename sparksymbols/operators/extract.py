@@ -122,12 +122,19 @@ def _plain(kind: str) -> str:
     return f"cast(null as {kind})"
 
 
-def typescript_exports(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``exports`` with signatures, class and interface details, and ``imports``."""
-    parsed = typescript.with_declarations(typescript.with_code(files, content))
-    parsed = parsed.withColumn("grouped", F.expr(typescript.with_overloads("functions"))).withColumn(
-        "symbols", F.expr(typescript.exports())
-    )
+#: Kinds of exports that have details.
+KINDS = ("function", "class", "interface")
+
+
+def typescript_exports(files: DataFrame, content: str = "content", only: str | None = None) -> DataFrame:
+    """Add ``exports`` with signatures, class and interface details, and ``imports``; with ``only`` just the exports of
+    that kind that have details."""
+    asked = {kind: only in (None, kind) for kind in KINDS}
+    parsed = typescript.with_declarations(typescript.with_code(files, content), *asked.values())
+    if asked["function"]:
+        parsed = parsed.withColumn("grouped", F.expr(typescript.with_overloads("functions")))
+    if only is None:
+        parsed = parsed.withColumn("symbols", F.expr(typescript.exports()))
 
     def class_info(c: str) -> str:
         return (
@@ -168,8 +175,10 @@ def typescript_exports(files: DataFrame, content: str = "content") -> DataFrame:
             keep("symbols", lambda s: f"not array_contains({k}, {s}.pos)"), lambda s, _: _export(s, f"{s}.type", *nothing)
         ),
     )
+    parts = [made for made, kind in zip((functions, classes, interfaces), KINDS, strict=True) if asked[kind]]
+    parts += [rest] if only is None else []
     return (
-        parsed.withColumn("exports", F.expr(f"concat({functions}, {classes}, {interfaces}, {rest})"))
+        parsed.withColumn("exports", F.expr(f"concat({', '.join(parts)})"))
         .withColumn("imports", F.expr(_imports(typescript.named_imports("plain"))))
         .drop(
             "functions", "grouped", "classes", "methods", "properties", "simple_properties", "interfaces",
@@ -186,8 +195,9 @@ def _imports(named: str) -> str:
     )
 
 
-def python_exports(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``exports`` (functions, classes with their methods, module variables) and ``imports``."""
+def python_exports(files: DataFrame, content: str = "content", only: str | None = None) -> DataFrame:
+    """Add ``exports`` (functions, classes with their methods, module variables) and ``imports``; with ``only`` just the
+    exports of that kind."""
     parsed = python_lang.with_classes(mask.with_code(files, "python", content))
     nothing = (_plain(_FUNCTION_SIGNATURE), _plain(_CLASS_INFO), _plain(_INTERFACE_INFO))
 
@@ -217,8 +227,11 @@ def python_exports(files: DataFrame, content: str = "content") -> DataFrame:
         keep(python_lang.exports(), lambda s: f"{s}.type = 'variable'"),
         lambda s, _: _export(s, f"{s}.type", *nothing),
     )
+    kinds = {"function": functions, "class": classes, "variable": variables}
+    parts = [made for kind, made in kinds.items() if only in (None, kind)]
+    nothing_read = f"cast(array() as array<{schemas.EXPORT.simpleString()}>)"
     return (
-        parsed.withColumn("exports", F.expr(f"concat({functions}, {classes}, {variables})"))
+        parsed.withColumn("exports", F.expr(f"concat({', '.join(parts)})" if parts else nothing_read))
         .withColumn("imports", F.expr(_imports(python_lang.named_imports())))
         .drop("functions", "classes")
     )
@@ -240,11 +253,12 @@ def problems(path: Column, rules: str, content: str, open_kinds: str) -> list[Co
     ]
 
 
-def index_files(files: DataFrame) -> DataFrame:
+def index_files(files: DataFrame, only: str | None = None) -> DataFrame:
     """Index rows ``(repoId, filePath, fileHash, language, exports, imports, parseErrors)`` of files
     ``(repoId, filePath, content, ...)``; other input columns are kept, ``content`` is not.
 
-    One scan serves all languages: each rule set sees the content of its own files and an empty text for others.
+    With ``only``, one of ``KINDS``, ``exports`` holds just those of that kind that have details: Spark cannot leave out
+    the steps that build the others, as all are entries of one array. One scan serves all languages: each rule set sees the content of its own files and an empty text for others.
     """
     kept = [c for c in files.columns if c not in ("content", "language")]
     rows = files.select(
@@ -259,7 +273,7 @@ def index_files(files: DataFrame) -> DataFrame:
     open_kinds = []
     for name, parse in (("typescript", typescript_exports), ("python", python_exports)):
         own = rows.withColumn("own_content", F.when(F.col("rules") == name, F.col("content")).otherwise(""))
-        parsed = parse(own, "own_content")
+        parsed = parse(own, "own_content", only)
         made = {kind: f"{name}_{kind}" for kind in found}
         open_kinds.append(f"{name}_unclosed")
         rows = parsed.select(

@@ -28,8 +28,8 @@ def py_code(spark: SparkSession, folder: str) -> DataFrame:
     return mask.with_code(B.spread(B.python_files(spark, folder)), "python")
 
 
-def ts_index(spark: SparkSession, folder: str) -> DataFrame:
-    return extract.index_files(B.spread(B.typescript_files(spark, folder)))
+def ts_index(spark: SparkSession, folder: str, only: str | None = None) -> DataFrame:
+    return extract.index_files(B.spread(B.typescript_files(spark, folder)), only)
 
 
 def rows_of(files: DataFrame, array: str, **columns: str) -> DataFrame:
@@ -126,7 +126,7 @@ FORM_MEMBERS = [
 )
 def member_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Members with decorators, without types, with initial values, and overloads, out of the index rows."""
-    index = extract.index_files(B.spread(B.typescript_forms(spark, folder)))
+    index = extract.index_files(B.spread(B.typescript_forms(spark, folder)), "class")
     kinds = ", ".join(
         f"transform(e.classInfo.{kind}, m -> named_struct('owner', e.name, 'extends', e.classInfo.extends, 'kind', '{kind}',"
         " 'name', m.name, 'type', m.type, 'line', m.lineNumber, 'params', coalesce(array_join(m.functionSignature.parameters.name, ','), ''),"
@@ -576,7 +576,7 @@ def flatten_imports(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def flatten_members(spark: SparkSession, folder: str) -> DataFrame:
-    exports = nested.flatten(ts_index(spark, folder), "exports", ["filePath"], ["name", "classInfo"], outer=False)
+    exports = nested.flatten(ts_index(spark, folder, "class"), "exports", ["filePath"], ["name", "classInfo"], outer=False)
     classes = exports.where(F.col("classInfo").isNotNull()).withColumnRenamed("name", "owner")
     arrays = {kind: f"classInfo.{column}" for kind, column in
               (("method", "methods"), ("property", "properties"), ("constructor", "constructors"))}
@@ -593,7 +593,7 @@ def flatten_members(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def flatten_params(spark: SparkSession, folder: str) -> DataFrame:
-    exports = nested.flatten(ts_index(spark, folder), "exports", ["filePath"], ["name", "functionSignature"], outer=False)
+    exports = nested.flatten(ts_index(spark, folder, "function"), "exports", ["filePath"], ["name", "functionSignature"], outer=False)
     functions = exports.withColumnRenamed("name", "function").withColumn("params", F.col("functionSignature.parameters"))
     return nested.flatten(functions, "params", ["filePath", "function"], ["name", "type", "required"], outer=False)
 
@@ -608,7 +608,7 @@ def flatten_params(spark: SparkSession, folder: str) -> DataFrame:
 )
 def flatten_overloads(spark: SparkSession, folder: str) -> DataFrame:
     """Overloads of every function; a function without any gives one row."""
-    exports = nested.flatten(ts_index(spark, folder), "exports", ["filePath"], ["name", "functionSignature"], outer=False)
+    exports = nested.flatten(ts_index(spark, folder, "function"), "exports", ["filePath"], ["name", "functionSignature"], outer=False)
     functions = exports.where(F.col("functionSignature").isNotNull()).withColumnRenamed("name", "function")
     functions = functions.withColumn("overloads", F.col("functionSignature.overloads"))
     rows = nested.flatten(functions, "overloads", ["filePath", "function"], ["parameters", "returnType"])

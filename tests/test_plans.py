@@ -77,3 +77,15 @@ def test_explodes_do_not_repeat_extraction(spark, tmp_path):
     plan = rows._jdf.queryExecution().optimizedPlan()
     whole = index.select("filePath", F.posexplode_outer("exports"))._jdf.queryExecution().optimizedPlan()
     assert len(plan.toString()) < 1.5 * len(whole.toString())
+
+
+@pytest.mark.parametrize("name, unread", [
+    ("N4_flatten_params", "interface"), ("N5_flatten_overloads", "interface"), ("N3_flatten_members", "interface"), ("X12_member_forms", "interface"),
+])
+def test_only_the_asked_kind_of_export_is_read(spark, tmp_path, name, unread):
+    """A query over one kind of export does not build the details of the others."""
+    spark.createDataFrame([(1, "x", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    query = QUERIES[name](spark, str(tmp_path))
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert f"\\s+{unread}\\s+" not in plan.replace("extends", "")
+    assert query.count() > 0
