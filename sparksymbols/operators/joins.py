@@ -76,8 +76,11 @@ def initial_without_changed(initial: DataFrame, changes: DataFrame, keys: Sequen
 def cascade_delete(
     repositories: DataFrame, files: DataFrame, doomed: DataFrame, key: str, spread_by: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Both tables without the repositories in ``doomed`` and their files."""
-    gone = doomed.select(key).distinct()
+    """Both tables without the repositories in ``doomed`` and their files.
+
+    A task holds its share of the doomed keys and reads past it the repositories and files, which need no sort.
+    """
+    gone = doomed.select(key).distinct().hint("shuffle_hash")
     return repositories.join(gone, key, "left_anti"), split_join(files, gone, [key], "left_anti", spread_by)
 
 

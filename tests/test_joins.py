@@ -198,3 +198,12 @@ def test_reexports(spark):
         ("./x", "default"): (None, None), ("./w", "renamed"): ("src/z.ts", 2), ("./x", "own"): ("src/y.ts", 1), ("./a", "loop"): (None, None),
         ("./p", "deep"): ("lib/index.ts", 2), ("./d", "gone"): (None, None), ("./e", "other"): (None, None), ("./z", "z"): ("src/z.ts", 0), ("pkg", "start"): ("pkg/core.py", 1),
     }
+
+
+def test_cascade_delete_sorts_no_files(spark):
+    """Doomed keys are hashed, also where they are too many to be sent to all tasks; null keys stay."""
+    files = spark.createDataFrame([(k, i) for i, k in enumerate([1, 1, 2, None, 3])], "key bigint, n int")
+    orders = spark.createDataFrame([(1,), (2,), (None,)], "key bigint")
+    _, kept = J.cascade_delete(orders, files, orders.where("key = 1 or key is null"), "key", ["n"])
+    assert sorted(r.n for r in kept.collect()) == [2, 3, 4]
+    assert "ShuffledHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
