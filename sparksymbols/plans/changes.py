@@ -358,22 +358,26 @@ MIDDLE, KIND = "(SELECT max(event_id) // 2 FROM events)", "CASE WHEN value < 15
 )
 def load_then_stream(spark: SparkSession, folder: str) -> DataFrame:
     """A first load, then a stream in several batches with deletions and late changes, then the stream once more from
-    its beginning with a new checkpoint folder, which changes nothing."""
+    its beginning, in one batch, with a new checkpoint folder, which changes nothing."""
     events = B.load(spark, folder, "events")
     middle, last = events.agg(F.expr("max(event_id) div 2"), F.max("event_id")).first()
-    rows = B.changes_from_events(events).join(events.select("event_id", "value"), "event_id")
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = B.changes_from_events(events, "value").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     table = KeyedTable(spark, scratch_path(spark, "loaded"), KEYS, ["event_id"], buckets=4)
     table.append(rows.where(F.col("event_id") <= middle).select(*NARROW))
     feed = scratch_path(spark, "feed")
     streamed = rows.where(F.col("event_id") > middle).select(*NARROW, F.when(F.col("value") < 15, "D").otherwise("M").alias("kind"))
-    step = (last - middle) // 3 + 1
+
+    def follow(offsets: str) -> None:
+        changes = landing.stream_changes(spark, feed, schema=streamed.schema)
+        T.index_stream(changes, table, ["event_id"], offsets, compact_every=2).awaitTermination()
+
+    # All tasks write a part; the stream goes on after each, so that a part is a batch whatever the number of its files.
+    offsets, step = scratch_path(spark, "offsets"), (last - middle) // 3 + 1
     for start in range(middle, last, step):
         part = streamed.where((F.col("event_id") > start) & (F.col("event_id") <= start + step))
-        part.coalesce(1).write.mode("append").parquet(feed)
-    changes = landing.stream_changes(spark, feed, schema=streamed.schema, files_per_batch=1)
-    for _ in range(2):
-        T.index_stream(changes, table, ["event_id"], scratch_path(spark, "offsets"), compact_every=2).awaitTermination()
+        part.write.mode("append").parquet(feed)
+        follow(offsets)
+    follow(scratch_path(spark, "offsets"))
     return table.current().select("event_id", *KEYS, "fileHash")
 
 
