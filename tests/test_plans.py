@@ -79,13 +79,17 @@ def test_explodes_do_not_repeat_extraction(spark, tmp_path):
     assert len(plan.toString()) < 1.5 * len(whole.toString())
 
 
-@pytest.mark.parametrize("name, unread", [
-    ("N4_flatten_params", "interface"), ("N5_flatten_overloads", "interface"), ("N3_flatten_members", "interface"), ("X12_member_forms", "interface"),
-])
-def test_only_the_asked_kind_of_export_is_read(spark, tmp_path, name, unread):
+@pytest.mark.parametrize("name", ["N3_flatten_members", "N4_flatten_params", "N5_flatten_overloads", "X12_member_forms"])
+def test_only_the_asked_kind_of_export_is_read(spark, tmp_path, monkeypatch, name):
     """A query over one kind of export does not build the details of the others."""
-    spark.createDataFrame([(1, "x", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
-    query = QUERIES[name](spark, str(tmp_path))
-    plan = query._jdf.queryExecution().optimizedPlan().toString()
-    assert f"\\s+{unread}\\s+" not in plan.replace("extends", "")
-    assert query.count() > 0
+    asked, build = [], extract.typescript.with_declarations
+
+    def seen(files, functions=True, classes=True, interfaces=True):
+        asked.append(functions + classes + interfaces)
+        return build(files, functions, classes, interfaces)
+
+    monkeypatch.setattr(extract.typescript, "with_declarations", seen)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(1, "x", "en", "s", 1)], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert asked == [1]
